@@ -45,8 +45,7 @@ def _windows() -> tuple[WindowSpec, WindowSpec, WindowSpec]:
 def inactivity_flags(
     actions: DataFrame, gap_us: int | None, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
-    """Adds ``opens`` (first row of the session) and ``silence_final``: the session had been
-    silent for the gap before this row.
+    """Adds ``silence_final``: the session had been silent for the gap before this row.
 
     Audio, stop and reset count as activity, and so does the first row. A gap equal to the limit
     closes; one silence gives one final, however many control rows fall into it.
@@ -55,6 +54,8 @@ def inactivity_flags(
     us = F.col("ts_us")
     active = F.when(_action("audio", "stop", "reset"), us)
     sliced = _sliced(actions, slice_seconds)
+    if gap_us is None:
+        return sliced.withColumn("silence_final", F.lit(False))
     carry = (
         sliced.groupBy("session_id", "_slice")
         .agg(F.max(active).alias("a"), F.min("ts_us").alias("f"), F.max("ts_us").alias("p"))
@@ -74,14 +75,11 @@ def inactivity_flags(
     )
     prev = F.coalesce("_lp", "_cp")
     last = F.coalesce("_la", "_ca", "_cf", "_lf")
-    silent = F.lit(False)
-    if gap_us is not None:
-        due = last + F.lit(gap_us)
-        silent = F.coalesce((us >= due) & (prev < due), F.lit(False))
+    due = last + F.lit(gap_us)
+    silent = F.coalesce((us >= due) & (prev < due), F.lit(False))
     return local.join(carry, ["session_id", "_slice"]).select(
         *actions.columns,
         "_slice",
-        prev.isNull().alias("opens"),
         silent.alias("silence_final"),
     )
 
@@ -92,8 +90,8 @@ def utterances(
     gap_us: int | None = None,
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
-    """Adds ``opens``, ``silence_final``, ``epoch``, ``buffer_len`` (after the row) and
-    ``closed_len`` (buffer before a silence final).
+    """Adds ``opens`` (first row of the session), ``silence_final``, ``epoch``, ``buffer_len``
+    (after the row) and ``closed_len`` (buffer before a silence final).
 
     stop and reset end an utterance after their row; a silence final ends it before its row.
     The buffer length has a closed form because lengths are never negative:
@@ -111,6 +109,7 @@ def utterances(
             F.sum(_samples()).over(upto).alias("_sum"),
             F.coalesce(F.count_if(ends).over(before), F.lit(0)).alias("_ends"),
             F.count_if(silent).over(upto).alias("_silences"),
+            F.count(F.lit(1)).over(before).alias("_rows"),
         )
         .select(
             "*",
@@ -129,6 +128,7 @@ def utterances(
         "session_id",
         "_slice",
         "_before",
+        (F.count(F.lit(1)).over(earlier) == 0).alias("_starts"),
         F.coalesce(F.sum("closed").over(earlier), F.lit(0)).alias("_closed"),
         F.max(F.col("_before") + F.col("last_end")).over(earlier).alias("_end_before"),
     )
@@ -139,7 +139,7 @@ def utterances(
     return local.join(carry, ["session_id", "_slice"]).select(
         *actions.columns,
         "_slice",
-        "opens",
+        (F.col("_starts") & (F.col("_rows") == 0)).alias("opens"),
         "silence_final",
         (F.col("_closed") + F.col("_ends") + F.col("_silences")).alias("epoch"),
         (total - base).alias("epoch_samples"),

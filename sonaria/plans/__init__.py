@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from sonaria.plans import matching_queries, session_queries  # noqa: F401
+    from sonaria.plans import dataset_queries, matching_queries, session_queries  # noqa: F401
     from sonaria.plans.registered import QUERIES, STATEMENTS
 
     return QUERIES, STATEMENTS
