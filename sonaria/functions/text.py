@@ -106,10 +106,20 @@ def label_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label string, case_mode string, mark string")
 
 
+def capitalise(word: Column) -> Column:
+    """First letter in upper case, the rest lower; a letter whose upper form is two letters keeps
+    only the first of them large."""
+    head = F.upper(F.left(word, F.lit(1)))
+    return F.concat(
+        F.left(head, F.lit(1)),
+        F.lower(F.substring(head, 2, 2)),
+        F.lower(F.substring(word, 2, 2**30)),
+    )
+
+
 def apply_case(word: Column, case_mode: Column) -> Column:
-    capitalised = F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 2**30)))
     return (
-        F.when(case_mode == "UPPER", capitalised)
+        F.when(case_mode == "UPPER", capitalise(word))
         .when(case_mode == "UPPER_TOTAL", F.upper(word))
         .otherwise(word)
     )
@@ -128,3 +138,12 @@ def labelled_token(word: Column, label: Column) -> Column:
         F.try_element_at(marks, mark)
     )
     return F.when(case_mode != "", F.concat(apply_case(word, case_mode), text))
+
+
+def render_tokens(tokens: Column) -> Column:
+    """Text of an ``array<struct<word,label>>``: every token with a leading blank. Null as soon as
+    one label is unknown, as the whole text then fails."""
+    words = F.transform(
+        tokens, lambda t: F.concat(F.lit(" "), labelled_token(strip(t["word"]), t["label"]))
+    )
+    return F.when(~F.exists(words, lambda w: w.isNull()), F.array_join(words, ""))

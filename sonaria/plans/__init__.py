@@ -4,7 +4,12 @@ from __future__ import annotations
 
 
 def _load():
-    from sonaria.plans import dataset_queries, matching_queries, session_queries  # noqa: F401
+    from sonaria.plans import (  # noqa: F401
+        dataset_queries,
+        matching_queries,
+        session_queries,
+        text_queries,
+    )
     from sonaria.plans.registered import QUERIES, STATEMENTS
 
     return QUERIES, STATEMENTS

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "sonaria", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +33,21 @@ def build_session(app: str = "sonaria", master: str | None = None, **conf: str)
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="sonaria-package-"), "sonaria")
+        archive = shutil.make_archive(
+            target, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
