@@ -1,4 +1,4 @@
-"""Sample-level expressions: levels, PCM16 encodings, resampling inside one array."""
+"""Sample-level expressions: levels, PCM16 encodings, padding and trailing windows."""
 
 from __future__ import annotations
 
@@ -58,16 +58,6 @@ def pcm16_to_float(value: Column, scale: int = PCM16_MAX) -> Column:
     return value.cast("double") / float(scale)
 
 
-def array_rms(samples: Column) -> Column:
-    squares = F.aggregate(samples, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    return F.sqrt(squares / F.size(samples))
-
-
-def normalise_array(samples: Column, target_dbfs: float = TARGET_DBFS) -> Column:
-    scale = rms_scale(array_rms(samples), target_dbfs)
-    return F.transform(samples, lambda v: clamp(v.cast("double") * scale).cast("float"))
-
-
 def pad_to_model_minimum(samples: Column, rate: int = SAMPLE_RATE) -> Column:
     short = F.lit(int(MIN_MODEL_SEC * rate)) - F.size(samples)
     return F.when(
@@ -83,28 +73,3 @@ def tail(samples: Column, keep) -> Column:
 
 def mean_of(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda x, y: ((x + y) / 2.0).cast("float"))
-
-
-def resample_array(samples: Column, src: Column, dst: Column) -> Column:
-    """Linear resample of one clip; the last input sample is never extrapolated.
-
-    Output t sits at t*src/dst, kept as integer part and remainder so that no step error adds up.
-    """
-    src = src.cast("bigint")
-    dst = dst.cast("bigint")
-    count = F.when(
-        F.size(samples) > 1, F.ceil((F.size(samples) - 1) * dst / src).cast("bigint")
-    ).otherwise(F.lit(0).cast("bigint"))
-
-    def at(t: Column) -> Column:
-        rest = F.pmod(t * src, dst)
-        whole = ((t * src - rest) / dst).cast("int")
-        frac = rest / dst
-        x0 = F.get(samples, whole).cast("double")
-        x1 = F.get(samples, whole + 1).cast("double")
-        return (x0 + (x1 - x0) * frac).cast("float")
-
-    grid = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.when(src == dst, samples).otherwise(F.transform(grid, at))

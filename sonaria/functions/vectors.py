@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sonaria.constants import NORM_EPS, SILENT_ATOL, SPEAKER_DIM
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, not once per array item.
+
+    A plain expression inside a lambda is evaluated for every item; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column | str, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
@@ -23,7 +33,7 @@ def norm(a: Column) -> Column:
 def l2_normalise(a: Column) -> Column:
     """x / max(|x|, eps): a zero vector stays zero."""
     length = F.greatest(norm(a), F.lit(NORM_EPS))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return bind(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

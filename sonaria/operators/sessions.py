@@ -15,6 +15,7 @@ from sonaria.operators.scan import Running, running, time_slice
 from sonaria.session import materialise
 
 SLICE_SECONDS = 6 * 3600
+SLICE = "_slice"
 ORDER = ["ts_us", "seq"]
 
 
@@ -55,7 +56,9 @@ def inactivity_flags(
     active = F.when(_action("audio", "stop", "reset"), us)
     sliced = _sliced(actions, slice_seconds)
     if gap_us is None:
-        return sliced.withColumn("silence_final", F.lit(False))
+        return sliced.withColumn("silence_final", F.lit(False)).withColumn(
+            "silence_due", F.lit(None).cast("bigint")
+        )
     carry = (
         sliced.groupBy("session_id", "_slice")
         .agg(F.max(active).alias("a"), F.min("ts_us").alias("f"), F.max("ts_us").alias("p"))
@@ -81,6 +84,7 @@ def inactivity_flags(
         *actions.columns,
         "_slice",
         silent.alias("silence_final"),
+        F.when(silent, due).alias("silence_due"),
     )
 
 
@@ -141,6 +145,7 @@ def utterances(
         "_slice",
         (F.col("_starts") & (F.col("_rows") == 0)).alias("opens"),
         "silence_final",
+        "silence_due",
         (F.col("_closed") + F.col("_ends") + F.col("_silences")).alias("epoch"),
         (total - base).alias("epoch_samples"),
         F.least(window, total - base).alias("buffer_len"),
@@ -204,7 +209,8 @@ def asr_messages(
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Every message of the recognition sessions: session_id, ts_us, seq, step, type, text,
-    utt_id, reason. ``step`` orders messages of one row: ready, silence final, answer, partial."""
+    utt_id, reason. ``step`` orders messages of one row: ready, silence final, answer, partial. A
+    silence final carries its deadline and no seq, as no row caused it."""
     uttered = utterances(actions, window_samples, gap_us, slice_seconds)
     if every_us is not None:
         # Three branches read the utterances; lengths only, so one written copy is cheap.
@@ -212,8 +218,12 @@ def asr_messages(
     none = F.lit(None).cast("string")
     text = transcript_of(F.col("buffer_len"))
 
-    def message(step: int, kind: str, body: Column, utt: Column, reason: Column) -> Column:
+    def message(
+        step: int, kind: str, body: Column, utt: Column, reason: Column, at=None, seq=None
+    ) -> Column:
         return F.struct(
+            (F.col("ts_us") if at is None else at).alias("ts_us"),
+            (F.col("seq") if seq is None else seq).alias("seq"),
             F.lit(step).alias("step"),
             F.lit(kind).alias("type"),
             body.alias("text"),
@@ -225,7 +235,15 @@ def asr_messages(
     ready = F.when(F.col("opens"), message(0, "ready", none, none, none))
     silent = F.when(
         F.col("silence_final"),
-        message(1, "final", transcript_of(F.col("closed_len")), none, F.lit("inactivity")),
+        message(
+            1,
+            "final",
+            transcript_of(F.col("closed_len")),
+            none,
+            F.lit("inactivity"),
+            F.col("silence_due"),
+            F.lit(None).cast("bigint"),
+        ),
     )
     answer = (
         F.when(_action("flush"), message(2, "partial", text, utt, none))
@@ -234,19 +252,15 @@ def asr_messages(
     )
     replies = uttered.select(
         "session_id",
-        "ts_us",
-        "seq",
         F.explode(F.array_compact(F.array(ready, silent, answer))).alias("m"),
-    ).select("session_id", "ts_us", "seq", "m.*")
+    ).select("session_id", "m.*")
     if every_us is None:
         return replies
     partials = (
         timed_emits(uttered, every_us)
         .where(~_action("stop", "reset"))
-        .select(
-            "session_id", "ts_us", "seq", message(3, "partial", text, none, none).alias("m")
-        )
-        .select("session_id", "ts_us", "seq", "m.*")
+        .select("session_id", message(3, "partial", text, none, none).alias("m"))
+        .select("session_id", "m.*")
     )
     return replies.unionByName(partials)
 

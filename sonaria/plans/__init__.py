@@ -8,6 +8,7 @@ def _load():
         dataset_queries,
         matching_queries,
         session_queries,
+        signal_queries,
         text_queries,
     )
     from sonaria.plans.registered import QUERIES, STATEMENTS

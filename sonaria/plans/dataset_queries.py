@@ -3,7 +3,7 @@ length, so that the same clip occurs in several splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.operators import dataset
@@ -11,7 +11,9 @@ from sonaria.plans.registered import query
 from sonaria.session import scratch_path, table
 from sonaria.sources import corpus, sinks
 
-PATH = F.concat(F.col("source"), F.lit("/"), F.col("n_chars").cast("string"), F.lit(".WAV"))
+
+def clip_path() -> Column:
+    return F.concat(F.col("source"), F.lit("/"), F.col("n_chars").cast("string"), F.lit(".WAV"))
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("\t "), F.col("text"), F.lit(" ")))
     )
     return table(spark, sf_dir, "documents").select(
-        PATH.alias("path"),
+        clip_path().alias("path"),
         sentence.alias("sentence"),
         (F.col("doc_id") % 5).cast("int").alias("file_rank"),
         F.col("doc_id").alias("row_no"),
@@ -34,7 +36,7 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def existing_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of every document whose labels do not call it toxic."""
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_anti").select(PATH.alias("path"))
+    return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_anti").select(clip_path().alias("path"))
 
 
 def corpus_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +139,7 @@ SELECT doc_id FROM clips WHERE lower(string_split(replace(path, '\\', '/'), '/')
 )
 def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    clips = docs.select("doc_id", F.concat(F.lit("corpus\\"), PATH).alias("path"))
+    clips = docs.select("doc_id", F.concat(F.lit("corpus\\"), clip_path()).alias("path"))
     metadata = (
         table(spark, sf_dir, "labels")
         .where("quality = 1")
@@ -173,7 +175,7 @@ def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus written as tab-separated splits with a header and read back by split."""
     root = scratch_path(spark, "splits")
     rows = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 5).alias("split"), PATH.alias("path"), F.col("text").alias("sentence")
+        (F.col("doc_id") % 5).alias("split"), clip_path().alias("path"), F.col("text").alias("sentence")
     )
     sinks.write_tsv_splits(rows, root, "split")
     names = [f"split={rank}" for rank in range(5)] + ["split=missing"]

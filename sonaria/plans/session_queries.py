@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sonaria.functions import messages
 from sonaria.functions.clock import epoch_micros
 from sonaria.operators import sessions
+from sonaria.operators.sessions import SLICE  # noqa: F401
 from sonaria.plans.registered import query
 from sonaria.session import table
 
@@ -217,7 +218,7 @@ SELECT session_id, us AS ts_us, seq, 0 AS step, 'ready' AS type, NULL AS text, N
 FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us, seq) AS n FROM texts)
 WHERE n = 1
 UNION ALL
-SELECT session_id, us, seq, 1, 'final', closed_text, NULL, 'inactivity' FROM texts WHERE silent
+SELECT session_id, active + {GAP_HOURS * HOUR_US}, NULL, 1, 'final', closed_text, NULL, 'inactivity' FROM texts WHERE silent
 UNION ALL
 SELECT session_id, us, seq, 2,
        CASE action WHEN 'flush' THEN 'partial' WHEN 'stop' THEN 'final' ELSE 'ok' END,

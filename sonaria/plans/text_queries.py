@@ -423,7 +423,7 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
 
 
-@query("random_ids")
+@query("random_ids", "SELECT doc_id, 32 AS n, TRUE AS hex FROM documents")
 def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn ids differ by design, so only their shape can be compared."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.hex_id().alias("voice_id"))

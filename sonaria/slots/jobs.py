@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.constants import TARGET_DBFS
-from sonaria.functions import audio, text, vectors
+from sonaria.functions import audio, codec, text, vectors
 from sonaria.slots import base, builtin
 from sonaria.slots.base import Slot
 
@@ -39,7 +39,7 @@ def denoise(clips: DataFrame, slot: Slot = builtin.DENOISE, target_dbfs: float =
     """Pads short signals, runs the model and sets the level."""
     padded = clips.withColumn("samples", audio.pad_to_model_minimum(F.col("samples")))
     ran = base.apply(padded, slot, [F.col("samples")], "_clean")
-    level = audio.normalise_array(F.col("_clean"), target_dbfs)
+    level = codec.normalise_level(F.col("_clean"), target_dbfs)
     return ran.withColumn("samples", F.when(F.col("error").isNull(), level)).drop("_clean")
 
 
