@@ -9,6 +9,7 @@ def _load():
         matching_queries,
         session_queries,
         signal_queries,
+        streaming_queries,
         text_queries,
     )
     from sonaria.plans.registered import QUERIES, STATEMENTS
