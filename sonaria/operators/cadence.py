@@ -51,7 +51,7 @@ def emits(
 ) -> DataFrame:
     """(keys, position, seq) of every emitting row.
 
-    ``position`` is a non-decreasing long (samples so far, or microseconds); ``sequence`` breaks
+    Two passes read ``df``: hand in a written table when it is costly to compute. ``position`` is a non-decreasing long (samples so far, or microseconds); ``sequence`` breaks
     ties. A group of (keys, slice) is bounded by the frame rate of a live session.
     """
 

@@ -70,10 +70,19 @@ def plan_requests(requests: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def ordered_text(
-    rows: DataFrame, key: str, order: str, value: Column, lead: str = "", block: int = 4096
+    rows: DataFrame,
+    key: str,
+    order: str,
+    value: Column,
+    lead: str = "",
+    block: int = 4096,
+    complete: bool = False,
 ) -> DataFrame:
     """Ordered concatenation per key. Blocks of rows are joined first, so no task holds more than
-    one block of loose pieces and only joined blocks are shuffled to the key."""
+    one block of loose pieces and only joined blocks are shuffled to the key.
+
+    Null pieces are skipped; with ``complete`` a key that has one is left out.
+    """
     pieces = rows.select(
         key,
         F.floor(F.col(order) / block).alias("_block"),
@@ -81,18 +90,26 @@ def ordered_text(
         F.concat(F.lit(lead), value).alias("_piece"),
     )
     joined = pieces.groupBy(key, "_block").agg(
-        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _order)").alias("_piece")
+        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _order)").alias("_piece"),
+        F.count_if(F.col("_piece").isNull()).alias("_missing"),
     )
-    return joined.groupBy(key).agg(
-        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _block)").alias("text")
+    texts = joined.groupBy(key).agg(
+        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _block)").alias("text"),
+        F.sum("_missing").alias("_missing"),
     )
+    if complete:
+        texts = texts.where(F.col("_missing") == 0)
+    return texts.drop("_missing")
 
 
 def label_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) of the texts whose labels are all known, and the rejected tokens."""
-    marked = tokens.withColumn(
-        "token", text.labelled_token(text.strip(F.col("word")), F.col("label"))
-    )
-    rejects = marked.where(F.col("token").isNull()).drop("token")
-    kept = marked.join(rejects.select("doc_id").distinct(), "doc_id", "left_anti")
-    return ordered_text(kept, "doc_id", "pos", F.col("token"), lead=" "), rejects
+    """(doc_id, text) of the texts whose labels are all known, and the rejected tokens.
+
+    The label table has a fixed 33 rows, which bounds its broadcast.
+    """
+    labels = F.broadcast(text.label_table(tokens.sparkSession))
+    marked = tokens.join(labels, "label", "left")
+    token = F.concat(text.apply_case(text.strip(F.col("word")), F.col("case_mode")), F.col("mark"))
+    texts = ordered_text(marked, "doc_id", "pos", token, lead=" ", complete=True)
+    rejects = marked.where(F.col("mark").isNull()).select(*tokens.columns)
+    return texts, rejects

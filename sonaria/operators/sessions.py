@@ -182,13 +182,16 @@ def count_emits(
     )
     order = F.struct(*ORDER)
     found = cadence.emits(
-        summed, ["session_id"], "_slice", F.col("_sum"), order, every_samples, entered=0
+        materialise(summed, "samples-seen"), ["session_id"], "_slice", F.col("_sum"), order, every_samples, entered=0
     )
     return found.select("session_id", "seq.ts_us", "seq.seq", F.col("position").alias("samples_seen"))
 
 
 def timed_emits(uttered: DataFrame, every_us: int) -> DataFrame:
-    """Rows at which a timed partial is due, per utterance; the first row of one emits at once."""
+    """Rows at which a timed partial is due, per utterance; the first row of one emits at once.
+
+    ``uttered`` is read twice and should be a written table.
+    """
     payload = F.struct("seq", "action", "buffer_len")
     found = cadence.emits(
         uttered, ["session_id", "epoch"], "_slice", F.col("ts_us"), payload, every_us

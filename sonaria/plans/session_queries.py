@@ -11,7 +11,7 @@ from sonaria.functions.clock import epoch_micros
 from sonaria.operators import sessions
 from sonaria.operators.sessions import SLICE  # noqa: F401
 from sonaria.plans.registered import query
-from sonaria.session import table
+from sonaria.session import materialise, table
 
 WINDOW = 10_000
 STEP_SAMPLES = 20_000
@@ -138,7 +138,7 @@ fold AS (
 SELECT session_id, CAST(epoch AS BIGINT) AS epoch, seq, us AS ts_us FROM fold WHERE emit""",
 )
 def timed_emits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uttered = sessions.utterances(session_actions(spark, sf_dir), WINDOW)
+    uttered = materialise(sessions.utterances(session_actions(spark, sf_dir), WINDOW), "utterances")
     return sessions.timed_emits(uttered, EMIT_HOURS * HOUR_US).select(
         "session_id", "epoch", "seq", "ts_us"
     )

@@ -137,7 +137,9 @@ texts AS (
 
 def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in _label_names()])
-    words = table(spark, sf_dir, "documents").select(
+    # Texts move once, before they are exploded; everything after is grouped by the same key.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    words = docs.select(
         "doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word")
     )
     unknown = (F.col("doc_id") % 10 == 7) & (F.col("pos") == 3)
