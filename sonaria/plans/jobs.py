@@ -157,9 +157,10 @@ def clean_reference(
     ends = samples.select("clip_id").distinct().join(
         trimmed.groupBy("clip_id").agg((F.max("pos") + 1).alias("_n")), "clip_id", "left"
     )
+    start = F.coalesce("_n", F.lit(0)).cast("bigint")
     silence = ends.select(
         "clip_id",
-        (F.coalesce("_n", F.lit(0)) + F.explode(F.sequence(F.lit(0), F.lit(tail_ms * per_ms - 1)))).alias("pos"),
+        F.explode(F.sequence(start, start + F.lit(tail_ms * per_ms - 1))).alias("pos"),
         F.lit(0.0).alias("amp"),
     )
     return trimmed.unionByName(silence)
