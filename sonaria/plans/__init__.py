@@ -6,6 +6,7 @@ from __future__ import annotations
 def _load():
     from sonaria.plans import (  # noqa: F401
         dataset_queries,
+        job_queries,
         matching_queries,
         session_queries,
         signal_queries,

@@ -14,7 +14,8 @@ from sonaria.slots.base import Slot
 def transcribe(
     clips: DataFrame, slot: Slot = builtin.TRANSCRIBE, language: Column | None = None
 ) -> DataFrame:
-    """Adds raw, text and error. An empty signal gives an empty text without calling the model."""
+    """Adds raw, text and error. An empty signal gives an empty text without calling the model;
+    a missing signal or a failed model gives no text."""
     language = F.lit("ru") if language is None else language
     sound = F.when(F.size("samples") > 0, F.col("samples"))
     empty = F.struct(
@@ -23,7 +24,7 @@ def transcribe(
     ran = base.apply(clips, slot, [sound, F.coalesce(language, F.lit(""))], "raw")
     filled = F.when(F.size("samples") == 0, empty).otherwise(F.col("raw"))
     return ran.withColumn("raw", filled).withColumn(
-        "text", F.when(F.col("error").isNull(), text.strip(F.coalesce("raw.text", F.lit(""))))
+        "text", F.when(F.col("raw").isNotNull(), text.strip(F.coalesce("raw.text", F.lit(""))))
     )
 
 
