@@ -23,7 +23,7 @@ def usable_rows(rows: DataFrame, clips: DataFrame) -> DataFrame:
     blanks stays as an empty text."""
     filled = rows.where(F.col("sentence").isNotNull() & (F.col("sentence") != ""))
     return (
-        filled.join(clips.select("path"), "path", "left_semi")
+        filled.join(clips.select("path").distinct(), "path", "left_semi")
         .withColumn("text", text.strip(F.col("sentence")))
         .drop("sentence")
     )
@@ -36,8 +36,24 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(newest).select(key, "newest.*")
 
 
+def unique_rows(rows: DataFrame, clips: DataFrame, order: list[str]) -> DataFrame:
+    """``usable_rows`` with the last row per path, as one step.
+
+    Whether a clip exists depends on the path alone, so copies collapse first and the join sees
+    every path once: a path that fills a third of the input is one row by then.
+    """
+    filled = rows.where(F.col("sentence").isNotNull() & (F.col("sentence") != ""))
+    last = last_wins(filled, "path", order)
+    return (
+        last.join(clips.select("path").distinct(), "path", "left_semi")
+        .withColumn("text", text.strip(F.col("sentence")))
+        .drop("sentence")
+    )
+
+
 def stable_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """0-based position in the total order, without a single-task window.
+    """0-based position in the total order, without a single-task window. ``order`` should end in a
+    unique column: rows equal in all of it share one range partition.
 
     Rows are range-partitioned and sorted once and written with their place inside the partition;
     partition sizes then give each partition's offset. The offsets table has one row per

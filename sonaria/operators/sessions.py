@@ -155,13 +155,19 @@ def utterances(
 
 def retained(uttered: DataFrame, window_samples: int) -> DataFrame:
     """Audio rows still in the buffer when their utterance ends, with the samples kept of each."""
-    totals = uttered.groupBy("session_id", "epoch").agg(
-        F.max("epoch_samples").alias("epoch_total")
+    # The total of an utterance is repeated for each of its slices, so that the join key of a long
+    # utterance is as spread as its rows, which are not shuffled again.
+    key = ["session_id", "_slice", "epoch"]
+    whole = Window.partitionBy("session_id", "epoch")
+    totals = (
+        uttered.groupBy(*key)
+        .agg(F.max("epoch_samples").alias("_part"))
+        .select(*key, F.max("_part").over(whole).alias("epoch_total"))
     )
     after = F.col("epoch_total") - F.col("epoch_samples")
     return (
         uttered.where(_action("audio") & (F.col("n_samples") > 0))
-        .join(totals, ["session_id", "epoch"])
+        .join(totals, key)
         .where(after < window_samples)
         .withColumn("kept", F.least(F.col("n_samples"), F.lit(window_samples) - after))
         .drop("epoch_total")

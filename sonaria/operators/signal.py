@@ -109,13 +109,18 @@ def rechunk(
     """
     placed = running(frames, keys, slice_col, order, [Running("_end", "sum", n.cast("bigint"))])
     begin = F.col("_end") - n
-    totals = frames.groupBy(*keys).agg(F.floor(F.sum(n) / size).alias("_chunks"))
+    whole = Window.partitionBy(*keys)
+    totals = (
+        frames.groupBy(*keys, slice_col)
+        .agg(F.sum(n).alias("_n"))
+        .select(*keys, slice_col, F.floor(F.sum("_n").over(whole) / size).alias("_chunks"))
+    )
     first, last = F.floor(begin / size), F.floor((F.col("_end") - 1) / size)
     parts = (
         placed.where(n > 0)
         .withColumn("_begin", begin)
         .withColumn("chunk", F.explode(F.sequence(first, last)))
-        .join(totals, keys)
+        .join(totals, [*keys, slice_col])
         .where(F.col("chunk") < F.col("_chunks"))
     )
     lo = F.greatest(F.col("_begin"), F.col("chunk") * size)

@@ -44,7 +44,9 @@ def corpus_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.last_wins(corpus_rows_of(spark, sf_dir), "path", ["file_rank", "row_no"])
+    return dataset.unique_rows(
+        split_rows(spark, sf_dir), existing_clips(spark, sf_dir), ["file_rank", "row_no"]
+    )
 
 
 ROWS = """

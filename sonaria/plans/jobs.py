@@ -217,7 +217,7 @@ def voice_catalog_job(
 
 def deduplicated_corpus(rows: DataFrame, clips: DataFrame, order: list[str]) -> DataFrame:
     """Union rows to the final, indexed corpus table: path, text, idx."""
-    kept = dataset.last_wins(dataset.usable_rows(rows, clips), "path", order)
+    kept = dataset.unique_rows(rows, clips, order)
     return dataset.stable_index(kept.select("path", "text"), ["path"])
 
 
