@@ -87,6 +87,9 @@ def encode_wav(samples: Column, rate: Column) -> Column:
     def run(arrays: pd.Series, rates: pd.Series) -> pd.Series:
         out = []
         for x, sr in zip(arrays, rates):
+            if x is None:
+                out.append(None)
+                continue
             buffer = io.BytesIO()
             with wave.open(buffer, "wb") as f:
                 f.setnchannels(1)

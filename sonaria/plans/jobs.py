@@ -57,6 +57,52 @@ def write_transcription(results: DataFrame, metadata_path: str, error_path: str)
     bad.select(F.concat_ws(" :: ", "path", "error")).write.mode("append").text(error_path)
 
 
+def enhancement_job(
+    clips: DataFrame, rate: int = SAMPLE_RATE, denoise: Slot = builtin.DENOISE
+) -> DataFrame:
+    """path, output_filename, wav, error: cleaned clips as PCM16 WAV files under their new names."""
+    clean = jobs.denoise(clips.select("path", "samples"), denoise)
+    wav = codec.encode_wav(F.when(F.col("error").isNull(), F.col("samples")), F.lit(rate))
+    name = text.enhanced_name(text.forward_slashes(F.col("path")))
+    return clean.select("path", name.alias("output_filename"), wav.alias("wav"), "error")
+
+
+def pair_verification_job(
+    probes: DataFrame, references: DataFrame, candidates: DataFrame, embed: Slot = builtin.EMBED
+) -> tuple[DataFrame, DataFrame]:
+    """(probe_id, ref_path, cosine, decision) and the rejected probes with their reason.
+
+    ``probes``: probe_id, samples, ref_path or null; ``references``: path, samples; ``candidates``:
+    rank, path of the fallbacks. The first fallback that exists serves every probe without its own
+    reference. Each reference is embedded once, however many probes name it.
+    """
+    fallback = (
+        candidates.join(references.select("path").distinct(), "path", "left_semi")
+        .agg(F.min_by("path", "rank").alias("path"))
+        .scalar()
+    )
+    heard = jobs.embed(probes.select("probe_id", "samples", "ref_path"), embed).select(
+        "probe_id", "embedding", F.coalesce("ref_path", fallback).alias("ref_path")
+    )
+    heard = materialise(heard, "probe-embeddings")
+    named = heard.select(F.col("ref_path").alias("path")).distinct()
+    known = jobs.embed(references.join(named, "path", "left_semi"), embed).select(
+        F.col("path").alias("ref_path"), "embedding"
+    )
+    known = materialise(known.where(F.col("embedding").isNotNull()), "reference-embeddings")
+    usable = heard.where(F.col("embedding").isNotNull())
+    scored = matching.verify_pairs(usable, known, "ref_path").select(
+        "probe_id", "ref_path", "cosine", "decision"
+    )
+    missing = usable.join(known.select("ref_path"), "ref_path", "left_anti").select(
+        "probe_id", F.lit("no usable reference").alias("error")
+    )
+    silent = heard.where(F.col("embedding").isNull()).select(
+        "probe_id", F.lit("no usable signal").alias("error")
+    )
+    return scored, missing.unionByName(silent)
+
+
 def enrolment_job(
     clips: DataFrame,
     registry: DataFrame,

@@ -93,6 +93,21 @@ def match_checks(
     return matching.decide(full, threshold).drop("probe_id")
 
 
+def asr_json(said: DataFrame) -> DataFrame:
+    """session_id, ts_us, seq, message: nulls are left out of the JSON text."""
+    body = messages.transcript_json("type", "text", "utt_id", "reason", "detail")
+    return said.select("session_id", "ts_us", "seq", body.alias("message"))
+
+
+def verify_json(decided: DataFrame) -> DataFrame:
+    """Decisions as stamped JSON text; a missing best match is written as null."""
+    timed = messages.stamp(decided).withColumn("ts_ms", messages.stamp_time(F.col("ts_us")))
+    body = messages.verify_json(
+        "type", "decision", "threshold", "best", "matches", "reason", "session_id", "version", "ts_ms"
+    )
+    return timed.select("session_id", "ts_us", "seq", body.alias("message"))
+
+
 def start_matching(
     checks: DataFrame,
     registry: Callable[[SparkSession], DataFrame],

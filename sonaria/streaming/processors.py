@@ -7,8 +7,9 @@ against the next row and, for silent sessions, by timers on the watermark.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,17 @@ class _Session(StatefulProcessor):
             return None
         return self.last_activity + self.params.gap_us
 
+    def _partial_due(self) -> int | None:
+        """When the next partial of an idle session is due."""
+        idle = self.params.idle_partials and self.params.emit_us is not None
+        if not idle or self.closed or self.last_emit == NEVER:
+            return None
+        return self.last_emit + self.params.emit_us
+
+    def _parameters(self) -> str:
+        """Effective parameters, told to the client when its session opens."""
+        return json.dumps(asdict(self.params))
+
     def _arm(self, deadlines: list[int | None]) -> None:
         """Replaces the timers of the key; timers have millisecond steps and fire after the due time."""
         for timer in list(self.handle.listTimers()):
@@ -184,11 +196,6 @@ class AsrProcessor(_Session):
         self.last_emit = ts_us
         self._say_text(ts_us, seq, 3, "partial")
 
-    def _partial_due(self) -> int | None:
-        if not self.params.idle_partials or self.params.emit_us is None or self.last_emit == NEVER:
-            return None
-        return self.last_emit + self.params.emit_us
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.key, self.out = key[0], []
         self._load()
@@ -202,10 +209,6 @@ class AsrProcessor(_Session):
         self._arm([self._deadline(), self._partial_due()])
         yield self._frame()
 
-    def _parameters(self) -> str:
-        p = self.params
-        return f"window_samples={p.window_samples} emit_us={p.emit_us} gap_us={p.gap_us} language={p.language}"
-
     def _frame(self) -> pd.DataFrame:
         names = [c.split()[0] for c in MESSAGE_SCHEMA.split(", ")]
         frame = pd.DataFrame(self.out, columns=names)
@@ -214,9 +217,14 @@ class AsrProcessor(_Session):
 
 
 class VerifyProcessor(_Session):
-    """Verification sessions: a check on new audio and flush, a final check on stop or silence."""
+    """Verification sessions: a check on new audio and flush, a final check on stop or silence.
+
+    With ``idle_partials`` a session without new audio is checked again after ``emit_us``: the
+    interval is the longest wait for an answer, not a brake.
+    """
 
     def _check(self, ts_us, seq, kind, reason=None, detail=None) -> None:
+        self.last_emit = ts_us
         enough = len(self.buffer) >= self.params.min_samples
         samples = self.buffer.copy() if enough else None
         self.out.append(
@@ -236,7 +244,9 @@ class VerifyProcessor(_Session):
                 break
             if fresh:
                 self.last_activity, fresh = row.ts_us, False
-                self.out.append((self.key, row.ts_us, row.seq, "ready", None, 0, False, None, None))
+                self.out.append(
+                    (self.key, row.ts_us, row.seq, "ready", None, 0, False, None, self._parameters())
+                )
             due = self._deadline()
             if due is not None and row.ts_us >= due:
                 self._end(due, None, "inactivity")
@@ -256,17 +266,20 @@ class VerifyProcessor(_Session):
         if self.params.coalesce and dirty is not None and not self.closed:
             self._check(dirty.ts_us, dirty.seq, "partial")
         self._save()
-        self._arm([self._deadline()])
+        self._arm([self._deadline(), self._partial_due()])
         yield self._frame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.key, self.out = key[0], []
         self._load()
-        due = self._deadline()
-        if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+        fired = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due, partial = self._deadline(), self._partial_due()
+        if partial is not None and partial <= fired and (due is None or partial < due):
+            self._check(partial, None, "partial")
+        if due is not None and due <= fired:
             self._end(due, None, "inactivity")
         self._save()
-        self._arm([self._deadline()])
+        self._arm([self._deadline(), self._partial_due()])
         yield self._frame()
 
     def _frame(self) -> pd.DataFrame:

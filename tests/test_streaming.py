@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import sys
 
 import numpy as np
@@ -70,7 +71,10 @@ def test_asr_controls_errors_and_state_across_batches(spark):
         ],
     )
     frames = jobs.read_frames(spark, path, files_per_trigger=1)
-    got = jobs.run_to_end(jobs.asr_messages(frames, SessionParams(150)), "t-asr").orderBy("seq", "step").collect()
+    said = jobs.run_to_end(jobs.asr_messages(frames, SessionParams(150)), "t-asr")
+    flushed = jobs.asr_json(said.where("seq = 2")).first().message
+    assert json.loads(flushed) == {"type": "partial", "text": "len=100", "utt_id": "u1"}
+    got = said.orderBy("seq", "step").collect()
     seen = [(r.seq, r.type, r.text, r.utt_id, r.reason) for r in got]
     assert seen == [
         (1, "ready", None, None, None),
@@ -158,7 +162,14 @@ def test_verify_session_matches_a_registry_that_changes(spark, tmp_path):
         ],
     )
     run()
-    rows = spark.read.parquet(out).orderBy("seq", "type").collect()
+    decided = spark.read.parquet(out)
+    texts = [json.loads(r.message) for r in jobs.verify_json(decided).where("seq <> 3").orderBy("seq").collect()]
+    assert [t["best"] and t["best"]["user_id"] for t in texts] == [None, None, "b"]
+    assert texts[0] == {
+        "type": "partial", "decision": False, "threshold": 0.7, "best": None, "matches": [], "reason": None,
+        "session_id": "s", "version": 1, "ts_ms": int(START.timestamp() * 1000) + 1000,
+    }
+    rows = decided.orderBy("seq", "type").collect()
     seen = [(r.seq, r.type, r.decision, r.best.user_id if r.best else None, len(r.matches), r.reason) for r in rows]
     assert seen == [
         (1, "partial", False, None, 0, None),
@@ -168,6 +179,27 @@ def test_verify_session_matches_a_registry_that_changes(spark, tmp_path):
     ]
 
 
+def test_idle_verify_session_is_checked_again_then_closed(spark):
+    path = scratch_path(spark, "t-vidle")
+    _write(
+        spark,
+        path,
+        [_frame("quiet", 1, 0, payload=bytes(20))],
+        [_frame("other", 2, 3, payload=bytes(20))],
+        [_frame("other", 3, 20, payload=bytes(20))],
+        [_frame("other", 4, 21, payload=bytes(20))],
+    )
+    frames = jobs.read_frames(spark, path, files_per_trigger=1)
+    params = SessionParams(1000, emit_us=SEC, gap_us=10 * SEC, idle_partials=True)
+    got = jobs.run_to_end(jobs.verify_checks(frames, params, delay="1 second"), "t-vidle-out")
+    rows = got.where("session_id = 'quiet'").collect()
+    partials = sorted(_rel(r.ts_us) for r in rows if r.type == "partial")
+    assert partials[:3] == [0.0, 1.0, 2.0]
+    assert [(_rel(r.ts_us), r.reason, r.buffer_len) for r in rows if r.type == "final"] == [(10.0, "inactivity", 10)]
+    ready = [json.loads(r.detail) for r in rows if r.type == "ready"]
+    assert len(ready) == 1 and ready[0]["gap_us"] == 10 * SEC
+
+
 def test_buffer_is_capped_at_the_window(spark):
     path = scratch_path(spark, "t-cap")
     _write(spark, path, [_frame("s", 1, 1, payload=bytes(320000)), _frame("s", 2, 2, payload=bytes(2 * 48000), rate=48000)])
