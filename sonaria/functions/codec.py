@@ -10,6 +10,8 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,19 +106,23 @@ def encode_wav(samples: Column, rate: Column) -> Column:
 
 
 def normalise_level(samples: Column, target_dbfs: float = TARGET_DBFS) -> Column:
-    """Whole clips set to the target RMS level and cut at full scale; silence stays as it is."""
-    target = 10.0 ** (target_dbfs / 20.0)
+    """Whole clips set to the target RMS level and cut at full scale; silence stays as it is.
 
-    def one(x):
-        if x is None:
-            return None
-        y = np.asarray(x, dtype=np.float64)
-        rms = np.sqrt(np.mean(y * y)) if len(y) else 0.0
-        return np.clip(y * (target / (rms + 1e-9)), -1.0, 1.0) if rms > 0 else y
+    All clips of a batch are scaled in one pass over their joined samples.
+    """
+    target = 10.0 ** (target_dbfs / 20.0)
 
-    @F.pandas_udf("array<float>")
-    def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(one, na_action=None)
+    @F.arrow_udf("array<float>")
+    def run(clips: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(clips), 0).to_numpy(zero_copy_only=False)
+        x = clips.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        owner = np.repeat(np.arange(len(clips)), sizes)
+        power = np.bincount(owner, weights=x * x, minlength=len(clips))
+        rms = np.sqrt(power / np.maximum(sizes, 1))
+        level = np.where(rms > 0, target / (rms + 1e-9), 1.0)
+        y = np.clip(x * level[owner], -1.0, 1.0).astype(np.float32)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y), mask=clips.is_null())
 
     return run(samples)
 

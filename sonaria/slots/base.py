@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # What to do with rows a model failed on.
 RECORD, KEEP_INPUT, DROP, RAISE = "record", "keep_input", "drop", "raise"
@@ -35,35 +39,42 @@ def _model(slot: Slot) -> Callable:
     return _MODELS[slot.name]
 
 
-def _apply(model: Callable, inputs: list[pd.Series]) -> pd.DataFrame:
+def _apply(model: Callable, inputs: list[pd.Series]) -> tuple[list, list]:
     """Values and errors; a failing batch is repeated row by row to find the bad rows."""
-    index = inputs[0].index
-    values = pd.Series([None] * len(index), index=index, dtype=object)
-    errors = pd.Series([None] * len(index), index=index, dtype=object)
-    present = pd.concat([s.notna() for s in inputs], axis=1).all(axis=1)
-    rows = [s[present] for s in inputs]
-    if present.any():
+    count = len(inputs[0])
+    values: list = [None] * count
+    errors: list = [None] * count
+    present = np.flatnonzero(np.logical_and.reduce([s.notna().to_numpy() for s in inputs]))
+    rows = [s.iloc[present] for s in inputs]
+    if len(present):
         try:
-            values[present] = pd.Series(list(model(*rows)), index=rows[0].index, dtype=object)
+            for at, value in zip(present, model(*rows), strict=True):
+                values[at] = value
         except Exception:
-            for i in rows[0].index:
+            for n, at in enumerate(present):
                 try:
-                    one = [s.loc[[i]] for s in rows]
-                    values.at[i] = next(iter(model(*one)))
+                    values[at] = next(iter(model(*[s.iloc[[n]] for s in rows])))
                 except Exception as error:
-                    errors.at[i] = repr(error)
-    return pd.DataFrame({"value": values, "error": errors})
+                    values[at], errors[at] = None, repr(error)
+    return values, errors
 
 
 def call(slot: Slot, *inputs: Column) -> Column:
     """struct<value, error> of the slot over the input columns."""
     slot_ref = slot
+    schema = StructType.fromDDL(f"value {slot.output_type}, error string")
+    value_type = to_arrow_type(schema["value"].dataType)
 
-    @F.pandas_udf(f"struct<value:{slot.output_type},error:string>")
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(slot_ref)
         for batch in batches:
-            yield _apply(model, [batch[c] for c in batch.columns])
+            series = [batch.field(i).to_pandas() for i in range(batch.type.num_fields)]
+            values, errors = _apply(model, series)
+            yield pa.StructArray.from_arrays(
+                [pa.array(values, value_type, from_pandas=True), pa.array(errors, pa.string())],
+                names=["value", "error"],
+            )
 
     names = [f"a{i}" for i in range(len(inputs))]
     return run(F.struct(*[c.alias(n) for c, n in zip(inputs, names)]))
