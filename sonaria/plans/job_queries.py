@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.functions import codec
+from sonaria.operators import matching
 from sonaria.plans import jobs
 from sonaria.plans.registered import query
 from sonaria.plans.signal_queries import DIM, PER_CLIP, SAMPLES
 from sonaria.session import scratch_path, table
 from sonaria.slots import builtin
 from sonaria.slots import jobs as slot_jobs
-from sonaria.sources.registry import REGISTRY_SCHEMA
+from sonaria.sources.registry import REGISTRY_SCHEMA, read_latest, write_version
 from sonaria.streaming import jobs as streams
 from sonaria.streaming.processors import SessionParams
 
@@ -226,21 +227,21 @@ def live_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out, checkpoint = (scratch_path(spark, n) for n in ("live", "live-out", "live-checkpoint"))
     frame.unionByName(stop).write.parquet(source)
 
-    def registry(session: SparkSession) -> DataFrame:
-        heard = frame.select("session_id", codec.decode_pcm16(F.col("payload")).alias("samples"))
-        spectra = slot_jobs.embed(heard, builtin.EMBED)
-        newest = spectra.join(
-            rows.select(F.col("vec_id").cast("string").alias("session_id"), "label", "vec_id"), "session_id"
-        )
-        return newest.groupBy(F.col("label").cast("string").alias("user_id")).agg(
-            F.max_by("embedding", "vec_id").alias("embedding"), F.max("session_id").alias("ref_path")
-        )
+    heard = rows.select("vec_id", "label", codec.decode_pcm16(payload).alias("samples"))
+    newest = slot_jobs.embed(heard, builtin.EMBED).select(
+        F.col("label").cast("string").alias("user_id"),
+        F.col("vec_id").cast("string").alias("ref_path"),
+        "embedding",
+        F.col("vec_id").alias("enrolled_at"),
+    )
+    root = scratch_path(spark, "live-registry")
+    write_version(matching.latest_enrolments(newest, ["enrolled_at"]), root)
 
     checks = streams.verify_checks(
         streams.read_frames(spark, source), SessionParams(window_samples=128000, min_samples=48)
     )
     run = streams.start_matching(
-        checks, registry, out, checkpoint, threshold=0.9, top_k=2, denoise=None
+        checks, lambda s: read_latest(s, root), out, checkpoint, threshold=0.9, top_k=2, denoise=None
     )
     run.awaitTermination()
     return spark.read.parquet(out).where("type = 'final'").select(

@@ -170,6 +170,7 @@ def clean_reference(
         frames.join(over, "clip_id", "left_semi"), short_silence, cap_ms, soft_ms, keep_ms
     )
     chosen = first.join(over, "clip_id", "left_anti").unionByName(second)
+    chosen = materialise(chosen, "voice-segments")
     per_ms = rate // 1000
     at = F.floor(F.col("pos") / per_ms)
     # Each second of a clip meets only the segments that touch it.
@@ -188,6 +189,8 @@ def clean_reference(
         )
         .where(F.col("pos") < cap_ms * per_ms)
     )
+    # Levels, bounds and the final samples read the capped samples; written, they are joined once.
+    placed = materialise(placed, "voice-samples")
     levels = placed.groupBy("clip_id", F.floor(F.col("pos") / per_ms).alias("ms")).agg(
         F.sqrt(F.avg(F.col("amp") * F.col("amp"))).alias("level")
     )

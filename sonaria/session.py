@@ -48,6 +48,10 @@ def ship_package(spark: SparkSession) -> SparkSession:
             target, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
         )
         context.addPyFile(archive)
+        # The driver-side runner of stateful streams does not see shipped files, only this path.
+        known = context.environment.get("PYTHONPATH")
+        paths = [os.path.dirname(package)] + ([known] if known else [])
+        context.environment["PYTHONPATH"] = os.pathsep.join(paths)
         _SHIPPED.add(context.applicationId)
     return spark
 
