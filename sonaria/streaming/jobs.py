@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,21 @@ FRAME_SCHEMA = (
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """Partitions of a stream's state, fixed by its first start: by default one wave of tasks.
+
+    The stream copies the setting when it starts; the session gets its own back.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """Frame files as a stream; the trigger bound also bounds a session's rows per micro-batch."""
     return (
@@ -113,6 +129,7 @@ def start_matching(
     registry: Callable[[SparkSession], DataFrame],
     out: str,
     checkpoint: str,
+    partitions: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Writes one decision per check. ``registry`` is called for every micro-batch, so enrolments
@@ -123,23 +140,27 @@ def start_matching(
         # The folder of a batch is replaced when the batch is repeated after a failure.
         decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        checks.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _state_partitions(checks.sparkSession, partitions):
+        return (
+            checks.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
-def start_writing(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def start_writing(
+    stream: DataFrame, out: str, checkpoint: str, partitions: int | None = None
+) -> StreamingQuery:
+    with _state_partitions(stream.sparkSession, partitions):
+        return (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def run_to_end(stream: DataFrame, label: str) -> DataFrame:
