@@ -61,7 +61,7 @@ class WordIds:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            missing = list(set(words) - self.known.keys())
+            missing = [w for w in set(words) if w not in self.known]
         if len(missing) > WORD_CACHE // 2:
             return self._whole(text)
         if len(self.known) + len(missing) > WORD_CACHE:
