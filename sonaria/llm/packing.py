@@ -15,6 +15,7 @@ other columns of the input are not read, so their names cannot clash.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,17 +30,66 @@ from sonaria.session import materialise
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a Python worker remembers; more are forgotten and looked up again.
-WORD_CACHE = 300_000
+WORD_CACHE = 400_000
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
+# The pieces the tokenizer's own pattern finds, written out for characters below U+0180.
+_BEYOND = re.compile(r"[\u0130\u0180-\U0010ffff]")
+_MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_PIECE = re.compile(
+    r"[a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+"
+    r"|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+    r"|'s|'t|'re|'ve|'m|'ll|'d"
+    r"|[^\s\u0085\u00a0a-zA-Z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+"
+)
+# The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for
+# the characters from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in set(_SHOWN)]
+_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(_REST)}
+
+
+class _Pieces(dict):
+    """Piece to the bytes of its ids; a full memory starts anew."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        plain = piece if piece.isascii() else "".join(map(_ALPHABET.__getitem__, piece.encode()))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(plain)])
+        self[piece] = ids
+        return ids
+
+
+class _Words(dict):
+    """Word to the bytes of its ids; a full memory starts anew."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Ids of texts, word by word.
 
-    The tokenizer of the packing query drops white space and never joins over it, so the ids of a text
-    are those of its words one after the other. Texts with the separators that Python counts
-    as white space and Unicode does not go to the tokenizer whole.
+    The tokenizer of the packing query works on pieces, runs of letters, single digits and runs of
+    other signs, and drops the white space between them, so the ids of a text are those of its
+    words one after the other, and those of a word are those of its pieces. Words come back often;
+    their ids are remembered. Texts with characters beyond Latin letters, with added tokens or with
+    separators of their own go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -47,30 +97,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        self.words = _Words(_Pieces(self.tokenizer.model))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of one text."""
-        if any(mark in text for mark in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        words = text.split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            missing = [w for w in set(words) if w not in self.known]
-        if len(missing) > WORD_CACHE // 2:
-            return self._whole(text)
-        if len(self.known) + len(missing) > WORD_CACHE:
-            self.known.clear()
-            missing = list(set(words))
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        for word, ids in zip(missing, found, strict=True):
-            self.known[word] = np.array(ids.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            text.encode("latin-1")
+            plain = not any(mark in text for mark in _MARKS)
+        except UnicodeEncodeError:
+            plain = not (_BEYOND.search(text) or any(mark in text for mark in _MARKS))
+        if plain:
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def word_ids(path: str) -> WordIds:
