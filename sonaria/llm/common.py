@@ -36,7 +36,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star step followed by one small-star step over (a, b) with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     large = (
         both.join(least, "a")
         .where(F.col("b") > F.col("a"))
