@@ -12,6 +12,7 @@ from sonaria.llm import (
     language_id,
     mixing,
     packing,
+    passage_dedup,
     simhash,
     suffix_dedup,
     topk_search,
@@ -91,6 +92,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op10_passage_dedup")
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def all_queries():
     return dict(QUERIES)
 
