@@ -34,7 +34,7 @@ def fit_counts(
     sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET
 ) -> np.ndarray:
     """How many documents of each length to take so that their words come to ``budget``, or as
-    near below it as the search finds."""
+    near to it as the search finds."""
     total = int((sizes * counts).sum())
     take = np.zeros(len(sizes), dtype=np.int64)
     if total == 0 or budget <= 0:
@@ -72,6 +72,11 @@ def fit_counts(
         if not before >> sum_now & 1:
             take[i] += bundle
             sum_now -= bundle * int(sizes[i])
+    # One more document if it lands nearer above the budget than the sum stays below it.
+    gap = budget - int((sizes * take).sum())
+    above = np.flatnonzero((take < counts) & (sizes > gap) & (sizes < 2 * gap))
+    if len(above):
+        take[above[sizes[above].argmin()]] += 1
     return take
 
 
