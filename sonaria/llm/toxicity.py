@@ -34,11 +34,11 @@ BITS = 20
 DIMENSIONS = 1 << BITS
 BIAS = DIMENSIONS
 POSITIVES = 3_000
-NEGATIVES = 6_000
+NEGATIVES = 3_000
 HELD_OUT_OF = 5
 SEED = 11
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 5.0, 0.1
 #: Words that a worker remembers the hash of, and words that are hashed at once.
 WORD_CACHE = 300_000
 BLOCK = 1 << 18
