@@ -37,66 +37,94 @@ from sonaria.session import materialise
 SPAN = 200
 GRAM = 32
 #: Bytes of a text that are hashed at once; neighbouring blocks overlap by a window.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Different contexts of one gram that a suffix array takes, and contexts of one bucket.
 HOT = 256
 BUCKET = 2_000
 
-_BASE = 0x9E3779B97F4A7C15
+_BASES = {"gram": 0x9E3779B97F4A7C15, "context": 0xD6E8FEB86659FD93}
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            found = np.full(BLOCK + 2 * SPAN, base, dtype=np.uint64)
-            found[0] = 1
-            _POWERS[name] = np.multiply.accumulate(found)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of a hash and of its inverse modulo 2^64."""
+    if kind not in _POWERS:
+        found = []
+        for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
+            power = np.full(BLOCK + 2 * SPAN, base, dtype=np.uint64)
+            power[0] = 1
+            found.append(np.multiply.accumulate(power))
+        _POWERS[kind] = tuple(found)
+    return _POWERS[kind]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of every ``GRAM`` bytes, by one running sum."""
-    up, down = _powers()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _sums(data: np.ndarray, kind: str) -> np.ndarray:
+    up, _ = _powers(kind)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    found = (sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1]
-    found ^= found >> np.uint64(32)
-    found *= _MIX
-    found ^= found >> np.uint64(29)
-    found *= _MIX
-    return found ^ (found >> np.uint64(32))
+    return sums
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and gram hashes of the anchors of a text, in order."""
+def block_anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and gram hashes of the anchors of a block of at most ``BLOCK`` bytes and a window;
+    ``inside`` says for each window whether it is within one text."""
     width = SPAN - GRAM + 1
     low = np.uint64((1 << 24) - 1)
-    places, grams = [], []
+    _, down = _powers("gram")
+    sums = _sums(data, "gram")
+    found = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+    n = len(found)
+    # Forty bits of hash, then the place: the smallest is the leftmost of equals.
+    ranked = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.bitwise_or(found & ~low, np.arange(n, dtype=np.uint64), out=ranked[:n])
+    blocks = ranked.reshape(-1, width)
+    head = np.minimum.accumulate(blocks, axis=1).ravel()
+    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(tail[: n - width + 1], head[width - 1 : n])[inside] & low).astype(np.int64)
+    if len(at):
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return at, found[at]
+
+
+def anchors(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and gram hashes of the anchors of the texts that end at ``ends``, in order; a place may
+    come twice where blocks meet."""
     for start in range(0, max(len(data) - SPAN + 1, 0), BLOCK):
         part = data[start : start + BLOCK + SPAN - 1]
-        found = gram_hashes(part)
-        n = len(found)
-        # Forty bits of hash, then the place: the smallest is the leftmost of equals.
-        ranked = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-        ranked[:n] = (found & ~low) | np.arange(n, dtype=np.uint64)
-        blocks = ranked.reshape(-1, width)
-        head = np.minimum.accumulate(blocks, axis=1).ravel()
-        tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        at = (np.minimum(tail[: n - width + 1], head[width - 1 : n]) & low).astype(np.int64)
-        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-        places.append(at + start)
-        grams.append(found[at])
-    if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(grams)[first]
-
-
-def _reach(place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the context of an anchor begins and ends."""
-    return np.maximum(place - (SPAN - GRAM), 0), np.minimum(place + SPAN, n)
+        inside = np.ones(len(part) - SPAN + 1, dtype=bool)
+        for end in (ends[slice(*np.searchsorted(ends, [start, start + len(part)]))] - start).tolist():
+            inside[max(end - SPAN + 1, 0) : end] = False
+        at, gram = block_anchors(part, inside)
+        yield at + start, gram
+
+
+def context_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[begin:end] for stretches in order of ``begin``, block by block."""
+    _, down = _powers("context")
+    out = np.zeros(len(begin), dtype=np.uint64)
+    for start in range(0, len(data), BLOCK):
+        own = slice(*np.searchsorted(begin, [start, start + BLOCK]))
+        if own.start == own.stop:
+            continue
+        sums = _sums(data[start : start + BLOCK + 2 * SPAN - 1], "context")
+        b, e = begin[own] - start, end[own] - start
+        out[own] = _mixed((sums[e] - sums[b]) * down[b]) + (e - b).astype(np.uint64)
+    return out
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column and where its texts end, without copies; no text is null."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
 def _utf8(column: pa.Array) -> Iterator[np.ndarray]:
@@ -105,50 +133,65 @@ def _utf8(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """g (gram), c (context), k1 and k2 (text), at (place), before (bytes of the context before it)."""
-    for batch in batches:
-        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out = {name: [] for name in ("g", "c", "k1", "k2", "at", "before")}
-        for row, data in enumerate(_utf8(batch.column(2))):
-            place, gram = anchors(data)
-            if not len(place):
+def _emit_anchors(grams_only: bool):
+    """Arrow function: g (gram), and with it c (context), k1 and k2 (text), at (place in the text) and
+    shape (bytes of the context before and after the place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = _bytes(batch.column(2))
+            found = list(anchors(data, ends))
+            if not found:
                 continue
-            begin, end = _reach(place, len(data))
-            view = memoryview(data)
+            place, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+            gram = np.concatenate([f[1] for f in found])[first].view(np.int64)
+            if grams_only:
+                yield pa.RecordBatch.from_arrays([pa.array(gram)], ["g"])
+                continue
+            text = np.searchsorted(ends, place, side="right")
+            start = np.concatenate([[0], ends])[text]
+            begin, end = np.maximum(place - (SPAN - GRAM), start), np.minimum(place + SPAN, ends[text])
             before = place - begin
-            context = [
-                xxhash.xxh3_64_intdigest(view[b:e], seed=s)
-                for b, e, s in zip(begin.tolist(), end.tolist(), before.tolist(), strict=True)
-            ]
-            out["g"].append(gram.view(np.int64))
-            out["c"].append(np.array(context, dtype=np.uint64).view(np.int64))
-            out["k1"].append(np.full(len(place), k1[row]))
-            out["k2"].append(np.full(len(place), k2[row]))
-            out["at"].append(place.astype(np.int32))
-            out["before"].append((before.astype(np.int32) << 8) | (end - place).astype(np.int32))
-        if out["g"]:
+            hashed = context_hashes(data, begin, end) + before.astype(np.uint64) * _MIX
+            owner = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(v)) for v in out.values()],
+                [
+                    pa.array(gram),
+                    pa.array(hashed.view(np.int64)),
+                    batch.column(0).take(owner),
+                    batch.column(1).take(owner),
+                    pa.array((place - start).astype(np.int32)),
+                    pa.array(((before << 8) | (end - place)).astype(np.int32)),
+                ],
                 ["g", "c", "k1", "k2", "at", "shape"],
             )
 
+    return run
+
 
-def suffix_array(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Suffixes of ``data`` in the order of their first ``depth`` bytes, by two-stage sorting."""
+def suffix_array(
+    data: np.ndarray, wide: np.ndarray, depth: int = SPAN, wanted: np.ndarray | None = None
+) -> np.ndarray:
+    """Suffixes of ``data`` in the order of their first ``depth`` bytes, by two-stage sorting.
+
+    ``wide`` names the 32 bytes from every position. Of a mask of wanted suffixes all are returned, with those that were needed to place them.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    words = leading_words(data, depth)
     # A suffix smaller than its successor rises; in a run of equal bytes the run's end decides.
-    rises = np.zeros(n, dtype=bool)
     step = np.zeros(n, dtype=np.int8)
     step[:-1] = np.sign(data[1:].astype(np.int16) - data[:-1])
     step[-1] = -1
     ends = np.where(step != 0, np.arange(n), n - 1)
     ends = np.minimum.accumulate(ends[::-1])[::-1]
-    rises = step[ends] > 0
-    risen = sort_suffixes(np.flatnonzero(rises), words, depth)
+    rising = np.flatnonzero(step[ends] > 0)
+    if wanted is not None and len(rising):
+        # A falling suffix is placed by the next rising one.
+        marked = np.concatenate([[0], np.cumsum(wanted)])
+        since = np.concatenate([[0], rising[:-1] + 1])
+        rising = rising[marked[rising + 1] > marked[since]]
+    risen = sort_suffixes(rising, wide, depth)
     risen_by = np.split(risen, np.searchsorted(data[risen], np.arange(1, 256)))
     # The others follow from the scan: the suffix before an entry goes to the front of its bucket.
     falling: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -173,23 +216,34 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
     return np.concatenate(order)
 
 
-def leading_words(data: np.ndarray, depth: int) -> np.ndarray:
-    """The eight bytes from every position as one big-endian number, with room for ``depth`` more."""
-    padded = np.zeros(len(data) + depth + 16, dtype=np.uint8)
+def names(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the 8 and of the 32 bytes from every position, with room for ``depth``
+    more positions; bytes after the end are zeros."""
+    padded = np.zeros(len(data) + depth + 8, dtype=np.uint8)
     padded[: len(data)] = data
-    words = np.zeros(len(data) + depth + 8, dtype=np.uint64)
+    found = np.zeros(len(data) + depth, dtype=np.uint64)
     for k in range(8):
-        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * (7 - k))
-    return words
-
-
-def sort_suffixes(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Direct sort by words of eight bytes; only what is still tied goes on to the next word."""
-    order = places[np.argsort(words[places], kind="stable")]
+        found |= padded[k : k + len(found)].astype(np.uint64) << np.uint64(8 * (7 - k))
+    ranks = []
+    for size in (8, 16, 32):
+        order = np.argsort(found)
+        ordered = found[order]
+        rank = np.zeros(len(found), dtype=np.uint64)
+        rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+        ranks.append(rank)
+        following = np.zeros_like(rank)
+        following[:-size] = rank[size:]
+        found = (rank << np.uint64(32)) | following
+    return ranks[0], ranks[2]
+
+
+def sort_suffixes(places: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
+    """Direct sort by 32 bytes at a time; only what is still tied goes on to the next ones."""
+    order = places[np.argsort(wide[places], kind="stable")]
     if len(order) < 2:
         return order
-    group = np.cumsum(np.diff(words[order], prepend=words[order[0]]) != 0)
-    for offset in range(8, depth, 8):
+    group = np.concatenate([[0], np.cumsum(wide[order[1:]] != wide[order[:-1]])])
+    for offset in range(32, depth, 32):
         same = group[1:] == group[:-1]
         tied = np.zeros(len(order), dtype=bool)
         tied[1:] |= same
@@ -197,24 +251,25 @@ def sort_suffixes(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        word = words[order[at] + offset]
-        again = np.lexsort((word, group[at]))
-        order[at] = order[at][again]
-        word, own = word[again], group[at]
+        key = (group[at].astype(np.uint64) << np.uint64(32)) | wide[order[at] + offset]
+        again = np.argsort(key)
+        order[at], key = order[at][again], key[again]
         new = np.zeros(len(order), dtype=np.int64)
-        new[at[1:]] = (own[1:] == own[:-1]) & (word[1:] != word[:-1])
-        new[1:] += ~same
+        new[1:] = ~same
+        new[at[1:]] |= key[1:] != key[:-1]
         group = np.cumsum(new)
     return order
 
 
-def common_prefix(order: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """For neighbours of the order: whether they agree in their first ``depth`` bytes."""
+def common_prefix(order: np.ndarray, small: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
+    """For neighbours of the order: whether they agree in their first ``depth`` bytes, a multiple of
+    eight."""
     agree = np.ones(max(len(order) - 1, 0), dtype=bool)
     left = np.arange(len(agree))
-    for offset in range(0, depth, 8):
-        mask = np.uint64((1 << 64) - (1 << (8 * max(0, offset + 8 - depth))))
-        same = (words[order[left] + offset] ^ words[order[left + 1] + offset]) & mask == 0
+    whole = depth // 32 * 32
+    steps = [(wide, o) for o in range(0, whole, 32)] + [(small, o) for o in range(whole, depth, 8)]
+    for name, offset in steps:
+        same = name[order[left] + offset] == name[order[left + 1] + offset]
         agree[left[~same]] = False
         left = left[same]
     return agree
@@ -229,12 +284,13 @@ def repeated_windows(contexts: list[bytes], first: np.ndarray, text: np.ndarray)
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     begin = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(contexts)), length)
-    order = suffix_array(data)
-    fits = order - begin[owner[order]] + SPAN <= length[owner[order]]
-    order = order[fits]
+    fits = np.arange(len(data)) - begin[owner] + SPAN <= length[owner]
+    small, wide = names(data, SPAN + 32)
+    order = suffix_array(data, wide, wanted=fits)
+    order = order[fits[order]]
     if not len(order):
         return np.zeros((0, 3), dtype=np.int64)
-    agree = common_prefix(order, leading_words(data, SPAN), SPAN)
+    agree = common_prefix(order, small, wide, SPAN)
     of = owner[order]
     place = (text[of].astype(np.int64) << 32) + first[of] + order - begin[of]
     runs = np.concatenate([[0], np.flatnonzero(~agree) + 1])
@@ -317,11 +373,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, from_, to_): byte spans of texts to remove, overlapping ones included."""
     keyed = _keyed(docs)
-    found = keyed.select("k1", "k2", "text").mapInArrow(
-        _emit_anchors, "g long, c long, k1 long, k2 long, at int, shape int"
+    texts = keyed.select("k1", "k2", "text")
+    again = (
+        texts.mapInArrow(_emit_anchors(True), "g long")
+        .groupBy("g")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("g")
+    )
+    # Anchors are found again rather than written: the table of all of them is as large as the texts.
+    every = texts.mapInArrow(
+        _emit_anchors(False), "g long, c long, k1 long, k2 long, at int, shape int"
     )
-    every = materialise(found, "anchors")
-    again = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     common = materialise(every.join(again, "g", "left_semi"), "common-anchors")
     place = F.struct("k1", "k2", "at", "shape")
     contexts = materialise(
