@@ -27,6 +27,14 @@ def bytes_per_frame(channels: Column) -> Column:
     return channels * 2
 
 
+def playable(frames: DataFrame) -> Column:
+    """An audio frame needs a payload, a channel count and, where frames have one, a sample rate."""
+    sound = F.col("payload").isNotNull() & (F.col("channels") > 0)
+    if "sample_rate" in frames.columns:
+        sound = sound & (F.col("sample_rate") > 0)
+    return F.coalesce(sound, F.lit(False))
+
+
 def misaligned(payload: Column, channels: Column) -> Column:
     return F.pmod(F.octet_length(payload), bytes_per_frame(channels)) != 0
 
@@ -44,7 +52,8 @@ def classify(frames: DataFrame, accepts_reset: bool = True) -> DataFrame:
         "_ok", is_json_object(F.col("body"))
     )
     code = (
-        F.when(audio & misaligned(F.col("payload"), F.col("channels")), "bad_frame_size")
+        F.when(audio & ~playable(frames), "ingest_failed")
+        .when(audio & misaligned(F.col("payload"), F.col("channels")), "bad_frame_size")
         .when(control & ~F.col("_ok"), "bad_json")
         .when(
             control & F.coalesce(~F.col("_c.event").isin(*events), F.lit(True)), "unknown_event"

@@ -50,6 +50,12 @@ def truncated_cosine(a: Column, b: Column, max_dim: int = SPEAKER_DIM) -> Column
     return cosine(left, right)
 
 
+def finite(a: Column) -> Column:
+    """True for a vector that is there and has neither null, NaN nor infinite components."""
+    sound = F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(sound, F.lit(False))
+
+
 def score01(cos: Column) -> Column:
     """Cosine in [-1, 1] to a score in [0, 1]."""
     return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)) + 1.0) / 2.0

@@ -16,9 +16,10 @@ from sonaria.constants import MATCH_THRESHOLD, TOP_K
 from sonaria.functions import vectors
 
 MATCH_TYPE = "array<struct<user_id:string,score:double,cosine:double,ref_path:string>>"
-# A registry up to this size is sent to every executor; a larger one is matched block by block.
-BROADCAST_BYTES = 128 * 1024 * 1024
-BLOCK_ROWS = 32768
+# Rows of a block of probes and of a block of the registry. Probes are the many, so their blocks are the
+# larger ones: a registry row is sent once for each of them.
+PROBE_ROWS = 65536
+BLOCK_ROWS = 16384
 SCORE_CELLS = 4_000_000
 # Scores equal to this many decimals count as ties, so that block shape cannot decide an order.
 TIE_DECIMALS = 12
@@ -115,46 +116,21 @@ def top_matches(
     probes: DataFrame,
     registry: DataFrame,
     top_k: int = TOP_K,
-    broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    probe_rows: int = PROBE_ROWS,
 ) -> DataFrame:
     """(probe_id, matches): the best ``top_k`` registry entries of every probe, best first.
 
-    Exact. The registry is counted first: within ``broadcast_bytes`` it goes to the executors
-    and probes never move; beyond, both sides are cut into hashed blocks that meet in a grid.
+    Exact, and one way for every size: both sides are cut into hashed blocks that meet in a grid, and
+    a cell returns its k best. Registry vectors with null or non-finite components match nothing.
     """
     probes = probes.select("probe_id", "embedding")
     registry = registry.select("user_id", "ref_path", "embedding").where(
-        F.col("embedding").isNotNull()
+        vectors.finite(F.col("embedding"))
     )
-    measure = registry.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d"),
-    ).first()
-    if measure.n * (measure.d * 8 + 64) <= broadcast_bytes:
-        return _match_broadcast(probes, registry, top_k)
-    return _match_grid(probes, registry, top_k, measure.n, block_rows)
-
-
-def _match_broadcast(probes: DataFrame, registry: DataFrame, top_k: int) -> DataFrame:
-    spark = probes.sparkSession
-    shared = spark.sparkContext.broadcast(_registry_arrays(registry.toArrow()))
-
-    def run(batches):
-        ids, paths, matrix = shared.value
-        for batch in batches:
-            lists = _match_lists(batch.column(1), ids, paths, matrix, top_k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["probe_id", "matches"])
-
-    id_type = probes.schema["probe_id"].dataType.simpleString()
-    return probes.mapInArrow(run, f"probe_id {id_type}, matches {MATCH_TYPE}")
-
-
-def _match_grid(
-    probes: DataFrame, registry: DataFrame, top_k: int, n_registry: int, block_rows: int
-) -> DataFrame:
+    n_registry = registry.count()
     n_probes = probes.count()
-    p_blocks = max(1, -(-n_probes // block_rows))
+    p_blocks = max(1, -(-n_probes // probe_rows))
     r_blocks = max(1, -(-n_registry // block_rows))
     left = probes.withColumn("pb", F.pmod(F.xxhash64("probe_id"), F.lit(p_blocks))).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))
@@ -189,7 +165,7 @@ def _merge_blocks(local: DataFrame, top_k: int) -> DataFrame:
     ranked = (
         local.select("probe_id", F.explode_outer("matches").alias("m"))
         .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
+        .where(F.col("rank") <= max(1, top_k))
     )
     pairs = F.collect_list(F.when(F.col("m").isNotNull(), F.struct("rank", "m")))
     return ranked.groupBy("probe_id").agg(

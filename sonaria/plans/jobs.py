@@ -119,8 +119,12 @@ def enrolment_job(
         "user_id",
         F.when(F.col("user_id") == "_default", text.hex_id()).otherwise(F.col("user_id")),
     )
-    long = signal.long_enough(F.size("samples"), F.lit(MIN_ENROL_SEC), F.lit(rate))
-    short = named.where(~long).select("user_id", "ref_path", F.lit("too short").alias("error"))
+    # Clips without samples are not long enough: every clip ends in one of the outputs.
+    length = F.coalesce(F.size("samples"), F.lit(0))
+    long = F.coalesce(signal.long_enough(length, F.lit(MIN_ENROL_SEC), F.lit(rate)), F.lit(False))
+    short = materialise(
+        named.where(~long).select("user_id", "ref_path", F.lit("too short").alias("error")), "short-clips"
+    )
     clean = jobs.denoise(named.where(long), denoise).withColumnRenamed("error", "_denoise")
     vectors = jobs.embed(clean, embed).withColumn("error", F.coalesce("_denoise", "error"))
     # Drawn ids and model results are fixed here; both outputs read the written rows.

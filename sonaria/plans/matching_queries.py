@@ -105,13 +105,13 @@ SELECT probe_id, CAST(rank AS BIGINT) AS rank, user_id, round(cosine, 6) AS cosi
 FROM ranked WHERE rank <= 3""",
 )
 def registry_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid path a registry beyond the broadcast bound takes."""
+    """Small blocks, so that the grid has many cells even on small tables."""
     matched = matching.top_matches(
         probes_of(spark, sf_dir),
         full_registry(spark, sf_dir),
         top_k=3,
-        broadcast_bytes=0,
-        block_rows=1024,
+        block_rows=64,
+        probe_rows=96,
     )
     return matching.match_rows(matched).select(
         "probe_id",

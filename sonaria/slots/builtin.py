@@ -36,8 +36,14 @@ def _spectral_embedder():
     def run(samples: pd.Series) -> pd.Series:
         out = []
         for x in samples:
-            head = np.asarray(x, dtype=np.float64)[:SPECTRUM_SAMPLES]
-            spectrum = np.abs(np.fft.rfft(head))[:SPECTRUM_BINS]
+            x = np.asarray(x, dtype=np.float64)
+            if len(x) <= SPECTRUM_SAMPLES:
+                frames = x.reshape(1, -1)
+            else:
+                # The mean over all frames; the last one is filled up with silence.
+                frames = np.zeros((-(-len(x) // SPECTRUM_SAMPLES), SPECTRUM_SAMPLES))
+                frames.ravel()[: len(x)] = x
+            spectrum = np.abs(np.fft.rfft(frames, axis=1)).mean(axis=0)[:SPECTRUM_BINS]
             out.append((spectrum / max(np.linalg.norm(spectrum), 1e-12)).astype(np.float32))
         return pd.Series(out, index=samples.index)
 

@@ -21,9 +21,9 @@ def append_metadata(rows: DataFrame, path: str) -> None:
     rows.select("file", "text").write.mode("append").options(**PIPE, emptyValue="").csv(path)
 
 
-def append_raw_metadata(rows: DataFrame, path: str) -> None:
+def append_raw_metadata(rows: DataFrame, path: str, mode: str = "append") -> None:
     """``file|text`` without any quoting."""
-    rows.select(F.concat_ws("|", "file", "text")).write.mode("append").text(path)
+    rows.select(F.concat_ws("|", "file", "text")).write.mode(mode).text(path)
 
 
 def write_results(results: DataFrame, ok_path: str, error_path: str) -> None:

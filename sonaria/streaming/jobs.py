@@ -13,7 +13,7 @@ from sonaria.constants import MATCH_THRESHOLD, TOP_K
 from sonaria.functions import messages, text
 from sonaria.functions.clock import epoch_micros
 from sonaria.operators import matching
-from sonaria.session import scratch_path, ship_package
+from sonaria.session import materialise, scratch_path, ship_package
 from sonaria.slots import builtin, jobs
 from sonaria.slots.base import Slot
 from sonaria.sources.sinks import append_raw_metadata
@@ -132,11 +132,16 @@ def start_matching(
     partitions: int | None = None,
     **options,
 ) -> StreamingQuery:
-    """Writes one decision per check. ``registry`` is called for every micro-batch, so enrolments
+    """Writes one decision per check, and ready and error rows without one. ``registry`` is called for every micro-batch, so enrolments
     made meanwhile count for sessions that are already live."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decided = match_checks(batch, registry(batch.sparkSession), **options)
+        # The stateful stage runs once: both branches read the checks it wrote.
+        checked = materialise(batch, "checks")
+        decided = match_checks(checked, registry(batch.sparkSession), **options)
+        told = checked.where(~F.col("type").isin("partial", "final")).drop("samples")
+        told = told.withColumn("matches", F.array().cast(matching.MATCH_TYPE))
+        decided = decided.unionByName(told, allowMissingColumns=True)
         # The folder of a batch is replaced when the batch is repeated after a failure.
         decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
@@ -194,7 +199,8 @@ def start_corpus_increment(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_raw_metadata(batch, f"{out}/batch={batch_id}")
+        # A batch repeated after a failure replaces its folder, so no row is there twice.
+        append_raw_metadata(batch, f"{out}/batch={batch_id}", mode="overwrite")
 
     return (
         kept.writeStream.foreachBatch(write)

@@ -88,7 +88,10 @@ class _Session(StatefulProcessor):
 
     def _save(self) -> None:
         self.meta.update((self.last_activity, self.last_emit, self.silent, self.closed))
-        self.audio.update((self.buffer.astype("<f4").tobytes(),))
+        if len(self.buffer):
+            self.audio.update((self.buffer.astype("<f4").tobytes(),))
+        elif self.audio.exists():
+            self.audio.clear()
 
     def _append(self, x: np.ndarray) -> None:
         if len(x):
@@ -173,7 +176,10 @@ class AsrProcessor(_Session):
     def _apply(self, row) -> None:
         utt = None if pd.isna(row.utt_id) else row.utt_id
         if row.action == "audio":
-            self._append(_signal(row))
+            try:
+                self._append(_signal(row))
+            except ValueError as error:
+                self._say(row.ts_us, row.seq, 2, "error", None, utt, "ingest_failed", repr(error))
             self.last_activity, self.silent = row.ts_us, False
         elif row.action == "flush":
             self._say_text(row.ts_us, row.seq, 2, "partial", utt)
@@ -251,7 +257,13 @@ class VerifyProcessor(_Session):
             if due is not None and row.ts_us >= due:
                 self._end(due, None, "inactivity")
             elif row.action == "audio":
-                self._append(_signal(row))
+                try:
+                    self._append(_signal(row))
+                except ValueError as error:
+                    self.out.append(
+                        (self.key, row.ts_us, row.seq, "error", "ingest_failed", len(self.buffer), False, None, repr(error))
+                    )
+                    continue
                 self.last_activity, dirty = row.ts_us, row
                 if not self.params.coalesce:
                     self._check(row.ts_us, row.seq, "partial")

@@ -25,7 +25,7 @@ def _one(spark, vector, registry, top_k=3, **options):
     return matching.top_matches(probe, registry, top_k, **options)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 1, "probe_rows": 1}])
 def test_best_first_and_scores_in_range(spark, axes, options):
     matches = _one(spark, [0.0, 1.0, 0.0], axes, **options).first().matches
     assert [m.user_id for m in matches] == ["b", "a", "c"]
@@ -42,7 +42,7 @@ def test_threshold_and_kept_best(spark, axes):
     assert matching.decide(matched, 0.8).first().decision
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 2}])
 def test_empty_results_keep_the_probe(spark, axes, options):
     null_probe = matching.decide(_one(spark, None, axes, **options)).first()
     assert null_probe.matches == [] and not null_probe.decision and null_probe.best is None
@@ -50,6 +50,16 @@ def test_empty_results_keep_the_probe(spark, axes, options):
     assert empty.matches == [] and not empty.decision
 
 
+def test_broken_registry_vectors_match_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", "a", [1.0, 0.0]), ("b", "b", [nan, 0.0]), ("c", "c", [nan, nan]), ("d", "d", [inf, 1.0])]
+    rows += [("e", "e", None), ("f", "f", [None, 1.0])]
+    registry = spark.createDataFrame(rows, "user_id string, ref_path string, embedding array<double>")
+    probe = spark.createDataFrame([("p", [1.0, 0.0])], "probe_id string, embedding array<double>")
+    matches = matching.top_matches(probe, registry, 2).first().matches
+    assert [m.user_id for m in matches] == ["a"]
+
+
 def test_zero_vector_scores_one_half(spark, axes):
     scores = [m.score for m in _one(spark, [0.0, 0.0, 0.0], axes).first().matches]
     assert scores == [0.5, 0.5, 0.5]
@@ -77,7 +87,7 @@ def test_both_paths_agree_with_brute_force(spark):
     unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
     scores = np.round(unit(probes) @ unit(registry).T, 12)
     want = {f"p{i}": [f"u{j:03d}" for j in np.lexsort((np.arange(150), -scores[i]))[:7]] for i in range(60)}
-    for options in ({}, {"broadcast_bytes": 0, "block_rows": 16}):
+    for options in ({}, {"block_rows": 16, "probe_rows": 20}):
         got = matching.top_matches(probe_df, reg_df, 7, **options).collect()
         assert {r.probe_id: [m.user_id for m in r.matches] for r in got} == want
 

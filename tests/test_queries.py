@@ -35,4 +35,4 @@ def test_no_driver_side_data_paths():
         for name in files:
             if name.endswith(".py"):
                 body = open(os.path.join(folder, name), encoding="utf-8").read()
-                assert not re.search(r"\.(collect|toPandas|crossJoin|localCheckpoint)\(", body), name
+                assert not re.search(r"\.(collect|toPandas|toArrow|crossJoin|localCheckpoint)\(", body), name

@@ -163,7 +163,8 @@ def test_verify_session_matches_a_registry_that_changes(spark, tmp_path):
     )
     run()
     decided = spark.read.parquet(out)
-    texts = [json.loads(r.message) for r in jobs.verify_json(decided).where("seq <> 3").orderBy("seq").collect()]
+    answers = decided.where("type in ('partial', 'final')")
+    texts = [json.loads(r.message) for r in jobs.verify_json(answers).where("seq <> 3").orderBy("seq").collect()]
     assert [t["best"] and t["best"]["user_id"] for t in texts] == [None, None, "b"]
     assert texts[0] == {
         "type": "partial", "decision": False, "threshold": 0.7, "best": None, "matches": [], "reason": None,
@@ -173,12 +174,27 @@ def test_verify_session_matches_a_registry_that_changes(spark, tmp_path):
     seen = [(r.seq, r.type, r.decision, r.best.user_id if r.best else None, len(r.matches), r.reason) for r in rows]
     assert seen == [
         (1, "partial", False, None, 0, None),
+        (1, "ready", None, None, 0, None),
         (2, "partial", False, None, 1, None),
         (3, "partial", True, "b", 2, None),
+        (4, "error", None, None, 0, "unknown_event"),
         (5, "final", True, "b", 2, "client_stop"),
     ]
 
 
+def test_broken_frame_is_an_error_not_the_end(spark):
+    path = scratch_path(spark, "t-broken")
+    broken = _frame("s", 2, 2, payload=_tone(10))
+    rows = [_frame("s", 1, 1, payload=_tone(4000)), broken, _frame("s", 3, 3, body='{"event":"stop"}')]
+    _write(spark, path, rows)
+    frames = jobs.read_frames(spark, path).withColumn(
+        "sample_rate", F.when(F.col("seq") == 2, F.lit(0)).otherwise(F.col("sample_rate"))
+    )
+    said = jobs.run_to_end(jobs.verify_checks(frames, SessionParams(128000, min_samples=1)), "t-broken-out")
+    seen = {(r.seq, r.type, r.reason) for r in said.collect()}
+    assert (2, "error", "ingest_failed") in seen and (3, "final", "client_stop") in seen
+
+
 def test_idle_verify_session_is_checked_again_then_closed(spark):
     path = scratch_path(spark, "t-vidle")
     _write(
