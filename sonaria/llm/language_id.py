@@ -137,12 +137,13 @@ def _train(rows: pa.Table) -> pa.Table:
             "bias": bias,
             "trust": trust / trust.sum(),
             "weights": pa.array(list(weights.T.astype(np.float64)), pa.list_(pa.float64())),
+            "languages": pa.array([languages] * code.shape[1], pa.list_(pa.string())),
         }
     )
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
-    """The learned languages and (lang, draw, text) of the bounded sample without the held-out ids."""
+def training_sample(docs: DataFrame) -> DataFrame:
+    """(lang, draw, text) of the bounded sample without the held-out ids."""
     open_ = docs.where(
         F.col("lang").isNotNull()
         & F.col("text").isNotNull()
@@ -159,21 +160,24 @@ def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
     for lang, share in shares.items():
         part = F.when(F.col("lang") == lang, F.lit(share)).otherwise(part)
     place = F.col("draw").cast("double") / 2.0**64 + 0.5
-    chosen = open_.where(place < part).groupBy("lang", "draw").agg(F.max("text").alias("text"))
-    return sorted(sizes), chosen
+    return open_.where(place < part).groupBy("lang", "draw").agg(F.max("text").alias("text"))
 
 
 def classifier(docs: DataFrame):
     """Column function: struct of lang_pred, score and ambiguous of a text column."""
-    languages, sample = training_sample(docs.select("doc_id", "text", "lang"))
+    sample = training_sample(docs.select("doc_id", "text", "lang"))
     found = (
         sample.mapInArrow(_sample_counts, "lang string, draw long, at array<int>, n array<long>")
         .withColumn("all", F.lit(0))
         .groupBy("all")
-        .applyInArrow(_train, "bit long, bias double, trust double, weights array<double>")
+        .applyInArrow(
+            _train,
+            "bit long, bias double, trust double, weights array<double>, languages array<string>",
+        )
     )
     # A row per bit of the code; the code grows with the logarithm of the number of languages.
-    bits = sorted((r["bit"], r["bias"], r["trust"], r["weights"]) for r in found.toLocalIterator())
+    bits = sorted(tuple(r) for r in found.toLocalIterator())
+    languages = bits[0][4] if bits else []
     code = codewords(len(languages))
     bias = np.array([b[1] for b in bits])
     trust = np.array([b[2] for b in bits])
