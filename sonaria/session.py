@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -57,16 +58,21 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables, named by ``spark.checkpoint.dir``."""
+    """Shared folder for written intermediate tables, named by ``spark.checkpoint.dir``.
+
+    A local session without the setting gets a folder of its own, which goes when Python ends.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_SCRATCH.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="sonaria-scratch-")
-    )
+    if context.applicationId not in _LOCAL_SCRATCH:
+        folder = tempfile.mkdtemp(prefix="sonaria-scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_SCRATCH[context.applicationId] = folder
+    return _LOCAL_SCRATCH[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
