@@ -143,6 +143,60 @@ def _enrolled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return jobs.enrolment_job(clips, spark.createDataFrame([], REGISTRY_SCHEMA), rate=ENROL_RATE)
 
 
+@query(
+    "enrolment_accounting",
+    """
+WITH c AS (
+  SELECT label, vec_id, vec_id % 3 = 2 OR vec_id % 5 = 0 AS short,
+         'clips\\' || label || '/' || vec_id || '.WAV' AS ref_path
+  FROM embeddings)
+SELECT CAST(label AS VARCHAR) AS user_id, ref_path, 'too short' AS outcome FROM c WHERE short
+UNION ALL
+SELECT CAST(label AS VARCHAR), arg_max(ref_path, vec_id), 'enrolled' FROM c WHERE NOT short GROUP BY label""",
+)
+def enrolment_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every clip ends, those without samples too."""
+    clips = clips_of(spark, sf_dir).select(
+        "user_id",
+        F.col("path").alias("ref_path"),
+        F.when(F.col("vec_id") % 5 != 0, F.col("samples")).alias("samples"),
+        F.col("vec_id").alias("enrolled_at"),
+    )
+    updated, rejected = jobs.enrolment_job(
+        clips, spark.createDataFrame([], REGISTRY_SCHEMA), rate=ENROL_RATE
+    )
+    enrolled = updated.select("user_id", "ref_path", F.lit("enrolled").alias("outcome"))
+    return enrolled.unionByName(rejected.withColumnRenamed("error", "outcome"))
+
+
+@query(
+    "clip_registry_verification",
+    """
+SELECT vec_id AS probe_id, CASE WHEN vec_id % 3 <> 2 THEN CAST(vec_id AS VARCHAR) END AS best_user,
+       vec_id % 3 <> 2 AS decision, CASE WHEN vec_id % 3 = 2 THEN 'too short' END AS error
+FROM embeddings""",
+)
+def clip_registry_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clip is matched against the enrolled vectors of all clips, so it finds itself."""
+    clips = clips_of(spark, sf_dir)
+    enrolled, _ = jobs.enrolment_job(
+        clips.select(
+            F.col("vec_id").cast("string").alias("user_id"),
+            F.col("path").alias("ref_path"),
+            "samples",
+            F.col("vec_id").alias("enrolled_at"),
+        ),
+        spark.createDataFrame([], REGISTRY_SCHEMA),
+        rate=ENROL_RATE,
+    )
+    decided, rejected = jobs.registry_verification_job(
+        clips.select(F.col("vec_id").alias("probe_id"), "samples"), enrolled, rate=ENROL_RATE
+    )
+    found = decided.select("probe_id", F.col("best.user_id").alias("best_user"), "decision")
+    refused = rejected.withColumn("decision", F.lit(False))
+    return found.unionByName(refused, allowMissingColumns=True)
+
+
 @query(
     "enrolment_rejects",
     """

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sonaria.constants import (
     LONG_SILENCE,
+    MATCH_THRESHOLD,
     MIN_ENROL_SEC,
     SAMPLE_RATE,
     SHORT_SILENCE,
+    TOP_K,
     TTS_SAMPLE_RATE,
     VOICE_CAP_MS,
 )
@@ -140,6 +142,35 @@ def enrolment_job(
     return updated, short.unionByName(failed)
 
 
+def registry_verification_job(
+    clips: DataFrame,
+    registry: DataFrame,
+    rate: int = SAMPLE_RATE,
+    threshold: float = MATCH_THRESHOLD,
+    top_k: int = TOP_K,
+    denoise: Slot = builtin.DENOISE,
+    embed: Slot = builtin.EMBED,
+) -> tuple[DataFrame, DataFrame]:
+    """(decided clips, rejected clips). Clips: probe_id, samples; registry as of enrolment.
+
+    Every clip ends in one of the two: too short, without a usable signal, or with its best
+    matches and the decision.
+    """
+    length = F.coalesce(F.size("samples"), F.lit(0))
+    long = F.coalesce(signal.long_enough(length, F.lit(MIN_ENROL_SEC), F.lit(rate)), F.lit(False))
+    short = clips.where(~long).select("probe_id", F.lit("too short").alias("error"))
+    sound = clips.where(long).select("probe_id", "samples")
+    clean = jobs.denoise(sound, denoise).withColumnRenamed("error", "_denoise")
+    heard = jobs.embed(clean, embed).withColumn("error", F.coalesce("_denoise", "error"))
+    heard = materialise(heard.select("probe_id", "embedding", "error"), "clip-probes")
+    probes = heard.where(F.col("embedding").isNotNull()).drop("error")
+    decided = matching.decide(matching.top_matches(probes, registry, top_k), threshold)
+    failed = heard.where(F.col("embedding").isNull()).select(
+        "probe_id", F.coalesce("error", F.lit("no usable signal")).alias("error")
+    )
+    return decided, short.unionByName(failed)
+
+
 def _kept_segments(frames: DataFrame, silence: tuple[int, float], cap_ms: int, soft_ms: int, keep_ms: int) -> DataFrame:
     segments = signal.split_on_silence(frames, silence, keep_ms)
     return signal.cap_segments(segments, soft_ms, cap_ms)
