@@ -441,3 +441,44 @@ def test_toxicity_learns_a_word_and_its_pair(spark):
     assert toxicity.clean(table, marks).count() == len(rows) - 101
     assert toxicity.score_documents(table.limit(0), marks).count() == 0
     assert set(toxicity.score_documents(table, marks.limit(0)).toPandas()["predicted"]) == {0}
+
+
+def stretches_by_brute_force(a: list, b: list, bounds=lambda i, j, centre: True, centres=(0, 0)):
+    """(first, last of a, of b) of all similar stretches of two rows of shingles that begin and end with common ones."""
+    common = sorted(set(a) & set(b))
+    sides = []
+    for own, centre in zip((a, b), centres, strict=True):
+        ends = [i for i, v in enumerate(own) if v in common]
+        spans = [(i, j) for i in ends for j in ends if j - i + 1 >= 46 and bounds(i, j, centre)]
+        sets = [set(own[i : j + 1]) for i, j in spans]
+        has = np.array([[v in s for v in common] for s in sets], dtype=np.float32).reshape(len(sets), len(common))
+        sides.append((spans, np.array([len(s) for s in sets], dtype=int), has))
+    (x, n, p), (y, m, q) = sides
+    both = p @ q.T
+    good = both >= 0.8 * (n[:, None] + m - both) - 1e-9
+    return [(*x[i], *y[j]) for i, j in zip(*np.nonzero(good), strict=True)] if len(x) and len(y) else []
+
+
+def edited_row(turn, row: list, edits: int) -> list:
+    row = list(row)
+    for _ in range(edits):
+        at, n = int(turn.integers(0, len(row))), int(turn.integers(1, 9))
+        what = turn.integers(0, 3)
+        new = turn.integers(1000, 9000, size=n).tolist()
+        row[at : at + (0 if what == 0 else n)] = [] if what == 2 else new
+    return row
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_longest_pair(seed):
+    turn = np.random.default_rng(seed)
+    # Rows with few different shingles repeat themselves.
+    base = turn.integers(0, 30 if seed % 4 == 0 else 900, size=70).tolist()
+    a, b = ([*edited_row(turn, base[:35], seed % 4)[:45], 5000, *edited_row(turn, base[35:], seed % 3)[:45]] for _ in "ab")
+    centres = a.index(5000), b.index(5000)
+    wanted = stretches_by_brute_force(a, b, lambda i, j, c: i <= c <= j, centres)
+    rows = [np.array(v, dtype=np.uint32) for v in (a, b)]
+    got = passage_dedup.longest_pair(rows[0], centres[0], rows[1], centres[1])
+    size = lambda s: s[1] - s[0] + s[3] - s[2]
+    assert (got is None) == (not wanted)
+    assert got is None or (got in wanted and size(got) == max(map(size, wanted)))
