@@ -482,3 +482,20 @@ def test_longest_pair(seed):
     size = lambda s: s[1] - s[0] + s[3] - s[2]
     assert (got is None) == (not wanted)
     assert got is None or (got in wanted and size(got) == max(map(size, wanted)))
+    # In a group of any size a pair is found or not found alike.
+    for n in (0, 20):
+        others = [np.arange(20_000 + 100 * k, 20_050 + 100 * k, dtype=np.uint32) for k in range(n)]
+        found = passage_dedup.similar_pairs([*rows, *others], [*centres, *[25] * n], np.zeros(n + 2, dtype=np.int32))
+        assert [tuple(f) for f in found.tolist()] == ([(0, 1, *got)] if got else [])
+
+
+def test_every_pair_of_kinds_is_linked():
+    turn = np.random.default_rng(1)
+    base = turn.integers(1000, 9000, size=46).astype(np.uint32)
+    first, last = base.copy(), base.copy()
+    first[5:10], last[35:40] = np.arange(5), np.arange(10, 15)
+    # The first is near the second, and so is the third; they are not near each other.
+    chain = [first, base, last]
+    for parts in ([0, 0, 0], [0, 1, 0]):
+        found = passage_dedup.similar_pairs(chain, [20] * 3, np.array(parts))
+        assert sorted(map(tuple, found[:, :2].tolist())) == [(0, 1), (1, 2)]
