@@ -499,3 +499,12 @@ def test_every_pair_of_kinds_is_linked():
     for parts in ([0, 0, 0], [0, 1, 0]):
         found = passage_dedup.similar_pairs(chain, [20] * 3, np.array(parts))
         assert sorted(map(tuple, found[:, :2].tolist())) == [(0, 1), (1, 2)]
+
+
+def test_one_changed_word_leaves_a_candidate():
+    for seed in range(400):
+        row = words(seed, 50).split()
+        edited = ["new" if i == 4 + seed % 42 else w for i, w in enumerate(row)]
+        texts = [" ".join([words(1000 + 9 * seed + k, 60), *v, words(5000 + 9 * seed + k, 60)]).encode() for k, v in enumerate((row, edited))]
+        of, key, *_ = passage_dedup.windows_of(texts)
+        assert set(key[of == 0]) & set(key[of == 1])
