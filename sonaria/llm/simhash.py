@@ -190,8 +190,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(forests)
 
 
-def duplicate_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id, one row per document."""
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root, component_id, one row per document; root is the smallest fingerprint of a component."""
     rows = materialise(
         docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints"
     )
@@ -204,8 +204,13 @@ def duplicate_components(docs: DataFrame) -> DataFrame:
         "grouped",
     )
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = grouped.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def duplicate_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id, one row per document."""
+    return _members(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -213,21 +218,27 @@ def duplicate_components(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of every component, with all its columns.
 
-    Of rows that repeat this id one stays: such ids are found by a count, and only their rows are
-    compared. A component whose ids are all null keeps one row for each fingerprint.
+    Rows are told apart by id and fingerprint, as one id may stand on texts of several components. Of a
+    component's rows with its smallest id those with the smallest fingerprint are taken, and of these one.
+    A component whose ids are all null keeps one row for each fingerprint.
     """
-    found = materialise(duplicate_components(docs), "components")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    single = docs.join(kept.where(F.col("count") == 1).select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where(F.col("count") > 1).select("doc_id"), "doc_id", "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_fp", fingerprints(F.col("text")))
-    lone = found.where(F.col("component_id").isNull()).select(
-        F.conv("fingerprint", 16, -10).cast("long").alias("_fp")
+    found = materialise(_members(docs), "components")
+    counted = (
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id", F.col("fp").alias("_fp")).count()
+    )
+    kept = counted.groupBy("root", "doc_id").agg(
+        F.min("_fp").alias("_fp"), F.min_by("count", "_fp").alias("count")
     )
     columns = docs.columns
+    marked = docs.withColumn("_fp", fingerprints(F.col("text")))
+    key = ["doc_id", "_fp"]
+    single = marked.join(kept.where(F.col("count") == 1).select(*key), key, "left_semi")
+    again = marked.join(kept.where(F.col("count") > 1).select(*key), key, "left_semi")
+    nameless = marked.where(F.col("doc_id").isNull())
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"))
     return (
         single.select(*columns)
-        .unionByName(again.dropDuplicates(["doc_id"]).select(*columns))
+        .unionByName(again.dropDuplicates(key).select(*columns))
         .unionByName(
             nameless.join(lone.distinct(), "_fp", "left_semi")
             .dropDuplicates(["_fp"])

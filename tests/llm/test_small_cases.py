@@ -508,3 +508,11 @@ def test_one_changed_word_leaves_a_candidate():
         texts = [" ".join([words(1000 + 9 * seed + k, 60), *v, words(5000 + 9 * seed + k, 60)]).encode() for k, v in enumerate((row, edited))]
         of, key, *_ = passage_dedup.windows_of(texts)
         assert set(key[of == 0]) & set(key[of == 1])
+
+
+def test_simhash_keeps_texts_that_share_an_id(spark):
+    texts = [words(800, 80), words(801, 80), words(802, 80), words(802, 80), words(800, 80), words(803, 80)]
+    docs = documents(spark, texts, ids=[0, 1, 1, 1, 1, 2])
+    kept = simhash.one_of_each_group(docs).toPandas()
+    rows = sorted(kept[["doc_id", "text"]].itertuples(index=False, name=None))
+    assert rows == sorted([(0, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[5])])
