@@ -516,3 +516,64 @@ def test_simhash_keeps_texts_that_share_an_id(spark):
     kept = simhash.one_of_each_group(docs).toPandas()
     rows = sorted(kept[["doc_id", "text"]].itertuples(index=False, name=None))
     assert rows == sorted([(0, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[5])])
+
+
+def shingled(text: str) -> list:
+    own = text.lower().split()
+    return [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
+
+
+def near_texts() -> list[str]:
+    """Chains of edited copies, single edits of short passages, inserted sentences, two passages near each other."""
+    def put(row, seed):
+        return " ".join([words(1000 + seed, 60), *row, words(2000 + seed, 60)])
+
+    def changed(row, *places):
+        return [f"new{i}" if i in places else w for i, w in enumerate(row)]
+
+    texts = []
+    for k in range(4):
+        row = words(300 + k, 50).split()
+        # The copy with the smallest id is near the second text, and so is the third; they are not near each other.
+        texts += [put(v, len(texts) + i) for i, v in enumerate((changed(row, 10 + k), row, changed(row, 40 - k)))]
+        row = words(400 + k, 66).split()
+        texts += [put(v, len(texts) + i) for i, v in enumerate((changed(row, 20), row, changed(row, 45)))]
+        row = words(500 + k, 50).split()
+        texts += [put(v, len(texts) + i) for i, v in enumerate((row, changed(row, 8 + 9 * k)))]
+        row, gap = words(600 + k, 64).split(), words(700 + k, 10).split()
+        texts += [put(v, len(texts) + i) for i, v in enumerate((row, [*row[:50], *gap, *row[50:]]))]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def near_by_brute_force():
+    rows = [shingled(t) for t in near_texts()]
+    held: dict = {}
+    for i, row in enumerate(rows):
+        for v in row:
+            held.setdefault(v, set()).add(i)
+    pairs = sorted({(a, b) for s in held.values() for a in s for b in s if a < b})
+    return {(a, b): found for a, b in pairs if (found := stretches_by_brute_force(rows[a], rows[b]))}
+
+
+@pytest.mark.parametrize(("hot", "part"), [(256, 512), (1, 2)])
+def test_near_passages_against_brute_force(spark, monkeypatch, near_by_brute_force, hot, part):
+    monkeypatch.setattr(passage_dedup, "HOT", hot)
+    monkeypatch.setattr(passage_dedup, "PART", part)
+    texts = near_texts()
+    docs = documents(spark, texts)
+    _, links = passage_dedup.passages(docs.select("doc_id", "text"))
+    links = {tuple(sorted((r["a"]["d"], r["b"]["d"]))) for r in links.collect()}
+    assert links == set(near_by_brute_force)
+    got = passage_dedup.find_passages(docs).toPandas().set_index("doc_id")
+    counts = [sum(i in pair for pair in links) for i in range(len(texts))]
+    assert list(got.loc[range(len(texts)), "n_links"]) == counts
+    repeated, removed = ([set() for _ in texts] for _ in "ab")
+    for (a, b), found in near_by_brute_force.items():
+        for i, j, k, m in found:
+            repeated[a].update(range(i, j + 5))
+            repeated[b].update(range(k, m + 5))
+            removed[b].update(range(k, m + 5))
+    for i in range(len(texts)):
+        for name, wanted in (("repeated", repeated[i]), ("removed", removed[i])):
+            assert {w for r in got.loc[i, name] for w in range(r["from_word"], r["to_word"])} == wanted, (i, name)
