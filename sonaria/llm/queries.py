@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over the given tables."""
+"""The registered queries of the operators over the given tables."""
 
 from __future__ import annotations
 
@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 
 from sonaria.llm import (
     embedding_dups,
+    fill_in_middle,
+    hard_negatives,
     html_text,
     language_id,
     mixing,
     packing,
     passage_dedup,
     simhash,
+    statements,
     suffix_dedup,
     topk_search,
     toxicity,
+    url_filter,
 )
 from sonaria.llm.common import QUERIES, STATEMENTS, query
 from sonaria.session import table
@@ -97,6 +101,36 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.find_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_fill_in_middle", statements.FILL_IN_MIDDLE)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_hard_negatives", statements.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0).drop("anchor_row")
+
+
+@query("op13_url_filter", statements.URL_FILTER)
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Look-ups of pages are joins with a possibly hot left key.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    rules = spark.createDataFrame(statements.RULES, url_filter.RULE_SCHEMA)
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def all_queries():
     return dict(QUERIES)
 
