@@ -1,105 +1,189 @@
 """Emit cadence: after an emit at position x the next one is the first row at x + step or later.
 
-The excess over a step is dropped, so emits are a chain, not a division. The chain is cut into
-slices: a slice is summarised by its possible entry rows and where the chain leaves it, the few
-summaries of a key are folded in order, and each slice then marks its own emits.
+The excess over a step is dropped, so emits are a chain, not a division, and where the chain enters a slice
+is known only when it has left the one before. It is found in three steps, none of which holds more than a
+slice or a bounded number of entries:
+
+1. Every slice follows the chain from each row that it could enter at (those up to a step after its
+   first row) and writes (entry, where the chain goes on after the slice).
+2. The entries that the chain does visit are found: for a key of few entries by following them in one
+   group, for a key of many by pointer doubling, joins of entries with entries that double the length
+   of the jumps, so no group grows with the key and the number of rounds is logarithmic.
+3. Every visited slice marks its own emits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from sonaria.operators.scan import Running, running, sliced
+from sonaria.session import materialise
 
 # Entry position before any row: the first row emits at once.
 AT_ONCE = -(2**61)
+#: Entries of a key that are followed in one group.
+FOLD_ENTRIES = 1 << 16
 
 
-def _next_rows(x: np.ndarray, step: int) -> np.ndarray:
-    return np.searchsorted(x, x + step, side="left")
+def chain(follow: np.ndarray, start: int) -> np.ndarray:
+    """Positions visited from ``start``, if i leads to follow[i] > i, or to len(follow): the end."""
+    n = len(follow)
+    if start >= n:
+        return np.empty(0, dtype=np.int64)
+    jumps = [np.append(follow, n)]
+    while (jumps[-1][:-1] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    seen = np.array([start])
+    for jump in reversed(jumps):
+        ahead = jump[seen]
+        seen = np.concatenate([seen, ahead[ahead < n]])
+    return np.sort(seen)
 
 
 def _entries(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entry rows of a slice and the last emit of the chain started at each."""
-    follow = _next_rows(x, step)
-    last = x.copy()
-    for i in range(len(x) - 1, -1, -1):
-        if follow[i] < len(x):
-            last[i] = last[follow[i]]
-    count = min(len(x), int(np.searchsorted(x, x[0] + step, side="left")) + 1)
-    return x[:count], last[:count]
+    """Possible entries of a slice with distinct positions ``x``, and where the chain from each of
+    them goes on."""
+    n = len(x)
+    last = np.arange(n)
+    follow = np.searchsorted(x, x + step, side="left")
+    last = np.where(follow < n, follow, last)
+    while (last[last] != last).any():
+        last = last[last]
+    count = min(n, int(np.searchsorted(x, x[0] + step, side="left")) + 1)
+    return x[:count], x[last[:count]] + step
+
+
+def _per_group(group: list[str], make: Callable[[pa.Table], dict]) -> Callable[[pa.Table], pa.Table]:
+    """A function on groups whose rows get the keys of their group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        made = make(table)
+        at = pa.array(np.zeros(len(next(iter(made.values()))), dtype=np.int64))
+        return pa.table({name: pc.take(table[name], at) for name in group} | made)
+
+    return run
+
 
+def _summary(step: int):
+    def make(table: pa.Table) -> dict:
+        at, need = _entries(np.unique(table["_x"].to_numpy()), step)
+        return {"at": at, "need": need}
 
-def _marks(x: np.ndarray, entered: int, step: int) -> list[int]:
-    out = []
-    i = int(np.searchsorted(x, entered + step, side="left"))
-    while i < len(x):
-        out.append(i)
-        i = int(np.searchsorted(x, x[i] + step, side="left"))
-    return out
+    return make
+
+
+def _walk(slice_col: str, threshold: int):
+    def make(table: pa.Table) -> dict:
+        # A position may end one slice and begin the next: the chain enters the earlier one.
+        table = table.sort_by([("at", "ascending"), (slice_col, "ascending")])
+        at, need = table["at"].to_numpy(), table["need"].to_numpy()
+        seen = chain(np.searchsorted(at, need, side="left"), int(np.searchsorted(at, threshold)))
+        return {slice_col: table[slice_col].to_numpy()[seen], "at": at[seen]}
+
+    return make
+
+
+def _mark(step: int, ties: list[str], columns: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("_x", *ties)])
+        x = table["_x"].to_numpy()
+        follow = np.searchsorted(x, x + step, side="left")
+        seen = chain(follow, int(np.searchsorted(x, table["at"][0].as_py(), side="left")))
+        return table.select(columns).take(pa.array(seen))
+
+    return run
+
+
+def _jumps(items: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
+    """(keys, at, next): the first entry of the key at ``need`` or later; null at the end."""
+    targets = items.select(*keys, F.col("at").alias("p"), F.lit(0).alias("probe"), F.col("at").alias("origin"))
+    probes = items.select(*keys, F.col("need").alias("p"), F.lit(1).alias("probe"), F.col("at").alias("origin"))
+    # From the far end: of equal positions the target counts before the probe looks back at it.
+    far = targets.unionByName(probes).withColumn("_far", -F.col("p"))
+    order = ["_far", "probe", "origin"]
+    cut = sliced(far, keys, order, slice_rows)
+    seen = running(
+        cut, keys, "_slice", order, [Running("next", "min", F.when(F.col("probe") == 0, F.col("p")))]
+    )
+    return seen.where("probe = 1").select(*keys, F.col("origin").alias("at"), "next")
+
+
+def _visited_by_doubling(items: DataFrame, keys: list[str], threshold: int, slice_rows: int) -> DataFrame:
+    """(keys, at) of the entries on the chain of each key."""
+    node = [*keys, "at"]
+    jumps = [materialise(_jumps(items, keys, slice_rows), "jumps")]
+    while not jumps[-1].where("next is not null").isEmpty():
+        ahead = jumps[-1].select(*keys, F.col("at").alias("next"), F.col("next").alias("_far"))
+        longer = jumps[-1].where("next is not null").join(ahead, [*keys, "next"], "left")
+        jumps.append(materialise(longer.select(*node, F.col("_far").alias("next")), "jumps"))
+    seen = items.where(F.col("at") >= threshold).groupBy(*keys).agg(F.min("at").alias("at"))
+    for jump in reversed(jumps):
+        ahead = seen.join(jump.where("next is not null"), node).select(*keys, F.col("next").alias("at"))
+        seen = materialise(seen.unionByName(ahead), "visited")
+    return seen
+
+
+def _visited(
+    items: DataFrame, keys: list[str], slice_col: str, threshold: int, fold_entries: int
+) -> DataFrame:
+    """(keys, slice, at) of the entries on the chain of each key."""
+    sizes = items.groupBy(*keys).agg((F.count(F.lit(1)) > fold_entries).alias("_many"))
+    sized = items.join(sizes, keys)
+    schema = StructType([*[items.schema[name] for name in (*keys, slice_col)], StructField("at", LongType())])
+    few = (
+        sized.where("not _many")
+        .drop("_many")
+        .groupBy(*keys)
+        .applyInArrow(_per_group(keys, _walk(slice_col, threshold)), schema)
+    )
+    if sizes.where("_many").isEmpty():
+        return few
+    many = materialise(
+        sized.where("_many")
+        .groupBy(*keys, "at")
+        .agg(F.min_by("need", slice_col).alias("need"), F.min(slice_col).alias(slice_col)),
+        "entries",
+    )
+    seen = _visited_by_doubling(many, keys, threshold, max(fold_entries, 2))
+    return few.unionByName(many.join(seen, [*keys, "at"]).select(*keys, slice_col, "at"))
 
 
 def emits(
     df: DataFrame,
     keys: list[str],
     slice_col: str,
-    position: Column,
-    sequence: Column,
+    position: str,
+    ties: list[str],
     step: int,
     entered: int = AT_ONCE,
+    fold_entries: int = FOLD_ENTRIES,
 ) -> DataFrame:
-    """(keys, position, seq) of every emitting row.
+    """The emitting rows of ``df``.
 
-    Two passes read ``df``: hand in a written table when it is costly to compute. ``position`` is a non-decreasing long (samples so far, or microseconds); ``sequence`` breaks
-    ties. A group of (keys, slice) is bounded by the frame rate of a live session.
+    ``df`` is read twice and should be a written table whose slices are bounded (``scan.sliced``);
+    keys are not null. ``position`` names a non-decreasing long (samples so far, or microseconds),
+    ``ties`` what orders rows of one position. The chain starts at ``entered``.
     """
-
-    @F.pandas_udf("struct<at:array<bigint>,last:array<bigint>>")
-    def summarise(xs: pd.Series) -> pd.DataFrame:
-        parts = [_entries(np.asarray(x, dtype=np.int64), step) for x in xs]
-        return pd.DataFrame({"at": [p[0] for p in parts], "last": [p[1] for p in parts]})
-
-    @F.pandas_udf("array<int>")
-    def mark(xs: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_marks(np.asarray(x, dtype=np.int64), int(b), step) for x, b in zip(xs, start)]
-        )
-
     group = [*keys, slice_col]
-    rows = df.groupBy(*group).agg(
-        F.array_sort(
-            F.collect_list(F.struct(position.cast("bigint").alias("x"), sequence.alias("seq")))
-        ).alias("rows")
-    )
-    parts = rows.select(*group, summarise(F.col("rows.x")).alias("s"))
-    folded = parts.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(slice_col).alias("slice"), "s.at", "s.last"))
-        ).alias("slices")
-    )
-
-    def advance(acc: Column, part: Column) -> Column:
-        due = F.array_position(
-            F.transform(part["at"], lambda a: a >= acc["entered"] + F.lit(step)), True
-        )
-        left = F.coalesce(F.get(part["last"], (due - 1).cast("int")), acc["entered"])
-        return F.struct(
-            left.alias("entered"), F.array_append(acc["seen"], acc["entered"]).alias("seen")
-        )
-
-    start = F.struct(
-        F.lit(entered).cast("bigint").alias("entered"),
-        F.array().cast("array<bigint>").alias("seen"),
-    )
-    entry = (
-        folded.withColumn("seen", F.aggregate("slices", start, advance)["seen"])
-        .select(*keys, F.explode(F.arrays_zip(F.col("slices.slice").alias("slice"), "seen")).alias("z"))
-        .select(*keys, F.col("z.slice").alias(slice_col), F.col("z.seen").alias("entered"))
-    )
-    hit = F.explode(
-        F.transform(mark(F.col("rows.x"), F.col("entered")), lambda i: F.get("rows", i))
+    threshold = entered + step
+    fields = [df.schema[name] for name in group]
+    summary = StructType([*fields, StructField("at", LongType()), StructField("need", LongType())])
+    rows = df.withColumn("_x", F.col(position).cast("bigint"))
+    items = materialise(
+        rows.select(*group, "_x").groupBy(*group).applyInArrow(_per_group(group, _summary(step)), summary),
+        "entries",
     )
-    return rows.join(entry, group).select(*keys, hit.alias("r")).select(
-        *keys, F.col("r.x").alias("position"), F.col("r.seq").alias("seq")
+    # A slice is entered once at most.
+    entry = _visited(items, keys, slice_col, threshold, fold_entries)
+    return (
+        rows.join(entry, group)
+        .groupBy(*group)
+        .applyInArrow(_mark(step, ties, df.columns), df.schema)
     )

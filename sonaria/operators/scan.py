@@ -1,9 +1,12 @@
 """Running aggregates that survive a hot key.
 
 A window over one key sorts the whole key in one task. Here each key is cut into slices along
-its order (hours of a session, blocks of a clip); windows run inside a slice and a carry, summed
-over the slices before, is added. The shuffle key is (key, slice), so a key that holds a third
-of all rows still spreads over the cluster. The carry table has one row per (key, slice).
+its order; windows run inside a slice and a carry, summed over the slices before, is added. The
+shuffle key is (key, slice), so a key that holds a third of all rows still spreads over the
+cluster. The carry table has one row per (key, slice).
+
+``sliced`` cuts by number of rows: whatever the rate of a session, a slice never holds more than it
+says. Where positions are dense numbers (samples of a clip) ``block_slice`` says the same without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.session import materialise
+
 
 @dataclass(frozen=True)
 class Running:
@@ -33,8 +38,28 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def time_slice(ts_us: Column, seconds: int) -> Column:
-    return F.floor(ts_us / F.lit(seconds * 1_000_000))
+#: Rows of a slice at most.
+SLICE_ROWS = 1 << 16
+SLICE = "_slice"
+
+
+def sliced(
+    df: DataFrame, keys: list[str], order: list[str], rows: int = SLICE_ROWS, name: str = SLICE
+) -> DataFrame:
+    """``df`` in a written table, with the number of the slice that a row is in.
+
+    Rows are range-partitioned by keys and order, sorted and written once; a slice is a run of at
+    most ``rows`` rows of a partition. Slice numbers never fall along (keys, order). ``order`` should end
+    in a column that is unique inside a key: rows equal in all of it share a partition.
+    """
+    place = F.monotonically_increasing_id()
+    in_part = F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows)).cast("bigint")
+    cut = (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn(name, F.shiftleft(F.shiftright(place, 33), 33).bitwiseOR(in_part))
+    )
+    return materialise(cut, "sliced")
 
 
 def block_slice(pos: Column, rows: int) -> Column:
@@ -82,6 +107,23 @@ def running(
     )
 
 
+def following(
+    df: DataFrame, keys: list[str], slice_col: str, order: list[str], columns: list[str], name: str
+) -> DataFrame:
+    """Adds struct ``name`` with ``columns`` of the next row of the key; null on its last row."""
+    inside = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    later = Window.partitionBy(*keys).orderBy(slice_col)
+    row = F.struct(*columns)
+    heads = df.groupBy(*keys, slice_col).agg(F.min_by(row, F.struct(*order)).alias("_head"))
+    carry = heads.select(*keys, slice_col, F.lead("_head").over(later).alias("_after"))
+    local = df.withColumn("_inside", F.lead(row).over(inside))
+    return (
+        local.join(carry, [*keys, slice_col])
+        .withColumn(name, F.coalesce("_inside", "_after"))
+        .drop("_inside", "_after")
+    )
+
+
 def with_halo(df: DataFrame, pos: str, rows: int, halo: int) -> DataFrame:
     """Copies rows near a block edge into the neighbour block.
 

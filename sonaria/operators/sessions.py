@@ -1,21 +1,24 @@
 """Batch replay of audio sessions: utterances, trailing buffers, emits, silences, messages.
 
 An action row is (session_id, ts_us, seq, action, n_samples, utt_id); ``action`` is audio, flush,
-stop, reset or error. Replay order is (ts_us, seq). Lengths travel here, never samples.
+stop, reset or error. Replay order is (ts_us, seq). Lengths travel here, never samples; what a
+recogniser says of a buffer of a length comes in as a column expression.
+
+Sessions are cut into slices of ``slice_rows`` rows at most, written once; no window or group is larger.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from sonaria.operators import cadence
-from sonaria.operators.scan import Running, running, time_slice
+from sonaria.operators.scan import SLICE_ROWS, Running, following, running, sliced
 from sonaria.session import materialise
 
-SLICE_SECONDS = 6 * 3600
-SLICE = "_slice"
 ORDER = ["ts_us", "seq"]
 
 
@@ -27,8 +30,8 @@ def _samples() -> Column:
     return F.when(_action("audio"), F.col("n_samples")).otherwise(F.lit(0)).cast("bigint")
 
 
-def _sliced(actions: DataFrame, slice_seconds: int) -> DataFrame:
-    return actions.withColumn("_slice", time_slice(F.col("ts_us"), slice_seconds))
+def _sliced(actions: DataFrame, slice_rows: int) -> DataFrame:
+    return sliced(actions, ["session_id"], ORDER, slice_rows)
 
 
 def _windows() -> tuple[WindowSpec, WindowSpec, WindowSpec]:
@@ -44,7 +47,7 @@ def _windows() -> tuple[WindowSpec, WindowSpec, WindowSpec]:
 
 
 def inactivity_flags(
-    actions: DataFrame, gap_us: int | None, slice_seconds: int = SLICE_SECONDS
+    actions: DataFrame, gap_us: int | None, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Adds ``silence_final``: the session had been silent for the gap before this row.
 
@@ -54,13 +57,13 @@ def inactivity_flags(
     _, before, earlier = _windows()
     us = F.col("ts_us")
     active = F.when(_action("audio", "stop", "reset"), us)
-    sliced = _sliced(actions, slice_seconds)
+    cut = _sliced(actions, slice_rows)
     if gap_us is None:
-        return sliced.withColumn("silence_final", F.lit(False)).withColumn(
+        return cut.withColumn("silence_final", F.lit(False)).withColumn(
             "silence_due", F.lit(None).cast("bigint")
         )
     carry = (
-        sliced.groupBy("session_id", "_slice")
+        cut.groupBy("session_id", "_slice")
         .agg(F.max(active).alias("a"), F.min("ts_us").alias("f"), F.max("ts_us").alias("p"))
         .select(
             "session_id",
@@ -70,7 +73,7 @@ def inactivity_flags(
             F.max("p").over(earlier).alias("_cp"),
         )
     )
-    local = sliced.select(
+    local = cut.select(
         "*",
         F.max(active).over(before).alias("_la"),
         F.min("ts_us").over(before).alias("_lf"),
@@ -92,7 +95,7 @@ def utterances(
     actions: DataFrame,
     window_samples: int,
     gap_us: int | None = None,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Adds ``opens`` (first row of the session), ``silence_final``, ``epoch``, ``buffer_len``
     (after the row) and ``closed_len`` (buffer before a silence final).
@@ -107,7 +110,7 @@ def utterances(
     ended_at = F.when(ends, F.col("_sum"))
     silent_at = F.when(silent, F.col("_sum") - _samples())
     local = (
-        inactivity_flags(actions, gap_us, slice_seconds)
+        inactivity_flags(actions, gap_us, slice_rows)
         .select(
             "*",
             F.sum(_samples()).over(upto).alias("_sum"),
@@ -175,22 +178,23 @@ def retained(uttered: DataFrame, window_samples: int) -> DataFrame:
 
 
 def count_emits(
-    actions: DataFrame, every_samples: int, slice_seconds: int = SLICE_SECONDS
+    actions: DataFrame, every_samples: int, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Rows at which the sample counter reaches the step; it restarts from zero there."""
-    audio = _sliced(actions.where(_action("audio")), slice_seconds)
+    audio = actions.where(_action("audio")).select(
+        "session_id", *ORDER, F.col("n_samples").cast("bigint").alias("n_samples")
+    )
     summed = running(
-        audio,
+        _sliced(audio, slice_rows),
         ["session_id"],
         "_slice",
         ORDER,
-        [Running("_sum", "sum", F.col("n_samples").cast("bigint"))],
+        [Running("samples_seen", "sum", F.col("n_samples"))],
     )
-    order = F.struct(*ORDER)
     found = cadence.emits(
-        materialise(summed, "samples-seen"), ["session_id"], "_slice", F.col("_sum"), order, every_samples, entered=0
+        materialise(summed, "samples-seen"), ["session_id"], "_slice", "samples_seen", ORDER, every_samples, entered=0
     )
-    return found.select("session_id", "seq.ts_us", "seq.seq", F.col("position").alias("samples_seen"))
+    return found.select("session_id", *ORDER, "samples_seen")
 
 
 def timed_emits(uttered: DataFrame, every_us: int) -> DataFrame:
@@ -198,14 +202,12 @@ def timed_emits(uttered: DataFrame, every_us: int) -> DataFrame:
 
     ``uttered`` is read twice and should be a written table.
     """
-    payload = F.struct("seq", "action", "buffer_len")
-    found = cadence.emits(
-        uttered, ["session_id", "epoch"], "_slice", F.col("ts_us"), payload, every_us
-    )
-    return found.select("session_id", "epoch", F.col("position").alias("ts_us"), "seq.*")
+    rows = uttered.select("session_id", "epoch", "_slice", *ORDER, "action", "buffer_len")
+    found = cadence.emits(rows, ["session_id", "epoch"], "_slice", "ts_us", ["seq"], every_us)
+    return found.drop("_slice")
 
 
-def transcript_of(length: Column) -> Column:
+def spoken_length(length: Column) -> Column:
     """Text of the built-in recogniser: the buffer length, nothing for an empty buffer."""
     return F.when(length > 0, F.concat(F.lit("len="), length.cast("string"))).otherwise(F.lit(""))
 
@@ -215,17 +217,19 @@ def asr_messages(
     window_samples: int,
     gap_us: int | None = None,
     every_us: int | None = None,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_rows: int = SLICE_ROWS,
+    recognised: Callable[[Column], Column] = spoken_length,
 ) -> DataFrame:
     """Every message of the recognition sessions: session_id, ts_us, seq, step, type, text,
     utt_id, reason. ``step`` orders messages of one row: ready, silence final, answer, partial. A
-    silence final carries its deadline and no seq, as no row caused it."""
-    uttered = utterances(actions, window_samples, gap_us, slice_seconds)
+    silence final carries its deadline and no seq, as no row caused it. ``recognised`` gives the
+    text of a buffer of a length."""
+    uttered = utterances(actions, window_samples, gap_us, slice_rows)
     if every_us is not None:
         # Three branches read the utterances; lengths only, so one written copy is cheap.
         uttered = materialise(uttered, "utterances")
     none = F.lit(None).cast("string")
-    text = transcript_of(F.col("buffer_len"))
+    text = recognised(F.col("buffer_len"))
 
     def message(
         step: int, kind: str, body: Column, utt: Column, reason: Column, at=None, seq=None
@@ -247,7 +251,7 @@ def asr_messages(
         message(
             1,
             "final",
-            transcript_of(F.col("closed_len")),
+            recognised(F.col("closed_len")),
             none,
             F.lit("inactivity"),
             F.col("silence_due"),
@@ -279,40 +283,80 @@ def verify_checks(
     window_samples: int,
     min_samples: int,
     gap_us: int,
-    slice_seconds: int = SLICE_SECONDS,
+    coalesce_us: int | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Verification sessions: one row per computation, with the buffer it sees.
+    """Every answer of the verification sessions, with the buffer it sees: ready, partial, final, error.
 
-    New audio asks for a partial at once, flush asks for one, stop or a silence of the gap gives
-    the final and closes the session: later rows are not read. ``enough`` is the minimum-audio
-    gate; below it the answer is an empty result.
+    New audio asks for a partial (with ``coalesce_us`` once per tick of that length: by its last frame, or the
+    last before a row that is no audio), flush asks for one, stop or a silence of the gap gives the final
+    and closes the session: later rows are not read. Rows of any other action are answered as
+    errors, with ``error_code`` as reason if there is such a column. ``enough`` is the minimum-audio gate;
+    below it the answer is an empty result. A silence final carries its deadline and no seq.
     """
-    sliced = inactivity_flags(
-        actions.where(_action("audio", "flush", "stop")), gap_us, slice_seconds
+    known = F.when(_action("audio", "flush", "stop"), F.col("action")).otherwise(F.lit("error"))
+    code = F.col("error_code") if "error_code" in actions.columns else F.lit(None)
+    rows = actions.select(
+        "session_id",
+        *ORDER,
+        known.alias("action"),
+        F.when(_action("audio"), F.col("n_samples")).otherwise(F.lit(0)).cast("bigint").alias("n_samples"),
+        F.when(known == "error", F.coalesce(code.cast("string"), F.lit("unknown_event"))).alias("error_code"),
     )
+    flagged = inactivity_flags(rows, gap_us, slice_rows)
     summed = running(
-        sliced,
+        flagged,
         ["session_id"],
         "_slice",
         ORDER,
         [
             Running("_sum", "sum", _samples()),
+            Running("_rows", "sum", F.lit(1)),
             Running(
                 "_closed", "max", (_action("stop") | F.col("silence_final")).cast("int"), False
             ),
         ],
     )
-    silent = F.col("silence_final")
+    read = summed.where(F.coalesce(F.col("_closed"), F.lit(0)) == 0)
+    answered = F.lit(True)
+    if coalesce_us is not None:
+        read = following(
+            read, ["session_id"], "_slice", ORDER, ["ts_us", "action", "silence_final"], "_next"
+        )
+        tick = F.lit(coalesce_us)
+        answered = ~F.coalesce(
+            _action("audio")
+            & (F.col("_next.action") == "audio")
+            & ~F.col("_next.silence_final")
+            & (F.floor(F.col("_next.ts_us") / tick) == F.floor(F.col("ts_us") / tick)),
+            F.lit(False),
+        )
+    silent, error = F.col("silence_final"), _action("error")
     total = F.when(silent, F.col("_sum") - _samples()).otherwise(F.col("_sum"))
     length = F.least(F.lit(window_samples).cast("bigint"), total)
-    closing = silent | _action("stop")
-    reason = F.when(silent, F.lit("inactivity")).when(_action("stop"), F.lit("client_stop"))
-    return summed.where(F.coalesce(F.col("_closed"), F.lit(0)) == 0).select(
-        "session_id",
-        "ts_us",
-        "seq",
-        F.when(closing, F.lit("final")).otherwise(F.lit("partial")).alias("type"),
-        reason.alias("reason"),
-        length.alias("buffer_len"),
-        (length >= min_samples).alias("enough"),
+    none = F.lit(None)
+
+    def answer(kind: Column, reason: Column, seen: Column, enough: Column, ts=F.col("ts_us"), seq=F.col("seq")) -> Column:
+        return F.struct(
+            ts.alias("ts_us"),
+            seq.alias("seq"),
+            kind.alias("type"),
+            reason.cast("string").alias("reason"),
+            seen.cast("bigint").alias("buffer_len"),
+            enough.alias("enough"),
+        )
+
+    gate = length >= min_samples
+    ready = F.when(F.col("_rows") == 1, answer(F.lit("ready"), none, F.lit(0), F.lit(False)))
+    said = (
+        F.when(
+            silent,
+            answer(F.lit("final"), F.lit("inactivity"), length, gate, F.col("silence_due"), none.cast("bigint")),
+        )
+        .when(error, answer(F.lit("error"), F.col("error_code"), length, F.lit(False)))
+        .when(_action("stop"), answer(F.lit("final"), F.lit("client_stop"), length, gate))
+        .when(answered, answer(F.lit("partial"), none, length, gate))
     )
+    return read.select(
+        "session_id", F.explode(F.array_compact(F.array(ready, said))).alias("m")
+    ).select("session_id", "m.*")

@@ -280,6 +280,7 @@ def live_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source, out, checkpoint = (scratch_path(spark, n) for n in ("live", "live-out", "live-checkpoint"))
     frame.unionByName(stop).write.parquet(source)
+    streams.write_clock(spark, source, F.timestamp_seconds(F.lit(1704067200 + 86400)))
 
     heard = rows.select("vec_id", "label", codec.decode_pcm16(payload).alias("samples"))
     newest = slot_jobs.embed(heard, builtin.EMBED).select(

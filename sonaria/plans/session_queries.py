@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from sonaria.functions import messages
 from sonaria.functions.clock import epoch_micros
 from sonaria.operators import sessions
-from sonaria.operators.sessions import SLICE  # noqa: F401
 from sonaria.plans.registered import query
 from sonaria.session import materialise, table
 
@@ -241,37 +240,53 @@ def asr_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VERIFY_CHECKS = f"""
-WITH {ACTIONS},
-kept AS (SELECT * FROM actions WHERE action <> 'reset'),
+COALESCE_HOURS = 12
+
+VERIFY_ROWS = f"""
+{ACTIONS},
+kept AS (SELECT session_id, ts, seq, n_samples, CASE action WHEN 'reset' THEN 'error' ELSE action END AS action
+         FROM actions),
 seen AS (
   SELECT *, epoch_us(ts) AS us,
          coalesce(max(CASE WHEN action IN ('audio', 'stop') THEN epoch_us(ts) END) OVER before,
                   min(epoch_us(ts)) OVER before) AS active,
-         sum(n_samples) OVER (PARTITION BY session_id ORDER BY ts, seq
-                              ROWS UNBOUNDED PRECEDING) AS total
+         sum(n_samples) OVER upto AS total, row_number() OVER upto AS place
   FROM kept
   WINDOW before AS (PARTITION BY session_id ORDER BY ts, seq
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         upto AS (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
 flagged AS (
   SELECT *, coalesce(us - active >= {GAP_HOURS * HOUR_US}, FALSE) AS silent FROM seen),
 ends AS (
-  SELECT session_id, min(us) AS end_us FROM flagged WHERE silent OR action = 'stop'
-  GROUP BY session_id)
-SELECT f.session_id, f.us AS ts_us, f.seq,
-       CASE WHEN silent OR action = 'stop' THEN 'final' ELSE 'partial' END AS type,
-       CASE WHEN silent THEN 'inactivity' WHEN action = 'stop' THEN 'client_stop' END AS reason,
-       CAST(least({WINDOW}, total - CASE WHEN silent THEN n_samples ELSE 0 END) AS BIGINT)
-         AS buffer_len,
-       least({WINDOW}, total - CASE WHEN silent THEN n_samples ELSE 0 END) >= 4800 AS enough
-FROM flagged f LEFT JOIN ends e ON e.session_id = f.session_id
-WHERE e.end_us IS NULL OR f.us <= e.end_us"""
+  SELECT *, coalesce(bool_or(silent OR action = 'stop') OVER (
+              PARTITION BY session_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              FALSE) AS closed
+  FROM flagged),
+read AS (
+  SELECT *, least({WINDOW}, total - CASE WHEN silent THEN n_samples ELSE 0 END) AS len,
+         lead(action = 'audio' AND NOT silent) OVER next AND action = 'audio' AND NOT silent
+         AND lead(us) OVER next // {COALESCE_HOURS * HOUR_US} = us // {COALESCE_HOURS * HOUR_US} AS waits
+  FROM ends WHERE NOT closed
+  WINDOW next AS (PARTITION BY session_id ORDER BY us, seq))"""
+
+VERIFY_CHECKS = f"""
+WITH {VERIFY_ROWS}
+SELECT session_id, us AS ts_us, seq, 'ready' AS type, NULL AS reason, 0 AS buffer_len, FALSE AS enough
+FROM read WHERE place = 1
+UNION ALL
+SELECT session_id, CASE WHEN silent THEN active + {GAP_HOURS * HOUR_US} ELSE us END,
+       CASE WHEN NOT silent THEN seq END,
+       CASE WHEN silent OR action = 'stop' THEN 'final' WHEN action = 'error' THEN 'error' ELSE 'partial' END,
+       CASE WHEN silent THEN 'inactivity' WHEN action = 'stop' THEN 'client_stop'
+            WHEN action = 'error' THEN 'unknown_event' END,
+       CAST(len AS BIGINT), len >= 4800 AND (silent OR action <> 'error')
+FROM read WHERE NOT coalesce(waits, FALSE)"""
 
 
 @query("verify_replay", VERIFY_CHECKS)
 def verify_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.verify_checks(
-        session_actions(spark, sf_dir), WINDOW, 4800, GAP_HOURS * HOUR_US
+        session_actions(spark, sf_dir), WINDOW, 4800, GAP_HOURS * HOUR_US, COALESCE_HOURS * HOUR_US
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sonaria.functions import audio, codec
 from sonaria.operators import signal
+from sonaria.operators.scan import SLICE, sliced
 from sonaria.plans.registered import query
-from sonaria.plans.session_queries import ACTIONS, SLICE, session_actions
+from sonaria.plans.session_queries import ACTIONS, session_actions
 from sonaria.session import table
 from sonaria.slots import builtin, jobs
 
@@ -211,7 +212,7 @@ SELECT session_id, chunk, seq, CAST(greatest(lo, chunk * 3200) - lo AS BIGINT) A
 FROM parts WHERE chunk < chunks""",
 )
 def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = session_actions(spark, sf_dir).where("action = 'audio'").withColumn(SLICE, F.floor(F.col("ts_us") / 21_600_000_000))
+    frames = sliced(session_actions(spark, sf_dir).where("action = 'audio'"), ["session_id"], ["ts_us", "seq"])
     parts = signal.rechunk(frames, ["session_id"], SLICE, ["ts_us", "seq"], F.col("n_samples"), 3200)
     return parts.select("session_id", "chunk", "seq", "frame_start", "count")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,21 +15,17 @@ from sonaria.functions import messages, text
 from sonaria.functions.clock import epoch_micros
 from sonaria.operators import matching
 from sonaria.session import materialise, scratch_path, ship_package
-from sonaria.slots import builtin, jobs
+from sonaria.slots import base, builtin, jobs
 from sonaria.slots.base import Slot
 from sonaria.sources.sinks import append_raw_metadata
-from sonaria.streaming.processors import (
-    CHECK_SCHEMA,
-    MESSAGE_SCHEMA,
-    AsrProcessor,
-    SessionParams,
-    VerifyProcessor,
-)
+from sonaria.streaming.processors import AsrProcessor, SessionParams, VerifyProcessor
 
 FRAME_SCHEMA = (
     "session_id string, seq long, ts timestamp, kind string, payload binary, body string, "
     "sample_rate int, channels int"
 )
+#: How long rows wait for earlier ones, and how long after that they are still told as late.
+DELAY, GRACE = timedelta(seconds=10), timedelta(hours=1)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,7 +45,8 @@ def _state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
 
 
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """Frame files as a stream; the trigger bound also bounds a session's rows per micro-batch."""
+    """Frame files as a stream; the trigger bound also bounds a session's rows per micro-batch.
+    Messages do not depend on it, what comes too late for its turn does."""
     return (
         spark.readStream.schema(FRAME_SCHEMA)
         .option("maxFilesPerTrigger", files_per_trigger)
@@ -56,33 +54,95 @@ def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
     )
 
 
-def _actions(frames: DataFrame, accepts_reset: bool, delay: str) -> DataFrame:
+def write_clock(spark: SparkSession, path: str, ts: Column) -> None:
+    """Adds a frame that belongs to no session and only moves the time of the stream: the end of an
+    input, or a sign of life while all sessions are silent."""
+    row = spark.range(1).select(
+        F.lit("").alias("session_id"),
+        F.lit(None).cast("long").alias("seq"),
+        ts.cast("timestamp").alias("ts"),
+        F.lit("clock").alias("kind"),
+        F.lit(None).cast("binary").alias("payload"),
+        F.lit(None).cast("string").alias("body"),
+        F.lit(None).cast("int").alias("sample_rate"),
+        F.lit(None).cast("int").alias("channels"),
+    )
+    row.coalesce(1).write.mode("append").parquet(path)
+
+
+def _actions(frames: DataFrame, accepts_reset: bool, behind: timedelta) -> DataFrame:
     checked = messages.classify(frames, accepts_reset).withColumn("ts_us", epoch_micros(frames, "ts"))
-    return checked.withWatermark("ts", delay).select(
-        "session_id", "ts", "ts_us", "seq", "action", "utt_id", "payload", "sample_rate", "channels",
-        "error_code", "error_detail",
+    action = F.when(F.col("kind") == "clock", F.lit("clock")).otherwise(F.col("action"))
+    return (
+        checked.withColumn("action", action)
+        .withWatermark("ts", f"{_micros(behind) // 1000} milliseconds")
+        .select(
+            "session_id", "ts", "ts_us", "seq", "action", "utt_id", "payload", "sample_rate", "channels",
+            "error_code", "error_detail",
+        )
     )
 
 
-def _stateful(actions: DataFrame, processor, schema: str) -> DataFrame:
-    spark = actions.sparkSession
+def _micros(span: timedelta) -> int:
+    return span // timedelta(microseconds=1)
+
+
+def _stateful(frames: DataFrame, accepts_reset: bool, processor, delay: timedelta, grace: timedelta) -> DataFrame:
+    spark = frames.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    processor.grace_us = _micros(grace)
+    actions = _actions(frames, accepts_reset, delay + grace)
     return actions.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime"
     )
 
 
 def asr_messages(
-    frames: DataFrame, params: SessionParams, slot: Slot = builtin.TRANSCRIBE, delay: str = "10 seconds"
+    frames: DataFrame,
+    params: SessionParams,
+    slot: Slot = builtin.TRANSCRIBE,
+    delay: timedelta = DELAY,
+    grace: timedelta = GRACE,
 ) -> DataFrame:
-    """Messages of recognition sessions. Rows later than the watermark are dropped by Spark and
-    show up in the query progress."""
-    return _stateful(_actions(frames, True, delay), AsrProcessor(params, slot), MESSAGE_SCHEMA)
+    """Messages of recognition sessions.
 
+    Rows are applied in order ``delay`` behind the newest; rows that come later than that are told
+    as ``late`` messages, rows later by another ``grace`` are dropped by Spark and show up in the
+    query progress. The recogniser runs behind the state, on the buffers of many sessions in one
+    call; a failure ends a final with an empty text and turns a partial into an error.
+    """
+    said = _stateful(frames, True, AsrProcessor(params), delay, grace)
+    sound = F.when(F.size("samples") > 0, F.col("samples"))
+    ran = base.apply(said, slot, [sound, F.lit(params.language)], "raw")
+    heard = F.when(F.col("raw").isNotNull(), text.strip(F.coalesce("raw.text", F.lit(""))))
+    failed = F.col("error").isNotNull()
+    partial = failed & (F.col("type") == "partial")
+    wanted = F.col("samples").isNotNull()
+    return ran.select(
+        "session_id",
+        "ts_us",
+        "seq",
+        "step",
+        F.when(partial, "error").otherwise(F.col("type")).alias("type"),
+        F.when(partial, F.lit(None)).when(wanted, F.coalesce(heard, F.lit(""))).otherwise(F.col("text")).alias("text"),
+        "utt_id",
+        F.when(partial, "model_failed").otherwise(F.col("reason")).alias("reason"),
+        F.when(partial, F.col("error")).otherwise(F.col("detail")).alias("detail"),
+        "late",
+    )
 
-def verify_checks(frames: DataFrame, params: SessionParams, delay: str = "10 seconds") -> DataFrame:
-    return _stateful(_actions(frames, False, delay), VerifyProcessor(params), CHECK_SCHEMA)
+
+def verify_checks(
+    frames: DataFrame, params: SessionParams, delay: timedelta = DELAY, grace: timedelta = GRACE
+) -> DataFrame:
+    """Checks, ready, error and late rows of verification sessions, in the order of ``asr_messages``."""
+    return _stateful(frames, False, VerifyProcessor(params), delay, grace)
+
+
+def late_frames(said: DataFrame) -> DataFrame:
+    """The late rows among the messages of either kind of session, with all they carried."""
+    return said.where("type = 'late'").select("session_id", "ts_us", "seq", "late.*")
 
 
 def match_checks(
@@ -97,7 +157,7 @@ def match_checks(
     or an empty registry give an empty result of the same shape."""
     keyed = checks.where(F.col("type").isin("partial", "final")).withColumn(
         "probe_id", F.concat_ws("/", "session_id", "type", "ts_us", F.coalesce("seq", F.lit(-1)))
-    )
+    ).drop("late")
     sound = keyed.where("enough").select("probe_id", "samples")
     if denoise is not None:
         sound = jobs.denoise(sound, denoise).drop("error")

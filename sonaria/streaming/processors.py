@@ -1,8 +1,17 @@
-"""Keyed state of live sessions: one small record and one capped buffer per session.
+"""Keyed state of live sessions: rows not yet in their turn, one small record, one capped buffer.
 
-Rows of a session are applied in (ts_us, seq) order inside a micro-batch, so a stream gives the
-same messages as the batch replay of the same rows. Time is event time: deadlines are checked
-against the next row and, for silent sessions, by timers on the watermark.
+Rows wait in the state until the watermark has passed them and are then applied in (ts_us, seq) order, so
+messages do not depend on how rows fall into micro-batches, nor on their order across them: a stream
+gives the messages of the batch replay of the same rows. Deadlines (silence, idle partials, coalesced
+answers, the end of the state) are events in the same order: before a row is applied, all
+that was due by then has happened. One timer per session wakes it for the next row or deadline.
+
+The watermark of the stream lies ``grace_us`` behind the time up to which rows are applied. Rows that come
+too late for their turn but within the grace are told as ``late`` with all they carry; only rows later
+than that are dropped by Spark, which counts them.
+
+A session that has had no rows for ``keep_us`` ends and leaves nothing behind; so does the mark of a closed
+one, ``keep_us`` after it closed. Rows that come later open a new session.
 """
 
 from __future__ import annotations
@@ -17,285 +26,398 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sonaria.constants import PCM16_MAX, SAMPLE_RATE
 from sonaria.functions.codec import resample_linear
-from sonaria.slots import base
-from sonaria.slots.base import Slot
 
 NEVER = -1
 
-MESSAGE_SCHEMA = (
+#: Messages of one output frame; a frame may hold a buffer for each.
+FRAME_MESSAGES = 64
+
+ROW_SCHEMA = (
+    "ts_us long, seq long, action string, utt_id string, payload binary, sample_rate int, channels int, "
+    "error_code string, error_detail string"
+)
+LATE_SCHEMA = "struct<action:string,utt_id:string,payload:binary,sample_rate:int,channels:int>"
+SPEECH_SCHEMA = (
     "session_id string, ts_us long, seq long, step int, type string, text string, utt_id string, "
-    "reason string, detail string"
+    f"reason string, detail string, samples array<float>, late {LATE_SCHEMA}"
 )
 CHECK_SCHEMA = (
     "session_id string, ts_us long, seq long, type string, reason string, buffer_len long, "
-    "enough boolean, samples array<float>, detail string"
+    f"enough boolean, samples array<float>, detail string, late {LATE_SCHEMA}"
+)
+META_SCHEMA = (
+    "last_activity long, last_emit long, silent boolean, closed boolean, seen long, dirty_ts long, dirty_seq long"
 )
 
 
 @dataclass(frozen=True)
 class SessionParams:
-    """Times in microseconds; ``gap_us`` None switches silence finals off."""
+    """Times in microseconds; None switches a deadline off (``keep_us`` None: state is kept for ever).
+
+    ``coalesce_us``: new audio is answered once per tick of that length, by its last frame; None
+    answers each frame.
+    """
 
     window_samples: int
     emit_us: int | None = None
     gap_us: int | None = None
     min_samples: int = 0
     idle_partials: bool = False
-    coalesce: bool = True
+    coalesce_us: int | None = 500_000
     language: str = "ru"
+    keep_us: int | None = 24 * 3_600_000_000
 
+    def __post_init__(self):
+        if None not in (self.keep_us, self.gap_us) and self.keep_us < self.gap_us:
+            raise ValueError("a session must be kept until its silence is over")
 
-def _signal(row) -> np.ndarray:
+
+def _signal(row: dict) -> np.ndarray:
     """Mono samples at the engine rate of one aligned PCM16 frame."""
-    x = np.frombuffer(bytes(row.payload), dtype="<i2").astype(np.float32) / np.float32(PCM16_MAX)
-    if row.channels > 1:
-        x = x.reshape(-1, int(row.channels)).mean(axis=1, dtype=np.float32)
-    if row.sample_rate != SAMPLE_RATE:
-        x = resample_linear(x, int(row.sample_rate), SAMPLE_RATE).astype(np.float32)
+    x = np.frombuffer(bytes(row["payload"]), dtype="<i2").astype(np.float32) / np.float32(PCM16_MAX)
+    if row["channels"] > 1:
+        x = x.reshape(-1, int(row["channels"])).mean(axis=1, dtype=np.float32)
+    if row["sample_rate"] != SAMPLE_RATE:
+        x = resample_linear(x, int(row["sample_rate"]), SAMPLE_RATE).astype(np.float32)
     return np.clip(x, -1.0, 1.0)
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _plain(value):
+    """State values are Python values; pandas brings its own kinds of null and numbers."""
+    if value is None or isinstance(value, (bytes, bytearray, str)):
+        return None if value is None else (value if isinstance(value, str) else bytes(value))
+    return None if pd.isna(value) else int(value)
 
 
 class _Session(StatefulProcessor):
-    """Trailing buffer and clocks shared by both session kinds."""
+    """What both kinds of sessions share: waiting rows, trailing buffer, clocks."""
+
+    schema: str
 
-    def __init__(self, params: SessionParams):
+    def __init__(self, params: SessionParams, grace_us: int = 0):
         self.params = params
+        self.grace_us = grace_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.meta = handle.getValueState(
-            "meta", "last_activity long, last_emit long, silent boolean, closed boolean"
-        )
+        self.waiting = handle.getListState("waiting", ROW_SCHEMA)
+        self.meta = handle.getValueState("meta", META_SCHEMA)
         self.audio = handle.getValueState("audio", "data binary")
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> bool:
-        """Reads the state of the current key; true for a new session."""
-        known = self.meta.get() if self.meta.exists() else None
-        if known is None:
-            self.last_activity, self.last_emit, self.silent, self.closed = NEVER, NEVER, False, False
-        else:
-            self.last_activity, self.last_emit, self.silent, self.closed = known
-        data = self.audio.get()[0] if self.audio.exists() else b""
-        self.buffer = np.frombuffer(bytes(data), dtype="<f4")
-        return known is None
+    # ---- state
+
+    def _fresh(self) -> None:
+        self.last_activity = self.last_emit = self.seen = self.dirty_ts = self.dirty_seq = NEVER
+        self.silent = self.closed = False
+        self.open = False
+        self.buffer = np.empty(0, dtype="<f4")
+
+    def _load(self, key) -> None:
+        self.key, self.out = key[0], []
+        self._fresh()
+        if self.meta.exists():
+            (
+                self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts, self.dirty_seq,
+            ) = self.meta.get()
+            self.open = True
+            data = self.audio.get()[0] if self.audio.exists() else b""
+            self.buffer = np.frombuffer(bytes(data), dtype="<f4")
 
     def _save(self) -> None:
-        self.meta.update((self.last_activity, self.last_emit, self.silent, self.closed))
+        if self.open:
+            self.meta.update(
+                (self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts, self.dirty_seq)
+            )
+        elif self.meta.exists():
+            self.meta.clear()
         if len(self.buffer):
             self.audio.update((self.buffer.astype("<f4").tobytes(),))
         elif self.audio.exists():
             self.audio.clear()
 
-    def _append(self, x: np.ndarray) -> None:
+    def _wake(self, first_waiting: int | None) -> None:
+        """One timer for the next row or deadline; it fires when the watermark has passed it."""
+        due = [d for d, _ in self._deadlines()]
+        if first_waiting is not None:
+            due.append(first_waiting)
+        wanted = {self._after(min(due))} if due else set()
+        armed = set(self.handle.listTimers())
+        for timer in armed - wanted:
+            self.handle.deleteTimer(timer)
+        for timer in wanted - armed:
+            self.handle.registerTimer(timer)
+
+    # ---- order of rows and deadlines
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._load(key)
+        turn = self._turn(timerValues)
+        fields = _names(ROW_SCHEMA)
+        came = []
+        for frame in rows:
+            for values in frame[fields].itertuples(index=False, name=None):
+                row = dict(zip(fields, map(_plain, values)))
+                if row["action"] == "clock":
+                    continue
+                if turn is not None and row["ts_us"] < turn:
+                    self._late(row)
+                else:
+                    came.append(tuple(row.values()))
+        if came:
+            self.waiting.appendList(came)
+            # The armed timer stands for the rows and deadlines there are already.
+            first, armed = self._after(min(r[0] for r in came)), list(self.handle.listTimers())
+            if not armed or first < min(armed):
+                for timer in armed:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+        yield from self._frames()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load(key)
+        turn = self._turn(timerValues)
+        rows = sorted(self._waiting(), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+        ready = [r for r in rows if r[0] < turn]
+        fields = _names(ROW_SCHEMA)
+        for values in ready:
+            row = dict(zip(fields, values))
+            self._advance(row["ts_us"])
+            self._take(row)
+        self._advance(turn - 1)
+        if ready:
+            self.waiting.clear()
+            if len(ready) < len(rows):
+                self.waiting.put(rows[len(ready):])
+        self._save()
+        self._wake(rows[len(ready)][0] if len(ready) < len(rows) else None)
+        yield from self._frames()
+
+    def _turn(self, timerValues) -> int | None:
+        """Rows before this time are applied or late; None before the stream has a watermark."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        return mark * 1000 + self.grace_us if mark > 0 else None
+
+    def _after(self, ts_us: int) -> int:
+        """The first watermark (milliseconds; a timer fires when it is reached) that has passed a time."""
+        return int((ts_us - self.grace_us) // 1000 + 1)
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(map(_plain, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def _advance(self, until: int) -> None:
+        """Everything that is due by then, in its order."""
+        while due := [d for d in self._deadlines() if d[0] <= until]:
+            at, happen = min(due, key=lambda d: d[0])
+            happen(at)
+
+    def _deadlines(self) -> list:
+        """(time, what happens) of the session as it stands; of equal times the first counts."""
+        p = self.params
+        found = []
+        if not self.open:
+            return found
+        if self.dirty_ts != NEVER:
+            found.append((self._tick_end(self.dirty_ts), self._answer_audio))
+        if not self.closed:
+            if p.idle_partials and p.emit_us is not None and self.last_emit != NEVER:
+                found.append((self.last_emit + p.emit_us, self._idle))
+            if p.gap_us is not None and not self.silent:
+                found.append((self.last_activity + p.gap_us, self._silence))
+        if p.keep_us is not None:
+            found.append((self.seen + p.keep_us, self._forget))
+        return found
+
+    def _take(self, row: dict) -> None:
+        if self.closed:
+            return
+        if not self.open:
+            self.open, self.last_activity = True, row["ts_us"]
+            self._ready(row)
+        self.seen = row["ts_us"]
+        self._apply(row)
+
+    def _forget(self, at: int) -> None:
+        self._fresh()
+
+    # ---- audio
+
+    def _tick_end(self, ts_us: int) -> int:
+        tick = self.params.coalesce_us
+        return (ts_us // tick + 1) * tick
+
+    def _append(self, row: dict) -> str | None:
+        """Takes a frame into the buffer; the error text of one that cannot be read."""
+        try:
+            x = _signal(row)
+        except Exception as error:
+            return repr(error)
         if len(x):
             self.buffer = np.concatenate([self.buffer, x])[-self.params.window_samples :]
+        return None
 
     def _clear(self) -> None:
         self.buffer = self.buffer[:0]
         self.last_emit = NEVER
 
-    def _deadline(self) -> int | None:
-        """When the running silence ends the utterance; None if it has already, or never will."""
-        if self.params.gap_us is None or self.silent or self.closed:
-            return None
-        return self.last_activity + self.params.gap_us
-
-    def _partial_due(self) -> int | None:
-        """When the next partial of an idle session is due."""
-        idle = self.params.idle_partials and self.params.emit_us is not None
-        if not idle or self.closed or self.last_emit == NEVER:
-            return None
-        return self.last_emit + self.params.emit_us
-
     def _parameters(self) -> str:
         """Effective parameters, told to the client when its session opens."""
         return json.dumps(asdict(self.params))
 
-    def _arm(self, deadlines: list[int | None]) -> None:
-        """Replaces the timers of the key; timers have millisecond steps and fire after the due time."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for due in {-(-d // 1000) for d in deadlines if d is not None}:
-            self.handle.registerTimer(int(due))
+    def _frames(self) -> Iterator[pd.DataFrame]:
+        names = _names(self.schema)
+        for start in range(0, len(self.out), FRAME_MESSAGES):
+            frame = pd.DataFrame(self.out[start : start + FRAME_MESSAGES], columns=names)
+            frame["seq"] = frame["seq"].astype("Int64")
+            yield frame
+
+    @staticmethod
+    def _carried(row: dict) -> dict:
+        return {name: row[name] for name in ("action", "utt_id", "payload", "sample_rate", "channels")}
+
+    # ---- what the two kinds say
+
+    def _ready(self, row: dict) -> None:
+        raise NotImplementedError
+
+    def _apply(self, row: dict) -> None:
+        raise NotImplementedError
+
+    def _late(self, row: dict) -> None:
+        raise NotImplementedError
+
+    def _silence(self, due: int) -> None:
+        raise NotImplementedError
+
+    def _idle(self, due: int) -> None:
+        raise NotImplementedError
+
+    def _answer_audio(self, due: int) -> None:
+        raise NotImplementedError
 
 
 class AsrProcessor(_Session):
-    """Recognition sessions: partials on flush and on time, final on stop and on silence."""
+    """Recognition sessions: partials on flush and on time, final on stop and on silence.
 
-    def __init__(self, params: SessionParams, slot: Slot):
-        super().__init__(params)
-        self.slot = slot
+    A message that wants a text carries the buffer; the recogniser runs behind the state, on the
+    buffers of many sessions at once.
+    """
 
-    def _text(self) -> str:
-        if not len(self.buffer):
-            return ""
-        model = base._model(self.slot)
-        result = next(iter(model(pd.Series([self.buffer]), pd.Series([self.params.language]))))
-        return (result.get("text") or "").strip()
+    schema = SPEECH_SCHEMA
 
-    def _say(self, ts_us, seq, step, kind, text=None, utt=None, reason=None, detail=None):
-        self.out.append((self.key, ts_us, seq, step, kind, text, utt, reason, detail))
+    def _say(self, ts_us, seq, step, kind, text=None, utt=None, reason=None, detail=None, samples=None, late=None):
+        self.out.append((self.key, ts_us, seq, step, kind, text, utt, reason, detail, samples, late))
 
-    def _say_text(self, ts_us, seq, step, kind, utt=None, reason=None):
-        """A failing model ends a final with an empty text and turns a partial into an error."""
-        try:
-            self._say(ts_us, seq, step, kind, self._text(), utt, reason)
-        except Exception as error:
-            if kind == "final":
-                self._say(ts_us, seq, step, kind, "", utt, reason)
-            else:
-                self._say(ts_us, seq, step, "error", None, utt, "model_failed", repr(error))
+    def _say_text(self, ts_us, seq, step, kind, utt=None, reason=None) -> None:
+        self._say(ts_us, seq, step, kind, None, utt, reason, samples=self.buffer.copy())
+
+    def _ready(self, row) -> None:
+        self._say(row["ts_us"], row["seq"], 0, "ready", detail=self._parameters())
 
-    def _close_silence(self, due: int) -> None:
+    def _late(self, row) -> None:
+        self._say(row["ts_us"], row["seq"], 4, "late", late=self._carried(row))
+
+    def _silence(self, due) -> None:
         self._say_text(due, None, 1, "final", reason="inactivity")
         self._clear()
         self.silent = True
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.key, self.out = key[0], []
-        fresh = self._load()
-        for row in _ordered(rows).itertuples(index=False):
-            if fresh:
-                self._say(row.ts_us, row.seq, 0, "ready", detail=self._parameters())
-                self.last_activity, fresh = row.ts_us, False
-            due = self._deadline()
-            if due is not None and row.ts_us >= due:
-                self._close_silence(due)
-            self._apply(row)
-        self._save()
-        self._arm([self._deadline(), self._partial_due()])
-        yield self._frame()
+    def _idle(self, due) -> None:
+        self.last_emit = due
+        self._say_text(due, None, 3, "partial")
 
     def _apply(self, row) -> None:
-        utt = None if pd.isna(row.utt_id) else row.utt_id
-        if row.action == "audio":
-            try:
-                self._append(_signal(row))
-            except ValueError as error:
-                self._say(row.ts_us, row.seq, 2, "error", None, utt, "ingest_failed", repr(error))
-            self.last_activity, self.silent = row.ts_us, False
-        elif row.action == "flush":
-            self._say_text(row.ts_us, row.seq, 2, "partial", utt)
-        elif row.action == "stop":
-            self._say_text(row.ts_us, row.seq, 2, "final", utt, "client_stop")
-        elif row.action == "reset":
-            self._say(row.ts_us, row.seq, 2, "ok", "reset", utt)
+        ts_us, seq, utt, action = row["ts_us"], row["seq"], row["utt_id"], row["action"]
+        if action == "audio":
+            failed = self._append(row)
+            if failed:
+                self._say(ts_us, seq, 2, "error", None, utt, "ingest_failed", failed)
+            self.last_activity, self.silent = ts_us, False
+        elif action == "flush":
+            self._say_text(ts_us, seq, 2, "partial", utt)
+        elif action == "stop":
+            self._say_text(ts_us, seq, 2, "final", utt, "client_stop")
+        elif action == "reset":
+            self._say(ts_us, seq, 2, "ok", "reset", utt)
         else:
-            self._say(row.ts_us, row.seq, 2, "error", None, utt, row.error_code, row.error_detail)
-        if row.action in ("stop", "reset"):
+            self._say(ts_us, seq, 2, "error", None, utt, row["error_code"], row["error_detail"])
+        if action in ("stop", "reset"):
             self._clear()
-            self.last_activity, self.silent = row.ts_us, False
-        else:
-            self._tick(row.ts_us, row.seq)
+            self.last_activity, self.silent = ts_us, False
+        elif self._emits(ts_us):
+            self.last_emit = ts_us
+            self._say_text(ts_us, seq, 3, "partial")
 
-    def _tick(self, ts_us: int, seq) -> None:
+    def _emits(self, ts_us: int) -> bool:
         every = self.params.emit_us
-        if every is None or (self.last_emit != NEVER and ts_us - self.last_emit < every):
-            return
-        self.last_emit = ts_us
-        self._say_text(ts_us, seq, 3, "partial")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.key, self.out = key[0], []
-        self._load()
-        fired = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        partial, silence = self._partial_due(), self._deadline()
-        if partial is not None and partial <= fired:
-            self._tick(partial, None)
-        if silence is not None and silence <= fired:
-            self._close_silence(silence)
-        self._save()
-        self._arm([self._deadline(), self._partial_due()])
-        yield self._frame()
-
-    def _frame(self) -> pd.DataFrame:
-        names = [c.split()[0] for c in MESSAGE_SCHEMA.split(", ")]
-        frame = pd.DataFrame(self.out, columns=names)
-        frame["seq"] = frame["seq"].astype("Int64")
-        return frame
+        return every is not None and (self.last_emit == NEVER or ts_us - self.last_emit >= every)
 
 
 class VerifyProcessor(_Session):
     """Verification sessions: a check on new audio and flush, a final check on stop or silence.
 
-    With ``idle_partials`` a session without new audio is checked again after ``emit_us``: the
-    interval is the longest wait for an answer, not a brake.
+    New audio is answered once per tick (``coalesce_us``), unless a row that is no audio comes
+    first: then before that row. With ``idle_partials`` a session without new audio is
+    checked again after ``emit_us``: the interval is the longest wait for an answer, not a brake.
     """
 
-    def _check(self, ts_us, seq, kind, reason=None, detail=None) -> None:
+    schema = CHECK_SCHEMA
+
+    def _say(self, ts_us, seq, kind, reason=None, enough=False, samples=None, detail=None, late=None) -> None:
+        self.out.append((self.key, ts_us, seq, kind, reason, len(self.buffer), enough, samples, detail, late))
+
+    def _check(self, ts_us, seq, kind, reason=None) -> None:
         self.last_emit = ts_us
         enough = len(self.buffer) >= self.params.min_samples
-        samples = self.buffer.copy() if enough else None
-        self.out.append(
-            (self.key, ts_us, seq, kind, reason, len(self.buffer), enough, samples, detail)
-        )
+        self._say(ts_us, seq, kind, reason, enough, self.buffer.copy() if enough else None)
 
     def _end(self, ts_us, seq, reason) -> None:
         self._check(ts_us, seq, "final", reason)
         self._clear()
-        self.closed = True
+        self.closed, self.seen = True, ts_us
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.key, self.out = key[0], []
-        fresh, dirty = self._load(), None
-        for row in _ordered(rows).itertuples(index=False):
-            if self.closed:
-                break
-            if fresh:
-                self.last_activity, fresh = row.ts_us, False
-                self.out.append(
-                    (self.key, row.ts_us, row.seq, "ready", None, 0, False, None, self._parameters())
-                )
-            due = self._deadline()
-            if due is not None and row.ts_us >= due:
-                self._end(due, None, "inactivity")
-            elif row.action == "audio":
-                try:
-                    self._append(_signal(row))
-                except ValueError as error:
-                    self.out.append(
-                        (self.key, row.ts_us, row.seq, "error", "ingest_failed", len(self.buffer), False, None, repr(error))
-                    )
-                    continue
-                self.last_activity, dirty = row.ts_us, row
-                if not self.params.coalesce:
-                    self._check(row.ts_us, row.seq, "partial")
-            elif row.action == "flush":
-                self._check(row.ts_us, row.seq, "partial")
-            elif row.action == "stop":
-                self._end(row.ts_us, row.seq, "client_stop")
-            else:
-                self.out.append(
-                    (self.key, row.ts_us, row.seq, "error", row.error_code, len(self.buffer), False, None, row.error_detail)
-                )
-        if self.params.coalesce and dirty is not None and not self.closed:
-            self._check(dirty.ts_us, dirty.seq, "partial")
-        self._save()
-        self._arm([self._deadline(), self._partial_due()])
-        yield self._frame()
+    def _ready(self, row) -> None:
+        self._say(row["ts_us"], row["seq"], "ready", detail=self._parameters())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.key, self.out = key[0], []
-        self._load()
-        fired = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due, partial = self._deadline(), self._partial_due()
-        if partial is not None and partial <= fired and (due is None or partial < due):
-            self._check(partial, None, "partial")
-        if due is not None and due <= fired:
-            self._end(due, None, "inactivity")
-        self._save()
-        self._arm([self._deadline(), self._partial_due()])
-        yield self._frame()
-
-    def _frame(self) -> pd.DataFrame:
-        names = [c.split()[0] for c in CHECK_SCHEMA.split(", ")]
-        frame = pd.DataFrame(self.out, columns=names)
-        frame["seq"] = frame["seq"].astype("Int64")
-        return frame
+    def _late(self, row) -> None:
+        self._say(row["ts_us"], row["seq"], "late", late=self._carried(row))
+
+    def _silence(self, due) -> None:
+        self._answer_audio(due)
+        self._end(due, None, "inactivity")
+
+    def _idle(self, due) -> None:
+        self._check(due, None, "partial")
+
+    def _answer_audio(self, due=None) -> None:
+        if self.dirty_ts != NEVER:
+            at, seq = self.dirty_ts, self.dirty_seq
+            self.dirty_ts = self.dirty_seq = NEVER
+            self._check(at, None if seq == NEVER else seq, "partial")
+
+    def _apply(self, row) -> None:
+        ts_us, seq, action = row["ts_us"], row["seq"], row["action"]
+        if action != "audio":
+            self._answer_audio()
+        if action == "audio":
+            failed = self._append(row)
+            if failed:
+                self._answer_audio()
+                self._say(ts_us, seq, "error", "ingest_failed", detail=failed)
+                return
+            self.last_activity = ts_us
+            self.dirty_ts, self.dirty_seq = ts_us, NEVER if seq is None else seq
+            if self.params.coalesce_us is None:
+                self._answer_audio()
+        elif action == "flush":
+            self._check(ts_us, seq, "partial")
+        elif action == "stop":
+            self._end(ts_us, seq, "client_stop")
+        else:
+            self._say(ts_us, seq, "error", row["error_code"], detail=row["error_detail"])
