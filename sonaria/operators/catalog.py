@@ -28,10 +28,15 @@ def cached_transcripts(
     anything is joined, so a clip that fills a third of the input is looked up and computed once.
     """
     key = key or ["sha1"]
-    wanted = keys.select(*key).distinct()
-    found = wanted.join(cache.select(*key, "text"), key, "inner").withColumn("hit", F.lit(True))
-    fresh = compute(wanted.join(cache.select(*key), key, "left_anti")).select(*key, "text")
+    known = cache.select(*key, F.col("text"), F.lit(True).alias("hit"))
+    # The distinct keys are looked up once; hits and misses are read from what that wrote.
+    looked_up = materialise(
+        keys.select(*key).distinct().join(known, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False))),
+        "looked-up",
+    )
+    fresh = compute(looked_up.where(~F.col("hit")).select(*key)).select(*key, "text")
     fresh = materialise(fresh, "transcripts")
+    found = looked_up.where("hit").select(*key, "text", "hit")
     return found.unionByName(fresh.withColumn("hit", F.lit(False))), fresh
 
 

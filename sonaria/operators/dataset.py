@@ -114,9 +114,15 @@ def todo(clips: DataFrame, metadata: DataFrame, full_path: bool = False) -> Data
     )
 
 
-def run_report(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """n_ok, n_bad, minutes and rows per second (at least one second) of finished rows."""
-    seconds = (F.max("ts_us") - F.min("ts_us")) / 1e6
+def run_report(
+    results: DataFrame, keys: list[str] | None = None, seconds: Column | None = None
+) -> DataFrame:
+    """n_rows, n_ok, n_bad, minutes and rows per second (at least one second) of finished rows.
+
+    The time is the span of ``ts_us``, or ``seconds`` where the run was timed as a whole.
+    """
+    if seconds is None:
+        seconds = (F.max("ts_us") - F.min("ts_us")) / 1e6
     return results.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("error").isNull()).alias("n_ok"),

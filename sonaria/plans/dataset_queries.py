@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.operators import dataset
+from sonaria.plans import jobs
 from sonaria.plans.registered import query
 from sonaria.session import scratch_path, table
+from sonaria.slots.base import Slot
 from sonaria.sources import corpus, sinks
 
 
@@ -130,6 +132,41 @@ def resume_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("progress", start.alias("start"))
 
 
+#: Appends a mark, so that a text that was not accented, or twice, shows.
+ACCENT = Slot("accent.mark", "string", lambda: lambda texts: texts + "+")
+
+
+@query(
+    "corpus_run",
+    f"""
+WITH {ROWS},
+early AS (SELECT path, arg_max(text, file_rank * 1000000000 + row_no) AS text FROM usable WHERE file_rank < 3 GROUP BY path),
+late AS (SELECT path, arg_max(text, file_rank * 1000000000 + row_no) AS text FROM usable GROUP BY path),
+first AS (SELECT path, text, row_number() OVER (ORDER BY path) - 1 AS idx FROM early),
+changed AS (
+  SELECT l.path, l.text, (SELECT count(*) FROM early) + row_number() OVER (ORDER BY l.path) - 1 AS idx
+  FROM late l LEFT JOIN early e ON e.path = l.path WHERE e.path IS NULL OR e.text <> l.text)
+SELECT idx, path, printf('cv_%07d.wav', idx) AS file, sha1(text || '+') AS text_sha1
+FROM (SELECT * FROM changed UNION ALL SELECT * FROM first WHERE path NOT IN (SELECT path FROM changed))""",
+)
+def corpus_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From rows to the written corpus: a run that stops early, one that goes on, one that finds nothing to
+    do, and one on more rows, some of which replace what is written."""
+    out = scratch_path(spark, "corpus-run")
+    rows, clips = split_rows(spark, sf_dir), existing_clips(spark, sf_dir)
+    size = table(spark, sf_dir, "documents").count() // 4 + 1
+
+    def run(found: DataFrame, batches: int | None = None) -> None:
+        jobs.corpus_run(found, clips, out, ["file_rank", "row_no"], ACCENT, rows_per_batch=size, batches=batches)
+
+    early = rows.where("file_rank < 3")
+    run(early, batches=1)
+    run(early)
+    run(early)
+    run(rows)
+    return jobs.corpus_table(spark, out).select("idx", "path", "file", F.sha1("text").alias("text_sha1"))
+
+
 @query(
     "resume_todo",
     """

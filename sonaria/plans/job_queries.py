@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.functions import codec
@@ -13,7 +13,9 @@ from sonaria.plans.signal_queries import DIM, PER_CLIP, SAMPLES
 from sonaria.session import scratch_path, table
 from sonaria.slots import builtin
 from sonaria.slots import jobs as slot_jobs
+from sonaria.sources import sinks
 from sonaria.sources.registry import REGISTRY_SCHEMA, read_latest, write_version
+from sonaria.sources.voices import ENTRY_SCHEMA
 from sonaria.streaming import jobs as streams
 from sonaria.streaming.processors import SessionParams
 
@@ -29,39 +31,86 @@ def clips_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recordings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole vectors as clips, some with their beginning once more, so that lengths differ."""
+    more = F.slice("embedding", F.lit(1), (F.col("vec_id") % 3 * 8).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        "label",
+        F.concat(F.lit("clips\\"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".WAV")).alias("path"),
+        F.concat("embedding", more).alias("samples"),
+    )
+
+
 @query(
     "batch_transcription",
     """
-WITH c AS (SELECT vec_id, label, CASE vec_id % 3 WHEN 0 THEN 64 WHEN 1 THEN 48 ELSE 40 END AS n FROM embeddings)
 SELECT vec_id || '.WAV' AS file,
-       CASE WHEN label = 1 THEN NULL ELSE ' len=' || n END AS text,
+       CASE WHEN label = 1 THEN NULL ELSE ' len=' || (64 + vec_id % 3 * 8) END AS text,
        CASE WHEN label = 1 THEN 'unsupported' END AS error
-FROM c WHERE label <> 0""",
+FROM embeddings WHERE label <> 0""",
 )
 def batch_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label 0 is already in the metadata, label 1 could not be decoded."""
-    clips = clips_of(spark, sf_dir)
-    bad = F.col("user_id") == "1"
-    decoded = clips.select(
+    clips = recordings_of(spark, sf_dir)
+    done = clips.where("label = 0").select(
+        F.concat(F.lit("wavs/"), F.lower(F.col("vec_id").cast("string")), F.lit(".wav")).alias("file")
+    )
+    return jobs.transcription_job(_decoded(clips, F.col("label") == 1), done).select("file", "text", "error")
+
+
+def _decoded(clips: DataFrame, bad: Column) -> DataFrame:
+    return clips.select(
         "path",
         F.when(~bad, F.col("samples")).alias("samples"),
         F.when(bad, F.lit("unsupported")).alias("error"),
     )
-    done = clips.where("user_id = '0'").select(
-        F.concat(F.lit("wavs/"), F.lower(F.col("vec_id").cast("string")), F.lit(".wav")).alias("file")
-    )
-    return jobs.transcription_job(decoded, done).select("file", "text", "error")
+
+
+@query(
+    "transcription_report",
+    """
+WITH runs AS (
+  SELECT 1 AS run, label = 1 AS bad, 120.0 AS seconds FROM embeddings
+  UNION ALL SELECT 2, label = 1 AND vec_id % 2 = 1, 0.5 FROM embeddings WHERE label = 1
+  UNION ALL SELECT 3, FALSE, 30.0 FROM embeddings WHERE label = 1 AND vec_id % 2 = 1)
+SELECT run, count(*) AS n_rows, count(*) FILTER (WHERE NOT bad) AS n_ok, count(*) FILTER (WHERE bad) AS n_bad,
+       round(max(seconds) / 60, 6) AS minutes, round(count(*) / greatest(max(seconds), 1), 6) AS rows_per_sec
+FROM runs GROUP BY run""",
+)
+def transcription_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs on one folder: the second tries the failed clips again, half of them in vain, the
+    third the rest. Clocks are given, so that the times can be compared."""
+    out, clips = scratch_path(spark, "transcriptions"), recordings_of(spark, sf_dir)
+    vain = F.col("vec_id") % 2 == 1
+    for bad, seconds in ((F.lit(True), 120.0), (vain, 0.5), (F.lit(False), 30.0)):
+        ticks = iter((0, int(seconds * 1e6)))
+        report = jobs.transcription_run(
+            _decoded(clips, (F.col("label") == 1) & bad), out, now=lambda ticks=ticks: next(ticks)
+        )
+    return report.withColumns({c: F.round(c, 6) for c in ("minutes", "rows_per_sec")})
 
 
 @query(
     "enhancement",
     """
-SELECT vec_id || '_enhanced.wav' AS output_filename, CAST(44 + 2 * 14400 AS BIGINT) AS n_bytes FROM embeddings""",
+WITH x AS (
+  SELECT vec_id, unnest(list_concat(embedding, embedding[1:vec_id % 3 * 8]))::DOUBLE AS v FROM embeddings),
+k AS (SELECT vec_id, pow(10, -18 / 20.0) / (sqrt(sum(v * v) / 14400) + 1e-9) AS k FROM x GROUP BY vec_id)
+SELECT vec_id || '_enhanced.wav' AS output_filename, CAST(44 + 2 * 14400 AS BIGINT) AS n_bytes,
+       CAST(sum(trunc(abs(CAST(greatest(-1.0, least(1.0, v * k)) AS FLOAT)::DOUBLE) * 32767)) AS BIGINT) AS total
+FROM x JOIN k USING (vec_id) GROUP BY vec_id""",
 )
 def enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips shorter than 0.9 s are padded to it; a WAV header has 44 bytes."""
-    done = jobs.enhancement_job(clips_of(spark, sf_dir))
-    return done.select("output_filename", F.octet_length("wav").cast("bigint").alias("n_bytes"))
+    """Clips shorter than 0.9 s are padded to it and set to the level; a WAV header has 44 bytes."""
+    done = jobs.enhancement_job(recordings_of(spark, sf_dir))
+    heard = codec.decode_wav(F.col("wav"))["samples"]
+    add = lambda s, v: s + F.abs(F.round(v.cast("double") * 32768)).cast("long")
+    return done.select(
+        "output_filename",
+        F.octet_length("wav").cast("bigint").alias("n_bytes"),
+        F.aggregate(heard, F.lit(0).cast("long"), add).alias("total"),
+    )
 
 
 SPECTRA_SQL = f"""
@@ -221,6 +270,11 @@ FROM (SELECT DISTINCT clip_id FROM samples) c LEFT JOIN bounds b ON b.clip_id =
 )
 def voice_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten vectors make a clip of 640 ms at 1 kHz; it is cut to 500 ms and trimmed at -12 dBFS."""
+    voices, _, _ = _voices(spark, sf_dir)
+    return voices.select("orig_file", F.col("sr").cast("bigint").alias("sr"), "ref_text")
+
+
+def _voices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
     clips = (
         table(spark, sf_dir, "embeddings")
@@ -228,9 +282,49 @@ def voice_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.flatten(F.transform(parts, lambda p: p["embedding"])).alias("samples"))
         .select(F.concat(F.col("clip_id").cast("string"), F.lit(".ogg")).alias("orig_file"), "samples")
     )
-    cache = spark.createDataFrame([], "sha1 string, text string")
-    voices, _ = jobs.voice_catalog_job(clips, cache, rate=1000, cap_ms=500, soft_ms=250, edge_dbfs=-12.0)
-    return voices.select("orig_file", F.col("sr").cast("bigint").alias("sr"), "ref_text")
+    cache = spark.createDataFrame([], ENTRY_SCHEMA)
+    return jobs.voice_catalog_job(clips, cache, rate=1000, cap_ms=500, soft_ms=250, edge_dbfs=-12.0)
+
+
+def _le(value: str, size: int) -> str:
+    """Little-endian hex digits of a number, in SQL."""
+    return " || ".join(f"format('{{:02x}}', CAST(({value}) // {256**i} % 256 AS BIGINT))" for i in range(size))
+
+
+@query(
+    "voice_reference_wav",
+    f"""
+WITH {SAMPLES},
+bounds AS (
+  SELECT clip_id, min(pos) AS lo, max(pos) AS hi FROM samples
+  WHERE pos < 500 AND abs(amp) > pow(10, -12 / 20.0) GROUP BY clip_id),
+pcm AS (
+  SELECT clip_id, pos, CAST(trunc(greatest(-1.0, least(1.0, amp)) * 32767) AS BIGINT) AS v
+  FROM samples JOIN bounds USING (clip_id) WHERE pos BETWEEN lo AND hi),
+body AS (
+  SELECT clip_id, count(*) AS n, string_agg({_le("(v + 65536) % 65536", 2)}, '' ORDER BY pos) AS hex FROM pcm GROUP BY clip_id),
+files AS (
+  SELECT c.clip_id, coalesce(n, 0) + 50 AS n, coalesce(hex, '') || repeat('0000', 50) AS hex
+  FROM (SELECT DISTINCT clip_id FROM samples) c LEFT JOIN body USING (clip_id))
+SELECT clip_id || '.ogg' AS orig_file, 44 + 2 * n AS n_bytes,
+       sha1(unhex('52494646' || {_le("36 + 2 * n", 4)} || '57415645666d742010000000' || '0100' || '0100'
+            || {_le("1000", 4)} || {_le("2000", 4)} || '0200' || '1000' || '64617461' || {_le("2 * n", 4)} || hex)) AS wav_sha1
+FROM files""",
+)
+def voice_reference_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every reference.wav, from the table they are written to."""
+    voices, _, references = _voices(spark, sf_dir)
+    root = scratch_path(spark, "reference-wavs")
+    sinks.write_references(references, root)
+    return (
+        spark.read.parquet(root)
+        .join(voices.select("voice_id", "orig_file"), "voice_id")
+        .select(
+            "orig_file",
+            F.octet_length("reference_wav").cast("bigint").alias("n_bytes"),
+            F.sha1("reference_wav").alias("wav_sha1"),
+        )
+    )
 
 
 @query(

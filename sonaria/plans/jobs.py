@@ -1,26 +1,19 @@
-"""Composed jobs: batch transcription, enrolment, voice catalog."""
+"""Composed jobs: transcription, enrolment, voice catalog, corpus."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonaria.constants import (
-    LONG_SILENCE,
-    MATCH_THRESHOLD,
-    MIN_ENROL_SEC,
-    SAMPLE_RATE,
-    SHORT_SILENCE,
-    TOP_K,
-    TTS_SAMPLE_RATE,
-    VOICE_CAP_MS,
-)
-from sonaria.functions import codec, text
+from sonaria.constants import MATCH_THRESHOLD, MIN_ENROL_SEC, SAMPLE_RATE, TOP_K, TTS_SAMPLE_RATE
+from sonaria.functions import codec, reference, text
 from sonaria.operators import catalog, dataset, matching, signal
 from sonaria.session import materialise
 from sonaria.slots import builtin, jobs
 from sonaria.slots.base import Slot
-from sonaria.sources import sinks
+from sonaria.sources import ledger, sinks, voices
 
 
 def transcription_job(
@@ -105,6 +98,12 @@ def pair_verification_job(
     return scored, missing.unionByName(silent)
 
 
+def _refusal(clips: DataFrame) -> Column:
+    """Why a clip without enough samples is refused: the reader's error, if it had one."""
+    short = F.lit("too short")
+    return F.coalesce(F.col("error"), short) if "error" in clips.columns else short
+
+
 def enrolment_job(
     clips: DataFrame,
     registry: DataFrame,
@@ -125,9 +124,10 @@ def enrolment_job(
     length = F.coalesce(F.size("samples"), F.lit(0))
     long = F.coalesce(signal.long_enough(length, F.lit(MIN_ENROL_SEC), F.lit(rate)), F.lit(False))
     short = materialise(
-        named.where(~long).select("user_id", "ref_path", F.lit("too short").alias("error")), "short-clips"
+        named.where(~long).select("user_id", "ref_path", _refusal(clips).alias("error")), "short-clips"
     )
-    clean = jobs.denoise(named.where(long), denoise).withColumnRenamed("error", "_denoise")
+    sound = named.where(long).select("user_id", "ref_path", "samples", "enrolled_at")
+    clean = jobs.denoise(sound, denoise).withColumnRenamed("error", "_denoise")
     vectors = jobs.embed(clean, embed).withColumn("error", F.coalesce("_denoise", "error"))
     # Drawn ids and model results are fixed here; both outputs read the written rows.
     fixed = materialise(
@@ -158,7 +158,7 @@ def registry_verification_job(
     """
     length = F.coalesce(F.size("samples"), F.lit(0))
     long = F.coalesce(signal.long_enough(length, F.lit(MIN_ENROL_SEC), F.lit(rate)), F.lit(False))
-    short = clips.where(~long).select("probe_id", F.lit("too short").alias("error"))
+    short = clips.where(~long).select("probe_id", _refusal(clips).alias("error"))
     sound = clips.where(long).select("probe_id", "samples")
     clean = jobs.denoise(sound, denoise).withColumnRenamed("error", "_denoise")
     heard = jobs.embed(clean, embed).withColumn("error", F.coalesce("_denoise", "error"))
@@ -171,85 +171,6 @@ def registry_verification_job(
     return decided, short.unionByName(failed)
 
 
-def _kept_segments(frames: DataFrame, silence: tuple[int, float], cap_ms: int, soft_ms: int, keep_ms: int) -> DataFrame:
-    segments = signal.split_on_silence(frames, silence, keep_ms)
-    return signal.cap_segments(segments, soft_ms, cap_ms)
-
-
-def clean_reference(
-    samples: DataFrame,
-    rate: int = TTS_SAMPLE_RATE,
-    cap_ms: int = VOICE_CAP_MS,
-    soft_ms: int = 6000,
-    keep_ms: int = 1000,
-    long_silence: tuple[int, float] = LONG_SILENCE,
-    short_silence: tuple[int, float] = SHORT_SILENCE,
-    edge_dbfs: float = -42.0,
-    tail_ms: int = 50,
-) -> DataFrame:
-    """Long-form clips cut to a voice reference: long silences first, short ones for clips still
-    over the cap, then the hard cap, the edge trim and a short silence at the end.
-
-    Segment lists are a few rows per clip; samples join them once and are filtered to the cap.
-    """
-    frames = materialise(signal.frame_energy(samples, rate), "frame-energy")
-    first = _kept_segments(frames, long_silence, cap_ms, soft_ms, keep_ms)
-    first = materialise(first, "segments")
-    over = (
-        first.groupBy("clip_id")
-        .agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("n"))
-        .where(F.col("n") > cap_ms)
-        .select("clip_id")
-    )
-    second = _kept_segments(
-        frames.join(over, "clip_id", "left_semi"), short_silence, cap_ms, soft_ms, keep_ms
-    )
-    chosen = first.join(over, "clip_id", "left_anti").unionByName(second)
-    chosen = materialise(chosen, "voice-segments")
-    per_ms = rate // 1000
-    at = F.floor(F.col("pos") / per_ms)
-    # Each second of a clip meets only the segments that touch it.
-    seconds = chosen.withColumn(
-        "_second", F.explode(F.sequence(F.floor(F.col("start_ms") / 1000), F.floor((F.col("end_ms") - 1) / 1000)))
-    )
-    placed = (
-        samples.withColumn("_ms", at)
-        .withColumn("_second", F.floor(F.col("_ms") / 1000))
-        .join(seconds, ["clip_id", "_second"])
-        .where((F.col("_ms") >= F.col("start_ms")) & (F.col("_ms") < F.col("end_ms")))
-        .select(
-            "clip_id",
-            (F.col("offset_ms") * per_ms + F.col("pos") - F.col("start_ms") * per_ms).alias("pos"),
-            "amp",
-        )
-        .where(F.col("pos") < cap_ms * per_ms)
-    )
-    # Levels, bounds and the final samples read the capped samples; written, they are joined once.
-    placed = materialise(placed, "voice-samples")
-    levels = placed.groupBy("clip_id", F.floor(F.col("pos") / per_ms).alias("ms")).agg(
-        F.sqrt(F.avg(F.col("amp") * F.col("amp"))).alias("level")
-    )
-    loud = F.col("level") > F.pow(F.lit(10.0), F.lit(edge_dbfs / 20.0))
-    bounds = levels.where(loud).groupBy("clip_id").agg(
-        (F.min("ms") * per_ms).alias("_lo"), ((F.max("ms") + 1) * per_ms).alias("_hi")
-    )
-    trimmed = (
-        placed.join(bounds, "clip_id")
-        .where((F.col("pos") >= F.col("_lo")) & (F.col("pos") < F.col("_hi")))
-        .select("clip_id", (F.col("pos") - F.col("_lo")).alias("pos"), "amp")
-    )
-    ends = samples.select("clip_id").distinct().join(
-        trimmed.groupBy("clip_id").agg((F.max("pos") + 1).alias("_n")), "clip_id", "left"
-    )
-    start = F.coalesce("_n", F.lit(0)).cast("bigint")
-    silence = ends.select(
-        "clip_id",
-        F.explode(F.sequence(start, start + F.lit(tail_ms * per_ms - 1))).alias("pos"),
-        F.lit(0.0).alias("amp"),
-    )
-    return trimmed.unionByName(silence)
-
-
 def voice_catalog_job(
     clips: DataFrame,
     cache: DataFrame,
@@ -258,45 +179,44 @@ def voice_catalog_job(
     transcribe: Slot = builtin.TRANSCRIBE,
     accent: Slot = builtin.ACCENT,
     **clean,
-) -> tuple[DataFrame, DataFrame]:
-    """(voices, new cache rows). Clips: orig_file, samples at the target rate.
-
-    Every clip becomes a voice with a drawn id. The text comes from the cache by the hash of the
-    cleaned audio file; equal clips are transcribed once.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(voices, cache entries to add, references). Clips: orig_file, samples at the target rate;
+    cache: kind, key, text.
+
+    Every clip becomes a voice with a drawn id and a cleaned reference (voice_id, sr, wav). The text
+    comes from the cache by the hash of the reference file; equal clips are transcribed once, and
+    what was transcribed is remembered by hash and by file. A clip stays one row: cleaning runs on its
+    array, and only hashes and texts are joined.
     """
-    ids = materialise(
-        clips.select("orig_file", text.hex_id().alias("voice_id"), "samples"), "voice-ids"
-    )
-    long = ids.select(F.col("voice_id").alias("clip_id"), F.posexplode("samples").alias("pos", "amp"))
-    cleaned = clean_reference(
-        long.withColumn("amp", F.col("amp").cast("double")).withColumn("pos", F.col("pos").cast("bigint")),
-        rate,
-        **clean,
-    )
-    # A cleaned reference is at most the cap plus the closing silence, which bounds its array.
-    arrays = cleaned.groupBy("clip_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "amp"))), lambda s: s["amp"].cast("float")).alias("samples")
+    cleaned = clips.select(
+        "orig_file",
+        text.hex_id().alias("voice_id"),
+        reference.clean_reference(F.col("samples"), rate, **clean).alias("samples"),
     )
     wav = codec.encode_wav(F.col("samples"), F.lit(rate))
-    hashed = materialise(
-        arrays.withColumn("wav", wav).select("clip_id", "samples", F.sha1("wav").alias("sha1")), "references"
+    # Drawn ids and the files are fixed here; all outputs read the written rows.
+    made = materialise(
+        cleaned.withColumn("wav", wav).withColumn("sr", F.lit(rate)).withColumn("sha1", F.sha1("wav")), "references"
     )
-    one = hashed.groupBy("sha1").agg(F.min("clip_id").alias("clip_id"))
+    one = made.where(F.col("wav").isNotNull()).groupBy("sha1").agg(F.min("voice_id").alias("voice_id"))
 
     def compute(missing: DataFrame) -> DataFrame:
         chosen = one.join(missing, "sha1", "left_semi")
-        source = hashed.join(chosen.select("clip_id"), "clip_id", "left_semi")
+        source = made.select("voice_id", "sha1", "samples").join(chosen.select("voice_id"), "voice_id", "left_semi")
         return jobs.transcribe(source, transcribe, F.lit(language)).select("sha1", "text")
 
-    texts, fresh = catalog.cached_transcripts(hashed, cache, compute)
+    texts, fresh = catalog.cached_transcripts(one, voices.by_sha1(cache), compute)
     accented = jobs.accent(texts.select("sha1", "text"), F.col("text").isNotNull(), accent)
-    voices = (
-        ids.select("voice_id", "orig_file")
-        .join(hashed.select(F.col("clip_id").alias("voice_id"), "sha1"), "voice_id")
-        .join(accented, "sha1")
-        .select("voice_id", F.lit(rate).alias("sr"), "orig_file", F.col("text").alias("ref_text"), "sha1")
+    catalogued = (
+        made.select("voice_id", "sr", "orig_file", "sha1")
+        .join(accented, "sha1", "left")
+        .select("voice_id", "sr", "orig_file", F.col("text").alias("ref_text"), "sha1")
     )
-    return voices, fresh
+    path = F.concat("voice_id", F.lit("/reference.wav"))
+    entries = fresh.select(F.lit(voices.BY_SHA1).alias("kind"), F.col("sha1").alias("key"), "text").unionByName(
+        fresh.join(one, "sha1").select(F.lit(voices.BY_PATH).alias("kind"), path.alias("key"), "text")
+    )
+    return catalogued, entries, made.select("voice_id", "sr", "wav")
 
 
 def deduplicated_corpus(rows: DataFrame, clips: DataFrame, order: list[str]) -> DataFrame:
@@ -305,7 +225,91 @@ def deduplicated_corpus(rows: DataFrame, clips: DataFrame, order: list[str]) ->
     return dataset.stable_index(kept.select("path", "text"), ["path"])
 
 
-def corpus_batches(indexed: DataFrame, start: Column, accent: Slot = builtin.ACCENT) -> DataFrame:
-    """Rows to write from the resume point, with accents; a failing model keeps the text."""
-    todo = dataset.batches(indexed, start)
-    return jobs.accent(todo, F.lit(True), accent)
+INDEX_SCHEMA = "path string, text string, idx long"
+CORPUS_SCHEMA = "idx long, path string, file string, text string, source_sha1 string"
+
+
+def corpus_table(spark: SparkSession, out: str) -> DataFrame:
+    """idx, path, file, text of everything written: of each path the row written last."""
+    rows = ledger.read(spark, out, "corpus", CORPUS_SCHEMA)
+    return dataset.last_wins(rows, "path", ["batch", "idx"]).drop("batch")
+
+
+def corpus_run(
+    rows: DataFrame,
+    clips: DataFrame,
+    out: str,
+    order: list[str],
+    accent: Slot = builtin.ACCENT,
+    rows_per_batch: int = 10_000_000,
+    batches: int | None = None,
+    now: Callable[[], int] = ledger.now_us,
+) -> DataFrame:
+    """Builds the corpus below ``out`` and goes on where the last run stopped; returns the run records.
+
+    Rows (path, sentence, ``order``) are deduplicated, indexed by path, accented and written in batches, each
+    with a record in the ledger. A run that finds an index not yet written to its end finishes that
+    first. Then paths that are new, or whose text differs from what is written, get the next indices and are
+    written; readers of ``corpus_table`` see the last row of a path. So a run on the same rows
+    changes nothing, and one on more rows writes the difference. ``batches`` stops a run early.
+    """
+    spark = rows.sparkSession
+    left = _write_batches(spark, out, accent, rows_per_batch, batches, now)
+    if left is None or left > 0:
+        started = now()
+        known = ledger.read(spark, out, "corpus", CORPUS_SCHEMA)
+        written = dataset.last_wins(known, "path", ["batch", "idx"]).select("path", "source_sha1")
+        kept = dataset.unique_rows(rows, clips, order).select("path", "text")
+        fresh = kept.join(written, "path", "left").where(
+            F.col("source_sha1").isNull() | (F.col("source_sha1") != F.sha1("text"))
+        )
+        base = ledger.progress(spark, out, "index")
+        indexed = dataset.stable_index(fresh.select("path", "text"), ["path"])
+        indexed = materialise(indexed.withColumn("idx", F.col("idx") + F.lit(base)), "corpus-index")
+        end = indexed.agg(F.max("idx")).first()[0]
+        if end is not None:
+            ledger.commit(indexed.select("path", "text", "idx"), out, "index", end + 1, started, now)
+            _write_batches(spark, out, accent, rows_per_batch, left, now)
+    return ledger.records(spark, out)
+
+
+def _write_batches(
+    spark: SparkSession, out: str, accent: Slot, rows_per_batch: int, batches: int | None, now: Callable[[], int]
+) -> int | None:
+    """Writes what is indexed and not written; how many batches may still be written."""
+    start, total = ledger.progress(spark, out, "corpus"), ledger.progress(spark, out, "index")
+    indexed = ledger.read(spark, out, "index", INDEX_SCHEMA)
+    while start < total and (batches is None or batches > 0):
+        end, started = min(start + rows_per_batch, total), now()
+        todo = indexed.where(F.col("idx").between(start, end - 1)).withColumn("source_sha1", F.sha1("text"))
+        done = jobs.accent(dataset.batches(todo, F.lit(start)), F.lit(True), accent)
+        written = done.select("idx", "path", F.col("wav_name").alias("file"), "text", "source_sha1")
+        ledger.commit(written, out, "corpus", end, started, now)
+        start, batches = end, None if batches is None else batches - 1
+    return batches
+
+
+TRANSCRIPT_SCHEMA = "path string, file string, text string, error string"
+
+
+def transcripts(spark: SparkSession, out: str) -> DataFrame:
+    """path, file, text, error of all committed transcription runs."""
+    return ledger.read(spark, out, "transcription", TRANSCRIPT_SCHEMA)
+
+
+def transcription_run(
+    clips: DataFrame, out: str, now: Callable[[], int] = ledger.now_us, **options
+) -> DataFrame:
+    """One run of ``transcription_job`` below ``out`` with its report; returns the reports of all runs.
+
+    Clips that an earlier run transcribed are passed over, failed ones are tried again. Results count
+    once the record of the run is written, so a stopped run leaves nothing behind.
+    """
+    spark, started = clips.sparkSession, now()
+    done = transcripts(spark, out).where(F.col("error").isNull()).select("file")
+    results = transcription_job(clips, done, **options)
+    number = ledger.progress(spark, out, "transcription") + 1
+    ledger.commit(results, out, "transcription", number, started, now)
+    return ledger.records(spark, out).where("kind = 'transcription'").select(
+        F.col("next_idx").alias("run"), "n_rows", "n_ok", "n_bad", "minutes", "rows_per_sec"
+    )

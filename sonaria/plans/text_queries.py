@@ -289,45 +289,63 @@ def transcript_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cache_write_back",
     f"""
-WITH {CACHE_SQL}
-SELECT sha1, text FROM cache
+WITH {CACHE_SQL},
+files AS (SELECT source || '/' || n_chars AS key, 'file ' || max(doc_id) AS text FROM documents GROUP BY 1)
+SELECT 'by_sha1' AS kind, sha1 AS key, text FROM cache
+UNION ALL
+SELECT DISTINCT 'by_sha1', sha1(text), 'len=' || length(text) FROM documents
+WHERE sha1(text) NOT IN (SELECT sha1 FROM cache)
 UNION ALL
-SELECT DISTINCT sha1(text), 'len=' || length(text) FROM documents
-WHERE sha1(text) NOT IN (SELECT sha1 FROM cache)""",
+SELECT 'by_path', key, text FROM files""",
 )
 def cache_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache table after a run: old rows and one row per computed miss."""
+    """The cache table after two versions, a compaction, and a version with the computed misses;
+    entries by file are written twice and the later text wins."""
     root = scratch_path(spark, "cache")
     cache = _cache_of(spark, sf_dir)
-    sinks.write_cache(cache, root)
-    docs = table(spark, sf_dir, "documents").select(F.sha1("text").alias("sha1"), F.length("text").alias("n"))
+    stored = table(spark, sf_dir, "documents")
+    file = F.concat("source", F.lit("/"), F.col("n_chars").cast("string"))
+    named = stored.groupBy(file.alias("key")).agg(F.max("doc_id").alias("last"))
+    by_path = named.select(
+        F.lit(voices.BY_PATH).alias("kind"), "key", F.concat(F.lit("file "), F.col("last").cast("string")).alias("text")
+    )
+    by_sha1 = cache.select(F.lit(voices.BY_SHA1).alias("kind"), F.col("sha1").alias("key"), "text")
+    sinks.write_cache(by_sha1.unionByName(by_path.withColumn("text", F.lit("outdated"))), root)
+    sinks.write_cache(by_path, root)
+    sinks.compact_cache(spark, root)
+    docs = stored.select(F.sha1("text").alias("sha1"), F.length("text").alias("n"))
     lengths = docs.groupBy("sha1").agg(F.max("n").alias("n"))
 
     def compute(missing: DataFrame) -> DataFrame:
         return missing.join(lengths, "sha1").withColumn("text", F.concat(F.lit("len="), F.col("n").cast("string")))
 
-    _, fresh = catalog.cached_transcripts(docs, cache, compute)
-    sinks.write_cache(fresh, root)
-    return spark.read.parquet(root)
+    _, fresh = catalog.cached_transcripts(docs, voices.by_sha1(voices.read_cache(spark, root)), compute)
+    sinks.write_cache(fresh.select(F.lit(voices.BY_SHA1).alias("kind"), F.col("sha1").alias("key"), "text"), root)
+    return voices.read_cache(spark, root)
 
 
 @query(
     "cache_documents",
     """
-SELECT sha1(text) AS sha1, text FROM documents WHERE lang <> 'es'""",
+SELECT 'by_sha1' AS kind, sha1(text) AS key, max(text) AS text FROM documents WHERE lang <> 'es' GROUP BY text
+UNION ALL
+SELECT 'by_path', source || '/' || doc_id, text FROM documents WHERE lang <> 'es'""",
 )
 def cache_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Caches stored as JSON documents, one per source text; broken ones count as empty."""
-    root = scratch_path(spark, "cache-json")
+    """Caches kept as JSON documents, one per text, imported into a cache table and read from it;
+    broken documents count as empty."""
+    documents, root = scratch_path(spark, "cache-json"), scratch_path(spark, "cache")
+    file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
     body = F.to_json(
         F.struct(
             F.create_map(F.sha1("text"), F.col("text")).alias("by_sha1"),
-            F.create_map(F.col("source"), F.col("text")).alias("by_path"),
+            F.create_map(file, F.col("text")).alias("by_path"),
         )
     )
     stored = F.when(F.col("lang") == "es", F.left(body, F.length(body) - 3)).otherwise(body)
-    table(spark, sf_dir, "documents").select(stored.alias("value")).write.text(root)
-    return voices.parse_cache(spark.read.text(root))
+    table(spark, sf_dir, "documents").select(stored.alias("value")).write.text(documents)
+    sinks.write_cache(voices.parse_cache(spark.read.text(documents)), root)
+    return voices.read_cache(spark, root)
 
 
 @query(
@@ -355,8 +373,7 @@ def voice_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         root,
     )
-    stored = spark.read.schema(voices.META_SCHEMA).option("recursiveFileLookup", True).json(root)
-    return voices.with_defaults(found, stored).withColumn("sr", F.col("sr").cast("bigint"))
+    return voices.read_voices(spark, root, found).withColumn("sr", F.col("sr").cast("bigint"))
 
 
 @query(

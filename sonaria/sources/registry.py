@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.functions import text, vectors
+from sonaria.sources import versions
 
 REGISTRY_SCHEMA = "user_id string, ref_path string, embedding array<float>, enrolled_at long"
+PREFIX = "version-"
 
 
 def read_vector_files(spark: SparkSession, root: str) -> DataFrame:
@@ -59,31 +61,17 @@ def require_one_dimension(registry: DataFrame) -> DataFrame:
     return registry
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return []
-    found = []
-    for status in fs.listStatus(hadoop_path):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version-") and fs.exists(done):
-            found.append(int(name[len("version-") :]))
-    return sorted(found)
-
-
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The newest complete version; readers of an older one are not disturbed by a write."""
-    versions = _versions(spark, root)
-    if not versions:
+    known = versions.numbers(spark, root, PREFIX)
+    if not known:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/version-{versions[-1]}")
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/{PREFIX}{known[-1]}")
 
 
 def write_version(registry: DataFrame, root: str) -> int:
     spark = registry.sparkSession
-    number = (_versions(spark, root) or [-1])[-1] + 1
+    number = (versions.numbers(spark, root, PREFIX) or [-1])[-1] + 1
     columns = [c.split()[0] for c in REGISTRY_SCHEMA.split(", ")]
-    registry.select(*columns).write.parquet(f"{root}/version-{number}")
+    registry.select(*columns).write.parquet(f"{root}/{PREFIX}{number}")
     return number

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonaria.sources import versions, voices
+
 # Dialects. Quotes double inside quoted fields and blanks are kept.
 CSV_DIALECT = {
     "quote": '"',
@@ -50,6 +52,32 @@ def write_voices(voices: DataFrame, root: str) -> None:
     voices.select("voice_id", record.alias("value")).write.mode("append").partitionBy("voice_id").text(root)
 
 
-def write_cache(cache: DataFrame, path: str) -> None:
-    """Transcript cache rows (sha1, text), one version folder per write."""
-    cache.select("sha1", "text").write.mode("append").parquet(path)
+def write_voice_table(voices: DataFrame, root: str) -> None:
+    """Voice metadata as one table; for many voices, where a folder each is too many small files."""
+    voices.select("voice_id", "sr", "orig_file", "ref_text").write.mode("append").parquet(root)
+
+
+def write_references(references: DataFrame, root: str) -> None:
+    """Cleaned reference clips as one table: voice_id, sr and the bytes of reference.wav."""
+    references.select("voice_id", "sr", F.col("wav").alias("reference_wav")).write.mode("append").parquet(root)
+
+
+def _cache_version(spark: SparkSession, root: str) -> int:
+    known = versions.numbers(spark, root, voices.VERSION) + versions.numbers(spark, root, voices.WHOLE)
+    return max(known, default=-1) + 1
+
+
+def write_cache(entries: DataFrame, root: str) -> int:
+    """Adds (kind, key, text) entries to the cache table as its next version, and returns that."""
+    number = _cache_version(entries.sparkSession, root)
+    rows = entries.select("kind", "key", "text", F.lit(number).cast("long").alias("version"))
+    rows.write.parquet(f"{root}/{voices.VERSION}{number}")
+    return number
+
+
+def compact_cache(spark: SparkSession, root: str) -> int:
+    """Writes the entries that count as one whole version; readers then skip the older ones."""
+    number = _cache_version(spark, root)
+    rows = voices.read_cache(spark, root).withColumn("version", F.lit(number).cast("long"))
+    rows.select("kind", "key", "text", "version").write.parquet(f"{root}/{voices.WHOLE}{number}")
+    return number

@@ -138,10 +138,46 @@ def test_voice_folders_and_caches(spark, tmp_path):
     ids = spark.createDataFrame([("v1",), ("v2",)], "voice_id string")
     got = {r.voice_id: (r.sr, r.orig_file, r.ref_text) for r in voices.read_voices(spark, str(root), ids).collect()}
     assert got == {"v1": (24000, "in.wav", "hello"), "v2": (0, "", "")}
-    (tmp_path / "cache.json").write_text(json.dumps({"by_sha1": {"s1": "one"}, "by_path": {}}, indent=2))
+    written = spark.createDataFrame([("v3", 16000, "x.wav", "one\ntwo")], voices.META_SCHEMA)
+    more = ids.unionByName(spark.createDataFrame([("v3",)], "voice_id string"))
+    for write, read in ((sinks.write_voices, voices.read_voices), (sinks.write_voice_table, voices.read_voice_table)):
+        folder = str(tmp_path / write.__name__)
+        write(written, folder)
+        back = {r.voice_id: (r.sr, r.ref_text) for r in read(spark, folder, more).collect()}
+        assert back == {"v1": (0, ""), "v2": (0, ""), "v3": (16000, "one\ntwo")}
+
+
+def test_cache_documents_are_imported(spark, tmp_path):
+    stored = {"by_sha1": {"s1": "one"}, "by_path": {"a/b.wav": "one", "c.wav": "two"}}
+    (tmp_path / "cache.json").write_text(json.dumps(stored, indent=2))
     (tmp_path / "broken.json").write_text("{")
-    assert [(r.sha1, r.text) for r in voices.read_cache(spark, str(tmp_path / "cache.json")).collect()] == [("s1", "one")]
-    assert voices.read_cache(spark, str(tmp_path / "broken.json")).count() == 0
+    (tmp_path / "half.json").write_text(json.dumps({"by_sha1": {"s2": "x"}}))
+    entries = {tuple(r) for r in voices.import_cache(spark, str(tmp_path / "cache.json")).collect()}
+    assert entries == {("by_sha1", "s1", "one"), ("by_path", "a/b.wav", "one"), ("by_path", "c.wav", "two")}
+    assert voices.import_cache(spark, str(tmp_path / "broken.json")).count() == 0
+    assert [tuple(r) for r in voices.import_cache(spark, str(tmp_path / "half.json")).collect()] == [("by_sha1", "s2", "x")]
+
+
+def test_cache_table_reads_what_it_wrote(spark, tmp_path):
+    root, schema = str(tmp_path / "cache"), "kind string, key string, text string"
+
+    def entries():
+        return {(r.kind, r.key): r.text for r in voices.read_cache(spark, root).collect()}
+
+    assert entries() == {}
+    rows = [("by_sha1", "a", "1"), ("by_path", "a", "p"), ("by_sha1", "b", "2"), ("by_sha1", "b", "3")]
+    assert sinks.write_cache(spark.createDataFrame(rows, schema), root) == 0
+    assert sinks.write_cache(spark.createDataFrame([("by_sha1", "a", "new")], schema), root) == 1
+    want = {("by_sha1", "a"): "new", ("by_path", "a"): "p", ("by_sha1", "b"): "3"}
+    assert entries() == want
+    assert sinks.compact_cache(spark, root) == 2
+    assert entries() == want and voices.cache_entries(spark, root).count() == 3
+    sinks.write_cache(spark.createDataFrame([("by_path", "a", "q")], schema), root)
+    # A version whose writer did not finish is not there.
+    (tmp_path / "cache" / "version-9").mkdir()
+    assert entries() == want | {("by_path", "a"): "q"}
+    assert {r.sha1 for r in voices.by_sha1(voices.read_cache(spark, root)).collect()} == {"a", "b"}
+    assert [tuple(r) for r in voices.by_path(voices.read_cache(spark, root)).collect()] == [("a", "q")]
 
 
 def test_cache_computes_each_key_once(spark):

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import io
 import sys
+import wave
 
 import numpy as np
 import pandas as pd
@@ -8,12 +11,14 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from sonaria.functions import reference
 from sonaria.operators import signal
 from sonaria.plans import jobs as plans
 from sonaria.slots import base, builtin, jobs
 from sonaria.slots.base import Slot
-from sonaria.sources import corpus
+from sonaria.sources import corpus, ledger
 from sonaria.sources.registry import REGISTRY_SCHEMA
+from sonaria.sources.voices import ENTRY_SCHEMA
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,19 +139,125 @@ def test_voice_reference_is_cut_and_transcribed_once(spark):
     short = _clip((1, 200), (0, 900), (1, 100))
     rows = [(n, [float(v) for v in x]) for n, x in (("long", long), ("loud", loud), ("s1", short), ("s2", short))]
     clips = spark.createDataFrame(rows, "orig_file string, samples array<float>")
-    cache = spark.createDataFrame([], "sha1 string, text string")
-    voices, fresh = plans.voice_catalog_job(clips, cache, rate=1000, accent=builtin.ACCENT)
+    cache = spark.createDataFrame([], ENTRY_SCHEMA)
+    voices, fresh, references = plans.voice_catalog_job(clips, cache, rate=1000, accent=builtin.ACCENT)
     got = {r.orig_file: r for r in voices.collect()}
     assert len({r.voice_id for r in got.values()}) == 4
     assert got["s1"].sha1 == got["s2"].sha1 and got["s1"].ref_text == "len=950"
     assert got["loud"].ref_text == "len=12050"
     # First segment: 300 quiet ms trimmed, 7000 loud, 750 of the pause kept; the second would end past the cap.
     assert got["long"].ref_text == "len=7050"
-    assert fresh.count() == 3
-    again, none = plans.voice_catalog_job(clips, fresh, rate=1000)
+    kinds = {r.kind: r["count"] for r in fresh.groupBy("kind").count().collect()}
+    assert kinds == {"by_sha1": 3, "by_path": 3}
+    wavs = {r.voice_id: bytes(r.wav) for r in references.collect()}
+    assert {v: hashlib.sha1(w).hexdigest() for v, w in wavs.items()} == {r.voice_id: r.sha1 for r in got.values()}
+    with wave.open(io.BytesIO(wavs[got["long"].voice_id])) as f:
+        assert (f.getframerate(), f.getnframes(), f.getnchannels()) == (1000, 7050, 1)
+    again, none, _ = plans.voice_catalog_job(clips, fresh, rate=1000)
     assert none.count() == 0 and again.count() == 4
 
 
+def test_reference_kernel_equals_the_operators(spark):
+    """The array kernel gives the samples that the table operators give."""
+    rate = 1000
+    rng = np.random.default_rng(3)
+    clips = {
+        f"c{i}": _clip(*[(k % 2, int(n)) for k, n in enumerate(rng.integers(50, 4000, rng.integers(2, 8)))]) * rng.uniform(0.05, 1)
+        for i in range(8)
+    }
+    clips["quiet"], clips["tiny"] = np.zeros(3000), np.full(7, 0.5)
+    rows = [(n, [float(v) for v in x]) for n, x in clips.items()]
+    arrays = spark.createDataFrame([*rows, ("none", None), ("empty", [])], "clip_id string, samples array<float>")
+    cleaned = arrays.select("clip_id", reference.clean_reference(F.col("samples"), rate).alias("x"))
+    got = {r.clip_id: r.x for r in cleaned.collect()}
+    assert got["none"] is None and got["empty"] == [0.0] * 50
+
+    long = arrays.select("clip_id", F.posexplode("samples").alias("pos", "amp")).withColumn("pos", F.col("pos").cast("long"))
+    frames = signal.frame_energy(long, rate)
+    first = signal.cap_segments(signal.split_on_silence(frames))
+    over = first.groupBy("clip_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("n")).where("n > 12000")
+    second = signal.cap_segments(signal.split_on_silence(frames.join(over, "clip_id", "left_semi"), (100, -40.0)))
+    chosen = first.join(over, "clip_id", "left_anti").unionByName(second)
+    placed = long.join(chosen, "clip_id").where("pos >= start_ms and pos < end_ms").select(
+        "clip_id", (F.col("offset_ms") + F.col("pos") - F.col("start_ms")).alias("pos"), F.col("amp").alias("level")
+    )
+    want: dict[str, list] = {name: [] for name in clips}
+    for r in signal.hard_cap(placed, "pos").orderBy("clip_id", "pos").collect():
+        want[r.clip_id].append(r.level)
+    for name, x in want.items():
+        loud = np.flatnonzero(np.abs(x) > 10 ** (-42 / 20)) if x else []
+        kept = x[loud[0] : loud[-1] + 1] if len(loud) else []
+        assert got[name] == pytest.approx([*kept, *[0.0] * 50]), name
+
+
+def test_a_refused_clip_keeps_the_reason_of_its_reader(spark):
+    clips = spark.createDataFrame(
+        [("ann", "bad.wav", None, 1, "unsupported: x"), ("bob", "short.wav", [0.1], 2, None)],
+        "user_id string, ref_path string, samples array<float>, enrolled_at long, error string",
+    )
+    _, rejected = plans.enrolment_job(clips, spark.createDataFrame([], REGISTRY_SCHEMA))
+    assert {r.ref_path: r.error for r in rejected.collect()} == {"bad.wav": "unsupported: x", "short.wav": "too short"}
+
+
+def _corpus(spark, rows):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "path string, sentence string, n int")
+
+
+MARK = Slot("test.mark", "string", lambda: lambda texts: texts + "+")
+
+
+def test_corpus_run_goes_on_after_a_stop_between_output_and_record(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "corpus")
+    clips = spark.createDataFrame([(f"p{i}",) for i in range(9)], "path string")
+    rows = [(f"p{i}", f" text {i} ") for i in range(7)] + [("p3", "later"), ("gone", "x"), ("p8", None)]
+
+    def run(rows, **more):
+        return plans.corpus_run(_corpus(spark, rows), clips, out, ["n"], MARK, rows_per_batch=3, **more)
+
+    def written():
+        table = plans.corpus_table(spark, out).orderBy("idx").collect()
+        return [(r.idx, r.path, r.file, r.text) for r in table]
+
+    wanted = [(i, f"p{i}", f"cv_{i:07d}.wav", "later+" if i == 3 else f"text {i}+") for i in range(7)]
+    run(rows, batches=1)
+    assert written() == wanted[:3]
+
+    report = ledger.dataset.run_report
+
+    def stopped(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    # The rows of the batch are written when this is called, its record is not.
+    monkeypatch.setattr(ledger.dataset, "run_report", stopped)
+    with pytest.raises(RuntimeError):
+        run(rows)
+    monkeypatch.setattr(ledger.dataset, "run_report", report)
+    assert written() == wanted[:3]
+    run(rows)
+    assert written() == wanted
+    before = ledger.records(spark, out).count()
+    run(rows)
+    assert written() == wanted and ledger.records(spark, out).count() == before
+    # New rows: one path is new, one text changed, one came again unchanged.
+    run([*rows, ("p8", "eight"), ("p1", "other"), ("p2", "text 2")])
+    changed = [(7, "p1", "cv_0000007.wav", "other+"), (8, "p8", "cv_0000008.wav", "eight+")]
+    assert written() == [w for w in wanted if w[1] != "p1"] + changed
+    assert ledger.progress(spark, out, "corpus") == 9
+
+
+def test_transcription_runs_try_failed_clips_again(spark, tmp_path):
+    out = str(tmp_path / "runs")
+    rows = [("d/a.wav", [0.1] * 5), ("d/b.wav", [0.1] * 13), ("d/c.wav", [0.1] * 7)]
+    clips = spark.createDataFrame(rows, CLIP)
+    ticks = iter([0, 60_000_000, 0, 0])
+    first = plans.transcription_run(clips, out, now=lambda: next(ticks), transcribe=PICKY).collect()
+    assert [tuple(r) for r in first] == [(1, 3, 2, 1, 1.0, 3 / 60)]
+    second = plans.transcription_run(clips, out, now=lambda: next(ticks), transcribe=builtin.TRANSCRIBE)
+    assert sorted(tuple(r) for r in second.collect()) == [(1, 3, 2, 1, 1.0, 3 / 60), (2, 1, 1, 0, 0.0, 1.0)]
+    done = {r.file: r.batch for r in plans.transcripts(spark, out).where("error is null").collect()}
+    assert done == {"a.wav": 0, "c.wav": 0, "b.wav": 1}
+
+
 def test_trim_and_caps(spark):
     levels = spark.createDataFrame(
         [("a", i, v) for i, v in enumerate([0.0, 0.5, 0.0, 0.5, 0.0])] + [("q", 0, 0.0)], "clip_id string, pos long, level double"
