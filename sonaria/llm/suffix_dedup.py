@@ -134,8 +134,8 @@ def _utf8(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _emit_anchors(grams_only: bool):
-    """Arrow function: g (gram), and with it c (context), k1 and k2 (text), at (place in the text) and
-    shape (bytes of the context before and after the place)."""
+    """Arrow function: g (gram), and with it c (context), k1 and k2 (text) and place: the place in the
+    text, with the bytes of the context before and after it in its low two bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +160,9 @@ def _emit_anchors(grams_only: bool):
                     pa.array(hashed.view(np.int64)),
                     batch.column(0).take(owner),
                     batch.column(1).take(owner),
-                    pa.array((place - start).astype(np.int32)),
-                    pa.array(((before << 8) | (end - place)).astype(np.int32)),
+                    pa.array(((place - start) << 16) | (before << 8) | (end - place)),
                 ],
-                ["g", "c", "k1", "k2", "at", "shape"],
+                ["g", "c", "k1", "k2", "place"],
             )
 
     return run
@@ -308,8 +307,11 @@ def repeated_windows(contexts: list[bytes], first: np.ndarray, text: np.ndarray)
 def _sort_bucket(rows: pa.Table) -> pa.Table:
     k1, k2 = rows["k1"].to_numpy(), rows["k2"].to_numpy()
     first = rows["first"].to_numpy()
-    _, text = np.unique(np.stack([k1, k2], axis=1), axis=0, return_inverse=True)
-    found = repeated_windows(rows["context"].to_pylist(), first, text.ravel())
+    order = np.lexsort((k2, k1))
+    other = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    text = np.empty(len(order), dtype=np.int64)
+    text[order] = np.concatenate([[0], np.cumsum(other)])
+    found = repeated_windows(rows["context"].to_pylist(), first, text)
     at = found[:, 0]
     return pa.table(
         {
@@ -329,8 +331,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row, data in enumerate(_utf8(batch.column("text"))):
             for w in wanted[row]:
-                begin = w["at"] - (w["shape"] >> 8)
-                end = w["at"] + (w["shape"] & 255)
+                at = w["place"] >> 16
+                begin, end = at - (w["place"] >> 8 & 255), at + (w["place"] & 255)
                 out.append((w["g"], w["hot"], k1[row], k2[row], begin, data[begin:end].tobytes()))
         if out:
             names = ["g", "hot", "k1", "k2", "first", "context"]
@@ -371,7 +373,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, from_, to_): byte spans of texts to remove, overlapping ones included."""
+    """(k1, k2, from_, to_): byte spans of texts to remove, overlapping and repeated ones included."""
     keyed = _keyed(docs)
     texts = keyed.select("k1", "k2", "text")
     again = (
@@ -382,26 +384,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("g")
     )
     # Anchors are found again rather than written: the table of all of them is as large as the texts.
-    every = texts.mapInArrow(
-        _emit_anchors(False), "g long, c long, k1 long, k2 long, at int, shape int"
-    )
+    every = texts.mapInArrow(_emit_anchors(False), "g long, c long, k1 long, k2 long, place long")
     common = materialise(every.join(again, "g", "left_semi"), "common-anchors")
-    place = F.struct("k1", "k2", "at", "shape")
+    place = F.struct("k1", "k2", "place")
     contexts = materialise(
         common.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")), "contexts"
     )
+    at = F.shiftright("place", 16)
     whole = common.join(contexts.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select(
         "k1",
         "k2",
-        (F.col("at") - F.shiftright("shape", 8)).alias("from_"),
-        (F.col("at") + F.col("shape").bitwiseAND(255)).alias("to_"),
+        (at - F.shiftright("place", 8).bitwiseAND(255)).cast("int").alias("from_"),
+        (at + F.col("place").bitwiseAND(255)).cast("int").alias("to_"),
     )
     kinds = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = (
         contexts.join(kinds, "g")
         .select("g", (F.col("kinds") > HOT).alias("hot"), "rep.*")
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("g", "hot", "at", "shape")).alias("wanted"))
+        .agg(F.collect_list(F.struct("g", "hot", "place")).alias("wanted"))
     )
     # Of equal texts one is read: the one with the smallest id.
     one = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
@@ -427,7 +428,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hashed = windows.join(repeats.select("w"), "w", "left_semi").select(
         "k1", "k2", "from_", (F.col("from_") + SPAN).alias("to_")
     )
-    return whole.unionByName(sorted_).unionByName(hashed).distinct()
+    return whole.unionByName(sorted_).unionByName(hashed)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -473,7 +474,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked for)."""
     spans = repeated_spans(docs.select("doc_id", "text"))
     listed = materialise(
-        spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("from_", "to_")).alias("spans")), "spans"
+        spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from_", "to_")).alias("spans")), "spans"
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
