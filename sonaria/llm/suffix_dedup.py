@@ -44,6 +44,7 @@ BUCKET = 2_000
 
 _BASES = {"gram": 0x9E3779B97F4A7C15, "context": 0xD6E8FEB86659FD93}
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_WORD_BASES = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 5)]
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -173,7 +174,7 @@ def suffix_array(
 ) -> np.ndarray:
     """Suffixes of ``data`` in the order of their first ``depth`` bytes, by two-stage sorting.
 
-    ``wide`` names the 32 bytes from every position. Of a mask of wanted suffixes all are returned, with those that were needed to place them.
+    ``wide`` are the names of the bytes from every position. Of a mask of wanted suffixes all are returned, with those that were needed to place them.
     """
     n = len(data)
     if n == 0:
@@ -216,47 +217,65 @@ def suffix_array(
 
 
 def names(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers in the order of the 8 and of the 32 bytes from every position, with room for ``depth``
-    more positions; bytes after the end are zeros."""
-    padded = np.zeros(len(data) + depth + 8, dtype=np.uint8)
+    """From every position the 8 bytes, as numbers in their order, and with them a hash of the 32 bytes (two
+    rows), with room for ``depth`` more positions; bytes after the end are zeros."""
+    n = len(data) + depth
+    padded = np.zeros(n + 8, dtype=np.uint8)
     padded[: len(data)] = data
-    found = np.zeros(len(data) + depth, dtype=np.uint64)
-    for k in range(8):
-        found |= padded[k : k + len(found)].astype(np.uint64) << np.uint64(8 * (7 - k))
-    ranks = []
-    for size in (8, 16, 32):
-        order = np.argsort(found)
-        ordered = found[order]
-        rank = np.zeros(len(found), dtype=np.uint64)
-        rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
-        ranks.append(rank)
-        following = np.zeros_like(rank)
-        following[:-size] = rank[size:]
-        found = (rank << np.uint64(32)) | following
-    return ranks[0], ranks[2]
+    words = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    mixed = _mixed(words)
+    hashed = np.zeros(n, dtype=np.uint64)
+    for k, base in zip(range(0, 32, 8), _WORD_BASES):
+        hashed[: n - k] += mixed[k:] * base
+    return words, np.stack([words, _mixed(hashed)])
+
+
+def _tied(new: np.ndarray) -> np.ndarray:
+    """Places of an order that are in a group of several; ``new`` marks where groups begin."""
+    tied = ~new
+    tied[:-1] |= tied[1:]
+    return np.flatnonzero(tied)
+
+
+def _splitting(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the grouped keys are in a group whose keys differ; ``first`` marks where groups begin."""
+    differs = np.flatnonzero((key[1:] != key[:-1]) & ~first[1:]) + 1
+    group = np.cumsum(first) - 1
+    split = np.zeros(group[-1] + 1, dtype=bool)
+    split[group[differs]] = True
+    return split[group]
 
 
 def sort_suffixes(places: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
-    """Direct sort by 32 bytes at a time; only what is still tied goes on to the next ones."""
-    order = places[np.argsort(wide[places], kind="stable")]
+    """Direct sort, by 8 bytes first, then by more of those that are still tied. Groups that agree in all
+    of the next bytes, as most do, are known by their hashes and not sorted again."""
+    words, hashed = wide
+    order = places[np.argsort(words[places])]
     if len(order) < 2:
         return order
-    group = np.concatenate([[0], np.cumsum(wide[order[1:]] != wide[order[:-1]])])
-    for offset in range(32, depth, 32):
-        same = group[1:] == group[:-1]
-        tied = np.zeros(len(order), dtype=bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
+    new = np.concatenate([[True], words[order[1:]] != words[order[:-1]]])
+    for offset in range(0, depth, 32):
+        at = _tied(new)
         if not len(at):
             break
-        key = (group[at].astype(np.uint64) << np.uint64(32)) | wide[order[at] + offset]
-        again = np.argsort(key)
-        order[at], key = order[at][again], key[again]
-        new = np.zeros(len(order), dtype=np.int64)
-        new[1:] = ~same
-        new[at[1:]] |= key[1:] != key[:-1]
-        group = np.cumsum(new)
+        at = at[_splitting(hashed[order[at] + offset], new[at])]
+        for more in range(offset + 8 if not offset else offset, offset + 32, 8):
+            at = at[_tied(new[at])]
+            if not len(at):
+                break
+            key, first = words[order[at] + more], new[at]
+            own = _splitting(key, first)
+            moved, key, first = at[own], key[own], first[own]
+            if not len(moved):
+                continue
+            # One number for group and key, so that one sort orders all groups.
+            by_key = np.argsort(key)
+            rank = np.empty(len(key), dtype=np.int64)
+            rank[by_key] = np.cumsum(np.concatenate([[0], key[by_key[1:]] != key[by_key[:-1]]]))
+            again = np.argsort((np.cumsum(first) << 32) | rank)
+            order[moved] = order[moved[again]]
+            key = key[again]
+            new[moved[1:]] |= key[1:] != key[:-1]
     return order
 
 
@@ -266,7 +285,7 @@ def common_prefix(order: np.ndarray, small: np.ndarray, wide: np.ndarray, depth:
     agree = np.ones(max(len(order) - 1, 0), dtype=bool)
     left = np.arange(len(agree))
     whole = depth // 32 * 32
-    steps = [(wide, o) for o in range(0, whole, 32)] + [(small, o) for o in range(whole, depth, 8)]
+    steps = [(wide[1], o) for o in range(0, whole, 32)] + [(small, o) for o in range(whole, depth, 8)]
     for name, offset in steps:
         same = name[order[left] + offset] == name[order[left + 1] + offset]
         agree[left[~same]] = False
