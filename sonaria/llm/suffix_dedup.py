@@ -404,10 +404,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     # Anchors are found again rather than written: the table of all of them is as large as the texts.
     every = texts.mapInArrow(_emit_anchors(False), "g long, c long, k1 long, k2 long, place long")
-    common = materialise(every.join(again, "g", "left_semi"), "common-anchors")
-    place = F.struct("k1", "k2", "place")
+    # Grams that come again are distinct, so their side of the join is even and small enough to hash.
+    common = materialise(every.join(again.hint("shuffle_hash"), "g", "left_semi"), "common-anchors")
+    # One place of each context; numbers, unlike structs, are aggregated without a sort.
+    turn = F.xxhash64("k1", "k2", "place")
+    one_of = [F.min_by(name, turn).alias(name) for name in ("k1", "k2", "place")]
     contexts = materialise(
-        common.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")), "contexts"
+        common.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *one_of), "contexts"
     )
     at = F.shiftright("place", 16)
     whole = common.join(contexts.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select(
@@ -419,7 +422,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kinds = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = (
         contexts.join(kinds, "g")
-        .select("g", (F.col("kinds") > HOT).alias("hot"), "rep.*")
+        .select("g", (F.col("kinds") > HOT).alias("hot"), "k1", "k2", "place")
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("g", "hot", "place")).alias("wanted"))
     )
