@@ -61,7 +61,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= WORD_CACHE:
             self.clear()
-        plain = piece if piece.isascii() else "".join(map(_ALPHABET.__getitem__, piece.encode()))
+        shown = piece.isascii() and piece.isprintable()
+        plain = piece if shown else "".join(map(_ALPHABET.__getitem__, piece.encode()))
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(plain)])
         self[piece] = ids
         return ids

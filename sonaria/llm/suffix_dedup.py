@@ -121,8 +121,8 @@ def context_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column and where its texts end, without copies; no text is null."""
-    column = column.cast(pa.large_string())
+    """All bytes of a text or binary column and where its values end, without copies; none is null."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
@@ -197,7 +197,7 @@ def suffix_array(
     falling: list[list[np.ndarray]] = [[] for _ in range(256)]
     falling[data[-1]].append(np.array([n - 1]))
     order = []
-    for byte in range(256):
+    for byte in np.flatnonzero(np.bincount(data, minlength=256)).tolist():
         front = np.concatenate(falling[byte]) if falling[byte] else np.zeros(0, dtype=np.int64)
         own = [front]
         while len(front):
@@ -209,10 +209,11 @@ def suffix_array(
         earlier = bucket[bucket > 0] - 1
         earlier = earlier[data[earlier] > byte]
         heads = data[earlier]
-        sorted_ = np.argsort(heads, kind="stable")
-        bounds = np.searchsorted(heads[sorted_], np.arange(257))
-        for head in np.unique(heads):
-            falling[head].append(earlier[sorted_[bounds[head] : bounds[head + 1]]])
+        by_head = np.argsort(heads, kind="stable")
+        earlier, heads = earlier[by_head], heads[by_head]
+        cuts = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+        for part in np.split(earlier, cuts) if len(earlier) else []:
+            falling[data[part[0]]].append(part)
     return np.concatenate(order)
 
 
@@ -293,15 +294,15 @@ def common_prefix(order: np.ndarray, small: np.ndarray, wide: np.ndarray, depth:
     return agree
 
 
-def repeated_windows(contexts: list[bytes], first: np.ndarray, text: np.ndarray):
+def repeated_windows(data: np.ndarray, ends: np.ndarray, first: np.ndarray, text: np.ndarray):
     """(context, start in the context, end) of the stretches whose windows start elsewhere too.
 
-    ``first`` is the place of a context in its text, ``text`` names the text.
+    ``data`` are the bytes of all contexts, which stop at ``ends``; ``first`` is the place of a context in
+    its text, ``text`` names the text.
     """
-    length = np.array([len(c) for c in contexts])
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    begin = np.cumsum(length) - length
-    owner = np.repeat(np.arange(len(contexts)), length)
+    length = np.diff(ends, prepend=0)
+    begin = ends - length
+    owner = np.repeat(np.arange(len(ends)), length)
     fits = np.arange(len(data)) - begin[owner] + SPAN <= length[owner]
     small, wide = names(data, SPAN + 32)
     order = suffix_array(data, wide, wanted=fits)
@@ -330,7 +331,8 @@ def _sort_bucket(rows: pa.Table) -> pa.Table:
     other = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
     text = np.empty(len(order), dtype=np.int64)
     text[order] = np.concatenate([[0], np.cumsum(other)])
-    found = repeated_windows(rows["context"].to_pylist(), first, text)
+    data, ends = _bytes(rows["context"].combine_chunks())
+    found = repeated_windows(data, ends, first, text)
     at = found[:, 0]
     return pa.table(
         {
