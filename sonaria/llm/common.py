@@ -28,6 +28,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has; names differ in case only do not count as different."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``part``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
@@ -60,7 +68,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     Alternating large-star and small-star steps; each step is written to the shared scratch folder,
     so lineage stays short and a lost executor costs a re-read. A hub is never gathered: its
     minimum is a partial aggregate and its links are met by an equi-join that adaptive execution
-    can split. Self links keep their node.
+    can split. Nodes without a link to another one are not in the result.
     """
     pairs = links.select(F.col(left).alias("x"), F.col(right).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull()

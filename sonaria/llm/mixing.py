@@ -5,11 +5,12 @@ source and the excess is shared again. A source is then taken whole as often as
 and the rest of its budget is fitted on the histogram of exact lengths: the same share of every
 length first, long documents next, and a bounded-knapsack dynamic programme for the last words. Which
 documents of a length are taken is decided by a seeded hash: the plan names a count per length, and a
-cut through the hashes gives exactly that many documents, so no text is shuffled to choose.
+cut through the hashes gives exactly that many documents, so no text is shuffled to choose. The cut
+is found digit by digit of the hashes, on counts; documents are never ranked.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one; a null
-id is hashed as ''; documents of equal source, size and hash (repeated ids with equal text) are
-taken together; empty tables give an empty result; other columns are not read.
+id is hashed as ''; of documents with the hash of the cut (repeated rows) as many are taken as the plan
+asks for, the smaller ids first; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SEED = 20
 #: Words of a budget that the dynamic programme fits; the same share of every length takes the rest.
 DP_BUDGET = 16_384
 WORD = r"[^\x20\x09-\x0D]+"
+#: Leading bits of the hashes by which the cut is narrowed down; at last whole hashes are counted.
+DIGITS = (10, 20, 64)
 
 
 def fit_counts(
@@ -138,8 +141,8 @@ def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixing_plan(rows: DataFrame) -> DataFrame:
-    """(s_null, s_key, size) -> source_size, target, repeats and ``cut``: documents whose draw is at
-    most the cut are taken once more. ``rows`` are measured and written."""
+    """(s_null, s_key, size) -> source_size, target, repeats and whom to take once more: draws below
+    ``cut``, and ``at_cut`` of the ``n_cut`` with the draw itself. ``rows`` are measured and written."""
     key = ["s_null", "s_key", "size"]
     lengths = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "lengths")
     sources = materialise(
@@ -156,43 +159,43 @@ def mixing_plan(rows: DataFrame) -> DataFrame:
         ),
         "fitted",
     )
-    partly = fitted.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-    # Counts by leading bits of the draw find the bucket in which the count is reached; only that
-    # bucket, a thousandth of the documents of a length, is ranked.
-    drawn = rows.select(*key, "_draw", F.shiftright("_draw", 54).alias("bucket"))
-    buckets = drawn.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*key).orderBy("bucket")
-    edge = (
-        buckets.withColumn("s", F.sum("c").over(upto))
-        .join(partly.select(*key, "extra"), key)
-        .where((F.col("s") >= F.col("extra")) & (F.col("s") - F.col("c") < F.col("extra")))
-        .select(*key, "bucket", (F.col("extra") - F.col("s") + F.col("c")).alias("need"))
-    )
-    rank = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("_draw"))
-    cuts = (
-        drawn.join(edge, [*key, "bucket"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") == F.col("need"))
-        .select(*key, F.col("_draw").alias("edge"))
-    )
-    lowest, highest = F.lit(-(2**63)), F.lit(2**63 - 1)
+    drawn = rows.select(*key, "_draw")
+    # Where the count is reached: in which digit, and after how many documents of it.
+    edge = fitted.where(F.col("extra") > 0).select(*key, F.col("extra").alias("need"), F.lit(0).cast("long").alias("at"))
+    upto = Window.partitionBy(*key).orderBy("digit")
+    known = 0
+    for bits in DIGITS:
+        pool = drawn.withColumns({"at": _digit(known), "digit": _digit(bits)})
+        counted = pool.groupBy(*key, "at", "digit").agg(F.count(F.lit(1)).alias("c"))
+        reached = counted.join(edge.drop("c"), [*key, "at"]).withColumn("s", F.sum("c").over(upto))
+        edge = reached.where((F.col("s") >= F.col("need")) & (F.col("s") - F.col("c") < F.col("need"))).select(
+            *key, (F.col("need") - F.col("s") + F.col("c")).alias("need"), F.col("digit").alias("at"), "c"
+        )
+        edge, known = materialise(edge, "cuts"), bits
+    cuts = edge.select(*key, F.col("at").alias("cut"), F.col("need").alias("at_cut"), F.col("c").alias("n_cut"))
     return fitted.join(cuts, key, "left").select(
-        *key,
-        "source_size",
-        "target",
-        "repeats",
-        F.when(F.col("extra") == 0, lowest)
-        .otherwise(F.coalesce(F.col("edge"), highest))
-        .alias("cut"),
-        (F.col("extra") > 0).alias("more"),
+        *key, "source_size", "target", "repeats", "cut", "at_cut", "n_cut"
     )
 
 
-def copies() -> object:
-    """How often a document is taken, given its row of the plan."""
-    return F.col("repeats") + F.when(
-        F.col("more") & (F.col("_draw") <= F.col("cut")), F.lit(1)
-    ).otherwise(F.lit(0))
+def _digit(bits: int):
+    """The leading bits of a draw, in its order; no bits are one digit."""
+    return F.shiftright("_draw", 64 - bits) if 0 < bits < 64 else F.col("_draw") if bits else F.lit(0).cast("long")
+
+
+def _shared(planned: DataFrame, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``planned`` rows with the copies ``_times`` of each, and rows of which only some are taken once more:
+    those have one row for all that are equal in ``same``, with ``_n`` of them and ``_more`` once more."""
+    on_cut = F.coalesce((F.col("_draw") == F.col("cut")) & (F.col("at_cut") < F.col("n_cut")), F.lit(False))
+    more = F.coalesce(F.col("_draw") <= F.col("cut"), F.lit(False)).cast("int")
+    sure = planned.where(~on_cut).withColumn("_times", F.col("repeats") + more)
+    key = ["s_null", "s_key", "size"]
+    alike = planned.where(on_cut).groupBy(
+        *key, "source_size", "target", "repeats", "at_cut", *same
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy(*same).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("at_cut") - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return sure, alike.withColumn("_more", F.greatest(F.lit(0), F.least("_n", left)))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -203,12 +206,13 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         ),
         "measured",
     )
-    return rows.join(mixing_plan(rows), ["s_null", "s_key", "size"]).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies()).cast("long").alias("taken"),
+    sure, alike = _shared(rows.join(mixing_plan(rows), ["s_null", "s_key", "size"]), ["doc_id"])
+    each = alike.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn(
+        "_times", F.col("repeats") + (F.col("_i") <= F.col("_more")).cast("int")
+    )
+    columns = ["doc_id", "size", "source_size", "target", "_times"]
+    return sure.select(*columns).unionByName(each.select(*columns)).select(
+        *columns[:-1], (F.col("size") * F.col("_times")).cast("long").alias("taken")
     )
 
 
@@ -220,8 +224,9 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plan = mixing_plan(
         materialise(rows.select("s_null", "s_key", "size", "_draw"), "measured")
     )
-    taken = rows.drop("doc_id", "text", "source").join(plan, ["s_null", "s_key", "size"])
-    repeated = taken.where(copies() > 0).select(
-        "_row", F.explode(F.sequence(F.lit(1), copies().cast("int"))).alias("_copy")
-    )
+    planned = rows.drop("doc_id", "text", "source").join(plan, ["s_null", "s_key", "size"])
+    sure, alike = _shared(planned, ["_row"])
+    total = alike.withColumn("_times", F.col("repeats") * F.col("_n") + F.col("_more"))
+    taken = sure.select("_row", "_times").unionByName(total.select("_row", "_times")).where("_times > 0")
+    repeated = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy"))
     return repeated.select("_row.*")

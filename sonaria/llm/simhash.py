@@ -190,11 +190,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(forests)
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, root, component_id, one row per document; root is the smallest fingerprint of a component."""
-    rows = materialise(
-        docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints"
-    )
+def _components(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp and more, written) with root, the smallest fingerprint of their component, and
+    component_id, its smallest id."""
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(fingerprint_links(fps.select("fp")), "x", "y")
     grouped = materialise(
@@ -205,12 +203,15 @@ def _members(docs: DataFrame) -> DataFrame:
     )
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(named, "fp")
 
 
 def duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, one row per document."""
-    return _members(docs).select(
+    rows = materialise(
+        docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints"
+    )
+    return _components(rows).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -218,30 +219,27 @@ def duplicate_components(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of every component, with all its columns.
 
-    Rows are told apart by id and fingerprint, as one id may stand on texts of several components. Of a
-    component's rows with its smallest id those with the smallest fingerprint are taken, and of these one.
-    A component whose ids are all null keeps one row for each fingerprint.
+    The rows are written once with their fingerprint, a hash of their text and a number, and told apart by
+    these, as one id may stand on texts of several components. Of a component's rows with its smallest
+    id the one with the smallest fingerprint is kept, then with the smallest hash, then any: these have
+    equal ids and texts. A component whose ids are all null keeps one row for each fingerprint.
     """
-    found = materialise(_members(docs), "components")
-    counted = (
-        found.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id", F.col("fp").alias("_fp")).count()
-    )
-    kept = counted.groupBy("root", "doc_id").agg(
-        F.min("_fp").alias("_fp"), F.min_by("count", "_fp").alias("count")
+    marked = materialise(
+        docs.select(
+            F.struct(*docs.columns).alias("row"),
+            fingerprints(F.col("text")).alias("fp"),
+            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"),
+            F.monotonically_increasing_id().alias("n"),
+        ),
+        "marked",
     )
-    columns = docs.columns
-    marked = docs.withColumn("_fp", fingerprints(F.col("text")))
-    key = ["doc_id", "_fp"]
-    single = marked.join(kept.where(F.col("count") == 1).select(*key), key, "left_semi")
-    again = marked.join(kept.where(F.col("count") > 1).select(*key), key, "left_semi")
-    nameless = marked.where(F.col("doc_id").isNull())
-    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"))
-    return (
-        single.select(*columns)
-        .unionByName(again.dropDuplicates(key).select(*columns))
-        .unionByName(
-            nameless.join(lone.distinct(), "_fp", "left_semi")
-            .dropDuplicates(["_fp"])
-            .select(*columns)
-        )
+    found = _components(marked.select(F.col("row.doc_id").alias("doc_id"), "fp", "h", "n"))
+    owns = (F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()
+    nameless = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = (
+        found.where(owns)
+        .groupBy("root", nameless.alias("nameless"))
+        .agg(F.min(F.struct("fp", "h", "n")).alias("first"))
+        .select("first.n")
     )
+    return marked.join(kept, "n", "left_semi").select("row.*")
