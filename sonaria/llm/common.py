@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker, which the next stages share with it, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, or a longer one that no column has; names differ in case only do not count as different."""
     taken = {c.lower() for c in columns}

@@ -25,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.llm.common import give_back
 from sonaria.session import materialise
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a Python worker remembers; more are forgotten and looked up again.
-WORD_CACHE = 400_000
+#: Words whose ids a task remembers; more are forgotten and looked up again.
+WORD_CACHE = 100_000
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
@@ -113,6 +114,11 @@ class WordIds:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.pieces.clear()
+
+
 def word_ids(path: str) -> WordIds:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordIds(path)
@@ -158,6 +164,8 @@ def _cut(path: str, capacity: int, keep_ids: bool):
                 columns.append(pa.array(tokens, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        ids_of.forget()
+        give_back()
 
     return run
 
