@@ -31,7 +31,7 @@ from sonaria.session import materialise
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a task remembers; more are forgotten and looked up again.
-WORD_CACHE = 100_000
+WORD_CACHE = 250_000
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
