@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import wave
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sonaria.functions import codec, text
 from sonaria.operators import catalog, dataset
-from sonaria.sources import audio, corpus, sinks, voices
+from sonaria.sources import audio, corpus, records, sinks, voices
 
 
 def wav_bytes(x, rate):
@@ -223,3 +226,73 @@ def test_all_labels(spark):
     assert unknown.first().t is None
     odd = spark.range(1).select(text.labelled_token(F.lit("a"), F.lit("UPPER_ODD")).alias("t"))
     assert odd.first().t is None
+
+
+FIELDS = ["plain", "", "two\nlines", 'say "hi"', '"', "a|b\tc", "\n\n", 'x"y', "tail\\", '""', "é ü", "many\n" * 40]
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_records_cross_splits_and_lines(spark, tmp_path, small_splits, line_end):
+    """A file is many tasks; what Python's reader makes of it as a whole is what comes out."""
+    rng = np.random.default_rng(4)
+    rows = [[str(i), *rng.choice(FIELDS, 2).tolist()] for i in range(400)]
+    for name, part in (("a.tsv", rows[:250]), ("b.tsv", rows[250:])):
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as f:
+            out = csv.writer(f, delimiter="\t", lineterminator=line_end)
+            out.writerow(["client_id", "path", "sentence"])
+            out.writerows([r[0], f"p{r[0]}", r[1] + r[2]] for r in part)
+            # A quote inside a field that does not begin with one is a character like any other.
+            f.write(f"s\tstray{name}\tfive 5\" pipes{line_end}")
+    read = corpus.read_tsv_splits(spark, str(tmp_path), ["a.tsv", "b.tsv"])
+    assert read.rdd.getNumPartitions() > 4
+    got = read.orderBy("file_rank", "block_start", "row_id").collect()
+    assert {r.file_name for r in got} == {"a.tsv", "b.tsv"}
+    assert len({r.block_start for r in got}) > 10
+    wanted = []
+    for name in ("a.tsv", "b.tsv"):
+        with open(tmp_path / name, encoding="utf-8", newline="") as f:
+            wanted += [(r["path"], r["sentence"]) for r in csv.DictReader(f, delimiter="\t")]
+    assert [(r.path, r.sentence or "") for r in got] == wanted
+
+
+def test_metadata_crosses_splits(spark, tmp_path, small_splits):
+    rng = np.random.default_rng(5)
+    rows = [(f"{i}.wav", "".join(rng.choice(FIELDS, 3))) for i in range(300)]
+    path = str(tmp_path / "meta")
+    sinks.append_metadata(spark.createDataFrame(rows, "file string, text string").coalesce(1), path)
+    assert sorted((r.file, r.text) for r in corpus.read_metadata(spark, path).collect()) == sorted(rows)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "split"
+    folder.mkdir()
+    (folder / "a.tsv").write_text("path\tsentence\nx\ty\n")
+    (folder / "b.tsv").write_text("sentence\tpath\nx\ty\n")
+    with pytest.raises(Exception, match="headers differ"):
+        corpus.read_tsv_splits(spark, str(tmp_path), ["split"]).collect()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet='ab"\t\n', max_size=6), min_size=2, max_size=3), max_size=6))
+def test_line_states_follow_the_reader(rows):
+    """Lines of written records begin inside a field exactly where the writer broke one."""
+    inside, ends = False, []
+    for row in rows:
+        buffer = io.StringIO()
+        csv.writer(buffer, delimiter="\t", lineterminator="").writerow(row)
+        lines = buffer.getvalue().split("\n")
+        for line in lines:
+            inside = records.ends_inside(line, inside, "\t")
+            ends.append(inside)
+        assert ends[-len(lines) :] == [True] * (len(lines) - 1) + [False]
