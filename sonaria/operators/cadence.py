@@ -60,43 +60,68 @@ def _entries(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:count], x[last[:count]] + step
 
 
-def _per_group(group: list[str], make: Callable[[pa.Table], dict]) -> Callable[[pa.Table], pa.Table]:
-    """A function on groups whose rows get the keys of their group."""
+def _keyed(table: pa.Table, keys: list[str], order: list[str]) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """The table by keys and order, and the rows from and to of each key."""
+    table = table.sort_by([(name, "ascending") for name in (*keys, *order)]).combine_chunks()
+    n = len(table)
+    changes = np.zeros(max(n - 1, 0), dtype=bool)
+    for name in keys:
+        column = table[name]
+        changes |= pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0))).to_numpy()
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
+    return table, list(zip(edges, edges[1:]))
 
-    def run(table: pa.Table) -> pa.Table:
-        made = make(table)
-        at = pa.array(np.zeros(len(next(iter(made.values()))), dtype=np.int64))
-        return pa.table({name: pc.take(table[name], at) for name in group} | made)
 
-    return run
+def _numbers(parts: list) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
 
+# The three steps run on groups of many keys: a slice has rows of several, and most keys are short.
 
-def _summary(step: int):
-    def make(table: pa.Table) -> dict:
-        at, need = _entries(np.unique(table["_x"].to_numpy()), step)
-        return {"at": at, "need": need}
 
-    return make
+def _summary(step: int, keys: list[str], slice_col: str) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table, bounds = _keyed(table, keys, ["_x"])
+        x = table["_x"].to_numpy()
+        rows, needs = [], []
+        for begin, end in bounds:
+            own = x[begin:end]
+            distinct = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+            at, need = _entries(own[distinct], step)
+            rows.append(begin + distinct[: len(at)])
+            needs.append(need)
+        taken = _numbers(rows)
+        found = table.select([*keys, slice_col]).take(pa.array(taken))
+        return found.append_column("at", pa.array(x[taken])).append_column("need", pa.array(_numbers(needs)))
+
+    return run
 
 
-def _walk(slice_col: str, threshold: int):
-    def make(table: pa.Table) -> dict:
+def _walk(threshold: int, keys: list[str], slice_col: str) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
         # A position may end one slice and begin the next: the chain enters the earlier one.
-        table = table.sort_by([("at", "ascending"), (slice_col, "ascending")])
+        table, bounds = _keyed(table, keys, ["at", slice_col])
         at, need = table["at"].to_numpy(), table["need"].to_numpy()
-        seen = chain(np.searchsorted(at, need, side="left"), int(np.searchsorted(at, threshold)))
-        return {slice_col: table[slice_col].to_numpy()[seen], "at": at[seen]}
+        rows = []
+        for begin, end in bounds:
+            own = at[begin:end]
+            follow = np.searchsorted(own, need[begin:end], side="left")
+            rows.append(begin + chain(follow, int(np.searchsorted(own, threshold))))
+        return table.select([*keys, slice_col, "at"]).take(pa.array(_numbers(rows)))
 
-    return make
+    return run
 
 
-def _mark(step: int, ties: list[str], columns: list[str]):
+def _mark(step: int, keys: list[str], ties: list[str], columns: list[str]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(name, "ascending") for name in ("_x", *ties)])
-        x = table["_x"].to_numpy()
-        follow = np.searchsorted(x, x + step, side="left")
-        seen = chain(follow, int(np.searchsorted(x, table["at"][0].as_py(), side="left")))
-        return table.select(columns).take(pa.array(seen))
+        table, bounds = _keyed(table, keys, ["_x", *ties])
+        x, entries = table["_x"].to_numpy(), table["at"].to_numpy()
+        rows = []
+        for begin, end in bounds:
+            own = x[begin:end]
+            follow = np.searchsorted(own, own + step, side="left")
+            rows.append(begin + chain(follow, int(np.searchsorted(own, entries[begin], side="left"))))
+        return table.select(columns).take(pa.array(_numbers(rows)))
 
     return run
 
@@ -134,16 +159,21 @@ def _visited(
     items: DataFrame, keys: list[str], slice_col: str, threshold: int, fold_entries: int
 ) -> DataFrame:
     """(keys, slice, at) of the entries on the chain of each key."""
-    sizes = items.groupBy(*keys).agg((F.count(F.lit(1)) > fold_entries).alias("_many"))
-    sized = items.join(sizes, keys)
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = sizes.agg(F.sum("_n"), F.max("_n")).first()
     schema = StructType([*[items.schema[name] for name in (*keys, slice_col)], StructField("at", LongType())])
+    sized = items
+    if (counted[1] or 0) > fold_entries:
+        sized = items.join(sizes.withColumn("_many", F.col("_n") > fold_entries).drop("_n"), keys)
+    # Keys of few entries share a group; a group holds about as many as one key may have.
+    buckets = F.lit((counted[0] or 0) // fold_entries + 1)
     few = (
-        sized.where("not _many")
-        .drop("_many")
-        .groupBy(*keys)
-        .applyInArrow(_per_group(keys, _walk(slice_col, threshold)), schema)
+        (sized.where("not _many") if sized is not items else items)
+        .select(*items.columns, F.pmod(F.xxhash64(*keys), buckets).alias("_bucket"))
+        .groupBy("_bucket")
+        .applyInArrow(_walk(threshold, keys, slice_col), schema)
     )
-    if sizes.where("_many").isEmpty():
+    if sized is items:
         return few
     many = materialise(
         sized.where("_many")
@@ -177,13 +207,13 @@ def emits(
     summary = StructType([*fields, StructField("at", LongType()), StructField("need", LongType())])
     rows = df.withColumn("_x", F.col(position).cast("bigint"))
     items = materialise(
-        rows.select(*group, "_x").groupBy(*group).applyInArrow(_per_group(group, _summary(step)), summary),
+        rows.select(*group, "_x").groupBy(slice_col).applyInArrow(_summary(step, keys, slice_col), summary),
         "entries",
     )
     # A slice is entered once at most.
     entry = _visited(items, keys, slice_col, threshold, fold_entries)
     return (
         rows.join(entry, group)
-        .groupBy(*group)
-        .applyInArrow(_mark(step, ties, df.columns), df.schema)
+        .groupBy(slice_col)
+        .applyInArrow(_mark(step, keys, ties, df.columns), df.schema)
     )
