@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonaria.constants import LABEL_CASES, LABEL_MARKS, SPACED_DASH
+from sonaria.constants import LABEL_CASES, LABEL_MARKS
 from sonaria.functions import messages, text
 from sonaria.operators import catalog
 from sonaria.plans.registered import query
@@ -103,13 +103,17 @@ def _label_names() -> list[str]:
     return [f"{case}_{mark}" for case in LABEL_CASES for mark in LABEL_MARKS]
 
 
-def _mark_values() -> str:
-    rows = []
-    for case in LABEL_CASES:
-        for mark, suffix in LABEL_MARKS.items():
-            suffix = SPACED_DASH if mark == "TIRE" and case != "LOWER" else suffix
-            rows.append(f"({len(rows)}, '{case}', '{suffix}')")
-    return ", ".join(rows)
+# Fixed values, written out for the statements: number of a label, its case, what follows the word.
+MARKS_SQL = """
+  (0, 'LOWER', ''), (1, 'LOWER', '.'), (2, 'LOWER', ','), (3, 'LOWER', '?'), (4, 'LOWER', '—'),
+  (5, 'LOWER', ':'), (6, 'LOWER', '!'), (7, 'LOWER', ';'), (8, 'LOWER', '-'), (9, 'LOWER', '...'),
+  (10, 'LOWER', '?!'),
+  (11, 'UPPER', ''), (12, 'UPPER', '.'), (13, 'UPPER', ','), (14, 'UPPER', '?'), (15, 'UPPER', ' —'),
+  (16, 'UPPER', ':'), (17, 'UPPER', '!'), (18, 'UPPER', ';'), (19, 'UPPER', '-'), (20, 'UPPER', '...'),
+  (21, 'UPPER', '?!'),
+  (22, 'UPPER_TOTAL', ''), (23, 'UPPER_TOTAL', '.'), (24, 'UPPER_TOTAL', ','), (25, 'UPPER_TOTAL', '?'),
+  (26, 'UPPER_TOTAL', ' —'), (27, 'UPPER_TOTAL', ':'), (28, 'UPPER_TOTAL', '!'), (29, 'UPPER_TOTAL', ';'),
+  (30, 'UPPER_TOTAL', '-'), (31, 'UPPER_TOTAL', '...'), (32, 'UPPER_TOTAL', '?!')"""
 
 
 TOKENS_SQL = f"""
@@ -117,7 +121,7 @@ words AS (
   SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS word,
          generate_subscripts(string_split_regex(text, '\\s+'), 1) - 1 AS pos
   FROM documents),
-marks(id, mode, suffix) AS (VALUES {_mark_values()}),
+marks(id, mode, suffix) AS (VALUES {MARKS_SQL}),
 labelled AS (
   SELECT w.doc_id, w.pos, w.word, m.mode, m.suffix
   FROM words w LEFT JOIN marks m
@@ -181,7 +185,7 @@ WITH words AS (
   SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS word,
          generate_subscripts(string_split_regex(text, '\\s+'), 1) - 1 AS pos
   FROM documents WHERE lang = 'fr'),
-marks(id, mode, suffix) AS (VALUES {_mark_values()}),
+marks(id, mode, suffix) AS (VALUES {MARKS_SQL}),
 texts AS (
   SELECT doc_id, string_agg(' ' || CASE mode WHEN 'LOWER' THEN word
       WHEN 'UPPER' THEN upper(left(word, 1)) || lower(substr(word, 2)) ELSE upper(word) END || suffix,
