@@ -21,6 +21,11 @@ MATCH_TYPE = "array<struct<user_id:string,score:double,cosine:double,ref_path:st
 PROBE_ROWS = 65536
 BLOCK_ROWS = 16384
 SCORE_CELLS = 4_000_000
+# Blocks of a side that meet blocks smaller than the bounds above: every row is copied once for each block of
+# the other side, so a fixed small block would make copies that grow with the square of the rows.
+GRID = 16
+# Columns whose best values bound the best of all.
+BOUND_COLUMNS = 512
 # Scores equal to this many decimals count as ties, so that block shape cannot decide an order.
 TIE_DECIMALS = 12
 
@@ -52,15 +57,17 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _best(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best per row, by score then column; columns are in id order."""
-    ranked = np.round(cosines, TIE_DECIMALS)
-    width = ranked.shape[1]
+    width = cosines.shape[1]
     if k >= width:
-        rows = np.repeat(np.arange(len(ranked)), width)
-        cols = np.tile(np.arange(width), len(ranked))
+        rows = np.repeat(np.arange(len(cosines)), width)
+        cols = np.tile(np.arange(width), len(cosines))
     else:
-        kth = -np.partition(-ranked, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(ranked >= kth)
-    order = np.lexsort((cols, -ranked[rows, cols], rows))
+        # The k-th best of some columns is at most the k-th best of all; what may round to it is ranked.
+        some = cosines[:, :: max(1, width // max(k, BOUND_COLUMNS))]
+        low = np.partition(some, -k, axis=1)[:, -k : some.shape[1] - k + 1]
+        rows, cols = np.nonzero(cosines >= low - 2 * 10.0**-TIE_DECIMALS)
+    ranked = np.round(cosines[rows, cols], TIE_DECIMALS)
+    order = np.lexsort((cols, -ranked, rows))
     rows, cols = rows[order], cols[order]
     first = np.searchsorted(rows, rows, side="left")
     keep = np.arange(len(rows)) - first < k
@@ -112,6 +119,11 @@ def _registry_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, paths, matrix
 
 
+def _blocks(rows: int, wanted: int, bound: int) -> int:
+    """Blocks of ``wanted`` rows; if these are more than ``GRID``, then larger ones up to the bound."""
+    return max(1, min(-(-rows // wanted), max(GRID, -(-rows // max(wanted, bound)))))
+
+
 def top_matches(
     probes: DataFrame,
     registry: DataFrame,
@@ -122,7 +134,8 @@ def top_matches(
     """(probe_id, matches): the best ``top_k`` registry entries of every probe, best first.
 
     Exact, and one way for every size: both sides are cut into hashed blocks that meet in a grid, and
-    a cell returns its k best. Registry vectors with null or non-finite components match nothing.
+    a cell returns its k best. Blocks have the wanted rows while the grid is small, and grow with the table
+    up to the bounds of the module. Registry vectors with null or non-finite components match nothing.
     """
     probes = probes.select("probe_id", "embedding")
     registry = registry.select("user_id", "ref_path", "embedding").where(
@@ -130,8 +143,8 @@ def top_matches(
     )
     n_registry = registry.count()
     n_probes = probes.count()
-    p_blocks = max(1, -(-n_probes // probe_rows))
-    r_blocks = max(1, -(-n_registry // block_rows))
+    p_blocks = _blocks(n_probes, probe_rows, PROBE_ROWS)
+    r_blocks = _blocks(n_registry, block_rows, BLOCK_ROWS)
     left = probes.withColumn("pb", F.pmod(F.xxhash64("probe_id"), F.lit(p_blocks))).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))
     )

@@ -150,3 +150,23 @@ def test_signal_validity(spark):
     df = spark.createDataFrame(rows, "i int, x array<double>")
     got = {r.i: r.ok for r in df.select("i", vectors.is_usable_signal(F.col("x")).alias("ok")).collect()}
     assert got == {0: False, 1: False, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_small_blocks_do_not_copy_with_the_square_of_the_rows():
+    assert matching._blocks(2_000, 64, matching.BLOCK_ROWS) == matching.GRID
+    assert matching._blocks(100, 64, matching.BLOCK_ROWS) == 2
+    assert matching._blocks(0, 64, matching.BLOCK_ROWS) == 1
+    assert matching._blocks(100_000, 64, matching.BLOCK_ROWS) == matching.GRID
+    assert matching._blocks(matching.BLOCK_ROWS * 40, 64, matching.BLOCK_ROWS) == 40
+
+
+@pytest.mark.parametrize("width", [5, 700, 3000])
+@pytest.mark.parametrize("k", [1, 3, 600])
+def test_best_equals_a_full_sort(width, k):
+    """Repeated scores and scores that differ beyond the counted decimals only, too."""
+    rng = np.random.default_rng(width + k)
+    cosines = np.round(rng.uniform(-1, 1, (7, width)), 2) + rng.choice([0, 3e-13, -3e-13], (7, width))
+    rows, cols = matching._best(cosines, k)
+    ranked = np.round(cosines, matching.TIE_DECIMALS)
+    want = [np.lexsort((np.arange(width), -r))[:k] for r in ranked]
+    assert (cols == np.concatenate(want)).all() and (rows == np.repeat(np.arange(7), min(k, width))).all()
