@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +20,7 @@ from sonaria.constants import (
     VOICE_CAP_MS,
     VOICE_SOFT_MS,
 )
+from sonaria.functions.pieces import by_pieces
 
 
 def _mean_squares(x: np.ndarray, size: int) -> np.ndarray:
@@ -97,8 +100,7 @@ def clean_reference(
     cap, then the hard cap, the edge trim and a short silence at the end; null stays null."""
     settings = (rate, cap_ms, soft_ms, keep_ms, long_silence, short_silence, edge_dbfs, tail_ms)
 
-    @F.arrow_udf("array<float>")
-    def run(clips: pa.Array) -> pa.Array:
+    def one(clips: pa.Array) -> pa.Array:
         cleaned = [
             None if not clip.is_valid else _clean(clip.values.to_numpy(zero_copy_only=False).astype(np.float64), *settings)
             for clip in clips
@@ -107,4 +109,8 @@ def clean_reference(
         flat = np.concatenate([np.empty(0), *(c for c in cleaned if c is not None)]).astype(np.float32)
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=clips.is_null())
 
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_pieces(one, batches)
+
     return run(samples)

@@ -2,7 +2,8 @@
 
 A slot has a factory that builds the model, called once per Python worker, and a function on
 pandas series. Only the slot's inputs travel to Python; all other columns stay in the JVM. A row
-whose inputs are null is passed over, so a condition in the plan decides which rows a model sees.
+whose inputs are null is passed over, so a condition in the plan decides which rows a model sees. A call gets a
+bounded piece of a batch, so that values and results of one piece alone are in memory.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from sonaria.functions.pieces import pieces
+
 # What to do with rows a model failed on.
 RECORD, KEEP_INPUT, DROP, RAISE = "record", "keep_input", "drop", "raise"
 
@@ -68,7 +71,7 @@ def call(slot: Slot, *inputs: Column) -> Column:
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(slot_ref)
-        for batch in batches:
+        for batch in pieces(batches):
             series = [batch.field(i).to_pandas() for i in range(batch.type.num_fields)]
             values, errors = _apply(model, series)
             yield pa.StructArray.from_arrays(

@@ -268,3 +268,25 @@ def test_trim_and_caps(spark):
         [("c", i, 0, n) for i, n in enumerate([5000, 2000, 4000, 2000, 100])], "clip_id string, run long, start_ms long, end_ms long"
     )
     assert [r.run for r in signal.cap_segments(segs, block=2).orderBy("run").collect()] == [0, 1, 2]
+
+
+SEEN = Slot("test.seen", "long", lambda: lambda samples: pd.Series([sum(map(len, samples))] * len(samples)))
+
+
+def test_models_get_bounded_pieces_of_a_batch(spark):
+    """600 padded clips fit into one batch of Spark; a call of the model holds about 1 MB of them."""
+    clips = spark.range(0, 600, 1, 1).select("id", F.array_repeat(F.lit(0.5).cast("float"), 14400).alias("samples"))
+    seen = base.apply(clips, SEEN, [F.col("samples")], "n").select("id", "n", "error").collect()
+    assert sorted(r.id for r in seen) == list(range(600)) and not any(r.error for r in seen)
+    assert max(r.n for r in seen) * 4 <= 2 << 20
+
+
+def test_pieces_keep_rows_and_order():
+    import pyarrow as pa
+
+    from sonaria.functions.pieces import pieces
+
+    values = [None, "a" * 3000, "b", "", "c" * 900, "d"] * 3
+    parts = list(pieces(iter([pa.array(values, pa.string()), pa.array([], pa.string())]), 1000))
+    assert [x for p in parts for x in p.to_pylist()] == values
+    assert len(parts) > 3 and all(len(p) == 1 or p.nbytes <= 2000 for p in parts)
