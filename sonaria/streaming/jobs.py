@@ -8,7 +8,9 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sonaria.constants import MATCH_THRESHOLD, TOP_K
 from sonaria.functions import messages, text
@@ -18,7 +20,7 @@ from sonaria.session import materialise, scratch_path, ship_package
 from sonaria.slots import base, builtin, jobs
 from sonaria.slots.base import Slot
 from sonaria.sources.sinks import append_raw_metadata
-from sonaria.streaming.processors import AsrProcessor, SessionParams, VerifyProcessor
+from sonaria.streaming.processors import PACKED, AsrProcessor, SessionParams, VerifyProcessor, unpack
 
 FRAME_SCHEMA = (
     "session_id string, seq long, ts timestamp, kind string, payload binary, body string, "
@@ -93,9 +95,11 @@ def _stateful(frames: DataFrame, accepts_reset: bool, processor, delay: timedelt
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     processor.grace_us = _micros(grace)
     actions = _actions(frames, accepts_reset, delay + grace)
-    return actions.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime"
+    said = actions.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=PACKED, outputMode="Append", timeMode="EventTime"
     )
+    schema = to_arrow_schema(StructType.fromDDL(processor.schema))
+    return said.mapInArrow(unpack(schema), processor.schema)
 
 
 def asr_messages(

@@ -17,25 +17,31 @@ one, ``keep_us`` after it closed. Rows that come later open a new session.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sonaria.constants import PCM16_MAX, SAMPLE_RATE
 from sonaria.functions.codec import resample_linear
+from sonaria.functions.pieces import pieces
 
 NEVER = -1
 
-#: Messages of one output frame; a frame may hold a buffer for each.
+#: Messages of one packed value; each may hold a buffer.
 FRAME_MESSAGES = 64
 
-ROW_SCHEMA = (
-    "ts_us long, seq long, action string, utt_id string, payload binary, sample_rate int, channels int, "
-    "error_code string, error_detail string"
-)
+ROW_FIELDS = (
+    "ts_us", "seq", "action", "utt_id", "payload", "sample_rate", "channels", "error_code", "error_detail"
+)
+#: Rows of one value of the waiting state: every value read costs a call of its own.
+WAITING_ROWS = 256
+#: Messages leave the state packed, many in one value: Spark converts the values of a session one by one.
+PACKED = "packed binary"
 LATE_SCHEMA = "struct<action:string,utt_id:string,payload:binary,sample_rate:int,channels:int>"
 SPEECH_SCHEMA = (
     "session_id string, ts_us long, seq long, step int, type string, text string, utt_id string, "
@@ -46,7 +52,8 @@ CHECK_SCHEMA = (
     f"enough boolean, samples array<float>, detail string, late {LATE_SCHEMA}"
 )
 META_SCHEMA = (
-    "last_activity long, last_emit long, silent boolean, closed boolean, seen long, dirty_ts long, dirty_seq long"
+    "last_activity long, last_emit long, silent boolean, closed boolean, seen long, dirty_ts long, dirty_seq long, "
+    "audio binary"
 )
 
 
@@ -82,17 +89,32 @@ def _signal(row: dict) -> np.ndarray:
     return np.clip(x, -1.0, 1.0)
 
 
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
-
-
 def _plain(value):
     """State values are Python values; pandas brings its own kinds of null and numbers."""
-    if value is None or isinstance(value, (bytes, bytearray, str)):
-        return None if value is None else (value if isinstance(value, str) else bytes(value))
+    if value is None or isinstance(value, (int, str)):
+        return value
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value)
     return None if pd.isna(value) else int(value)
 
 
+def _packed_rows(rows: list[tuple]) -> list[tuple]:
+    return [(pickle.dumps(rows[lo : lo + WAITING_ROWS]),) for lo in range(0, len(rows), WAITING_ROWS)]
+
+
+def unpack(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The packed messages of many sessions as rows, in batches of a bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(iter([batch.column(0)])):
+                rows = [row for packed in part.to_pylist() for row in pickle.loads(packed)]
+                columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
 class _Session(StatefulProcessor):
     """What both kinds of sessions share: waiting rows, trailing buffer, clocks."""
 
@@ -104,9 +126,8 @@ class _Session(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW_SCHEMA)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.meta = handle.getValueState("meta", META_SCHEMA)
-        self.audio = handle.getValueState("audio", "data binary")
 
     def close(self) -> None:
         pass
@@ -122,56 +143,56 @@ class _Session(StatefulProcessor):
     def _load(self, key) -> None:
         self.key, self.out = key[0], []
         self._fresh()
-        if self.meta.exists():
+        kept = self.meta.get()
+        self.known = kept is not None
+        if self.known:
             (
                 self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts, self.dirty_seq,
-            ) = self.meta.get()
+                data,
+            ) = kept
             self.open = True
-            data = self.audio.get()[0] if self.audio.exists() else b""
             self.buffer = np.frombuffer(bytes(data), dtype="<f4")
 
     def _save(self) -> None:
         if self.open:
             self.meta.update(
-                (self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts, self.dirty_seq)
+                (
+                    self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts,
+                    self.dirty_seq, self.buffer.astype("<f4").tobytes(),
+                )
             )
-        elif self.meta.exists():
+        elif self.known:
             self.meta.clear()
-        if len(self.buffer):
-            self.audio.update((self.buffer.astype("<f4").tobytes(),))
-        elif self.audio.exists():
-            self.audio.clear()
 
     def _wake(self, first_waiting: int | None) -> None:
-        """One timer for the next row or deadline; it fires when the watermark has passed it."""
+        """One timer for the next row or deadline; it fires when the watermark has passed it. The one that
+        has just fired was the only one and is removed by Spark."""
         due = [d for d, _ in self._deadlines()]
         if first_waiting is not None:
             due.append(first_waiting)
-        wanted = {self._after(min(due))} if due else set()
-        armed = set(self.handle.listTimers())
-        for timer in armed - wanted:
-            self.handle.deleteTimer(timer)
-        for timer in wanted - armed:
-            self.handle.registerTimer(timer)
+        if due:
+            self.handle.registerTimer(self._after(min(due)))
 
     # ---- order of rows and deadlines
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self._load(key)
+        self.key, self.out = key[0], []
         turn = self._turn(timerValues)
-        fields = _names(ROW_SCHEMA)
         came = []
         for frame in rows:
-            for values in frame[fields].itertuples(index=False, name=None):
-                row = dict(zip(fields, map(_plain, values)))
+            columns = [frame[name].tolist() for name in ROW_FIELDS]
+            for values in zip(*columns):
+                row = dict(zip(ROW_FIELDS, map(_plain, values)))
                 if row["action"] == "clock":
                     continue
                 if turn is not None and row["ts_us"] < turn:
+                    if not self.out:
+                        self._load(key)
                     self._late(row)
                 else:
                     came.append(tuple(row.values()))
         if came:
-            self.waiting.appendList(came)
+            self.waiting.appendList(_packed_rows(came))
             # The armed timer stands for the rows and deadlines there are already.
             first, armed = self._after(min(r[0] for r in came)), list(self.handle.listTimers())
             if not armed or first < min(armed):
@@ -185,16 +206,16 @@ class _Session(StatefulProcessor):
         turn = self._turn(timerValues)
         rows = sorted(self._waiting(), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
         ready = [r for r in rows if r[0] < turn]
-        fields = _names(ROW_SCHEMA)
         for values in ready:
-            row = dict(zip(fields, values))
+            row = dict(zip(ROW_FIELDS, values))
             self._advance(row["ts_us"])
             self._take(row)
         self._advance(turn - 1)
         if ready:
-            self.waiting.clear()
             if len(ready) < len(rows):
-                self.waiting.put(rows[len(ready):])
+                self.waiting.put(_packed_rows(rows[len(ready) :]))
+            else:
+                self.waiting.clear()
         self._save()
         self._wake(rows[len(ready)][0] if len(ready) < len(rows) else None)
         yield from self._frames()
@@ -209,7 +230,7 @@ class _Session(StatefulProcessor):
         return int((ts_us - self.grace_us) // 1000 + 1)
 
     def _waiting(self) -> list[tuple]:
-        return [tuple(map(_plain, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        return [row for packed in self.waiting.get() for row in pickle.loads(bytes(packed[0]))]
 
     def _advance(self, until: int) -> None:
         """Everything that is due by then, in its order."""
@@ -271,11 +292,11 @@ class _Session(StatefulProcessor):
         return json.dumps(asdict(self.params))
 
     def _frames(self) -> Iterator[pd.DataFrame]:
-        names = _names(self.schema)
-        for start in range(0, len(self.out), FRAME_MESSAGES):
-            frame = pd.DataFrame(self.out[start : start + FRAME_MESSAGES], columns=names)
-            frame["seq"] = frame["seq"].astype("Int64")
-            yield frame
+        if self.out:
+            packed = [
+                pickle.dumps(self.out[lo : lo + FRAME_MESSAGES]) for lo in range(0, len(self.out), FRAME_MESSAGES)
+            ]
+            yield pd.DataFrame({"packed": packed})
 
     @staticmethod
     def _carried(row: dict) -> dict:

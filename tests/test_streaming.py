@@ -395,3 +395,22 @@ def test_the_recogniser_is_called_for_batches_of_sessions(spark, tmp_path):
 def test_parameters_keep_a_session_until_its_silence_is_over():
     with pytest.raises(ValueError):
         SessionParams(100, gap_us=100, keep_us=50)
+
+
+def test_rows_of_a_session_are_few_state_values_and_messages_are_unpacked_in_order():
+    import pickle
+
+    import pyarrow as pa
+
+    from sonaria.streaming import processors
+
+    rows = [(i, None, "audio", "ü", b"\0\1", 16000, 1, None, None) for i in range(600)]
+    packed = processors._packed_rows(rows)
+    assert len(packed) == 3
+    assert [r for (value,) in packed for r in pickle.loads(value)] == rows
+
+    schema = pa.schema([("session_id", pa.string()), ("n", pa.int64()), ("samples", pa.list_(pa.float32()))])
+    said = [("a", 1, np.ones(2, "<f4")), ("a", None, None)], [("b", 3, np.empty(0, "<f4"))]
+    batch = pa.record_batch([pa.array([pickle.dumps(s) for s in said])], names=["packed"])
+    got = [row for part in processors.unpack(schema)(iter([batch, batch.slice(0, 0)])) for row in part.to_pylist()]
+    assert [(r["session_id"], r["n"], r["samples"]) for r in got] == [("a", 1, [1.0, 1.0]), ("a", None, None), ("b", 3, [])]
