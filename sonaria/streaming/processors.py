@@ -52,8 +52,7 @@ CHECK_SCHEMA = (
     f"enough boolean, samples array<float>, detail string, late {LATE_SCHEMA}"
 )
 META_SCHEMA = (
-    "last_activity long, last_emit long, silent boolean, closed boolean, seen long, dirty_ts long, dirty_seq long, "
-    "audio binary"
+    "last_activity long, last_emit long, silent boolean, closed boolean, seen long, dirty_ts long, dirty_seq long"
 )
 
 
@@ -128,6 +127,7 @@ class _Session(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "rows binary")
         self.meta = handle.getValueState("meta", META_SCHEMA)
+        self.audio = handle.getValueState("audio", "data binary")
 
     def close(self) -> None:
         pass
@@ -148,21 +148,27 @@ class _Session(StatefulProcessor):
         if self.known:
             (
                 self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts, self.dirty_seq,
-                data,
             ) = kept
             self.open = True
-            self.buffer = np.frombuffer(bytes(data), dtype="<f4")
+        data = self.audio.get() if self.known else None
+        self.heard = data is not None
+        if self.heard:
+            self.buffer = np.frombuffer(bytes(data[0]), dtype="<f4")
 
     def _save(self) -> None:
         if self.open:
             self.meta.update(
                 (
                     self.last_activity, self.last_emit, self.silent, self.closed, self.seen, self.dirty_ts,
-                    self.dirty_seq, self.buffer.astype("<f4").tobytes(),
+                    self.dirty_seq,
                 )
             )
         elif self.known:
             self.meta.clear()
+        if len(self.buffer):
+            self.audio.update((self.buffer.astype("<f4").tobytes(),))
+        elif self.heard:
+            self.audio.clear()
 
     def _wake(self, first_waiting: int | None) -> None:
         """One timer for the next row or deadline; it fires when the watermark has passed it. The one that
