@@ -41,6 +41,8 @@ BLOCK = 1 << 17
 #: Different contexts of one gram that a suffix array takes, and contexts of one bucket.
 HOT = 256
 BUCKET = 2_000
+#: Hot contexts whose windows are hashed at once.
+TOGETHER = 256
 
 _BASES = {"gram": 0x9E3779B97F4A7C15, "context": 0xD6E8FEB86659FD93}
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -128,12 +130,6 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def _utf8(column: pa.Array) -> Iterator[np.ndarray]:
-    for value in column:
-        text = value.as_py()
-        yield np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-
-
 def _emit_anchors(grams_only: bool):
     """Arrow function: g (gram), and with it c (context), k1 and k2 (text) and place: the place in the
     text, with the bytes of the context before and after it in its low two bytes."""
@@ -344,46 +340,68 @@ def _sort_bucket(rows: pa.Table) -> pa.Table:
     )
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """All entries of a column of lists of structs, with the row of each; null lists have none."""
+    sizes = np.diff(column.offsets.to_numpy())
+    sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted contexts of each text."""
     for batch in batches:
-        k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-        wanted = batch.column("wanted").to_pylist()
-        out = []
-        for row, data in enumerate(_utf8(batch.column("text"))):
-            for w in wanted[row]:
-                at = w["place"] >> 16
-                begin, end = at - (w["place"] >> 8 & 255), at + (w["place"] & 255)
-                out.append((w["g"], w["hot"], k1[row], k2[row], begin, data[begin:end].tobytes()))
-        if out:
-            names = ["g", "hot", "k1", "k2", "first", "context"]
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names
-            )
+        owner, wanted = _lists(batch.column("wanted"))
+        if not len(owner):
+            continue
+        data, ends = _bytes(batch.column("text"))
+        place = wanted.field("place").to_numpy()
+        begin = (place >> 16) - (place >> 8 & 255)
+        start = np.concatenate([[0], ends])[owner] + begin
+        stop = start + (place >> 8 & 255) + (place & 255)
+        view = memoryview(data)
+        contexts = [view[b:e].tobytes() for b, e in zip(start.tolist(), stop.tolist(), strict=True)]
+        rows = pa.array(owner)
+        yield pa.RecordBatch.from_arrays(
+            [
+                wanted.field("g"),
+                wanted.field("hot"),
+                batch.column("k1").take(rows),
+                batch.column("k2").take(rows),
+                pa.array(begin.astype(np.int32)),
+                pa.array(contexts, pa.binary()),
+            ],
+            ["g", "hot", "k1", "k2", "first", "context"],
+        )
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all windows of hot contexts."""
-    for batch in batches:
-        k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-        first, contexts = batch.column("first").to_pylist(), batch.column("context")
-        for row in range(len(k1)):
-            data = contexts[row].as_py()
-            digests = [
-                xxhash.xxh3_128_digest(data[s : s + SPAN]) for s in range(len(data) - SPAN + 1)
-            ]
-            n = len(digests)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digests, pa.binary()),
-                        pa.array([k1[row]] * n, pa.int64()),
-                        pa.array([k2[row]] * n, pa.int64()),
-                        pa.array(range(first[row], first[row] + n), pa.int32()),
-                    ],
-                    ["w", "k1", "k2", "from_"],
-                )
+    """128-bit hashes of all windows of hot contexts, as two numbers; the windows of many contexts at once."""
+    digest = xxhash.xxh3_128_digest
+    for whole in batches:
+        for begin in range(0, len(whole), TOGETHER):
+            batch = whole.slice(begin, TOGETHER)
+            found, sizes = [], []
+            for context in batch.column("context"):
+                data = context.as_py()
+                sizes.append(max(len(data) - SPAN + 1, 0))
+                found += [digest(data[s : s + SPAN]) for s in range(sizes[-1])]
+            if not found:
+                continue
+            hashed = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
+            size = np.array(sizes)
+            owner = np.repeat(np.arange(len(size)), size)
+            first = batch.column("first").to_numpy()
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashed[:, 0].copy()),
+                    pa.array(hashed[:, 1].copy()),
+                    batch.column("k1").take(rows),
+                    batch.column("k2").take(rows),
+                    pa.array((first[owner] + np.arange(len(owner)) - (np.cumsum(size) - size)[owner]).astype(np.int32)),
+                ],
+                ["w1", "w2", "k1", "k2", "from_"],
+            )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -446,43 +464,55 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .groupBy("b")
         .applyInArrow(_sort_bucket, "k1 long, k2 long, from_ int, to_ int")
     )
-    windows = cut.where("hot").mapInArrow(_window_hashes, "w binary, k1 long, k2 long, from_ int")
-    start = F.struct("k1", "k2", "from_")
-    repeats = windows.groupBy("w").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a != b")
-    hashed = windows.join(repeats.select("w"), "w", "left_semi").select(
+    hot = cut.where("hot").select("k1", "k2", "first", "context")
+    windows = hot.mapInArrow(_window_hashes, "w1 long, w2 long, k1 long, k2 long, from_ int")
+    # Windows start at several places if any of the three numbers of a place differs; numbers need no sort.
+    places = ("k1", "k2", "from_")
+    ends = [f(name).alias(f"{f.__name__}_{name}") for name in places for f in (F.min, F.max)]
+    several = " or ".join(f"min_{name} != max_{name}" for name in places)
+    repeats = windows.groupBy("w1", "w2").agg(*ends).where(several)
+    hashed = windows.join(repeats.select("w1", "w2"), ["w1", "w2"], "left_semi").select(
         "k1", "k2", "from_", (F.col("from_") + SPAN).alias("to_")
     )
     return whole.unionByName(sorted_).unionByName(hashed)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of overlapping or touching spans."""
-    out: list[list[int]] = []
-    for begin, end in sorted(spans):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return [(b, e) for b, e in out]
+def merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping or touching spans of each row: row, begin and end, in order."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(row):
+        return row, begin, end
+    # Rows laid one behind the other, so that one running maximum serves all.
+    room = int(end.max()) + 1
+    farthest = np.maximum.accumulate(end + row * room) - row * room
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] > farthest[:-1])])
+    first = np.flatnonzero(new)
+    return row[first], begin[first], farthest[np.append(first[1:], len(row)) - 1]
 
 
 def _remove(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            numbers, digests, texts = [], [], []
-            for row, data in enumerate(_utf8(batch.column("text"))):
-                runs = merged([(s["from_"], s["to_"]) for s in spans[row] or []])
-                view, at, kept = data.tobytes(), 0, []
-                for begin, end in runs:
-                    kept.append(view[at:begin])
-                    at = end
-                kept.append(view[at:])
-                rest = b"".join(kept)
-                numbers.append((len(view), len(view) - len(rest), len(runs)))
+            owner, spans = _lists(batch.column("spans"))
+            row, begin, end = merged(owner, spans.field("from_").to_numpy(), spans.field("to_").to_numpy())
+            cuts = np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+            begin, end = begin.tolist(), end.tolist()
+            data, ends = _bytes(batch.column("text"))
+            view, numbers, digests, texts = memoryview(data), [], [], []
+            start = 0
+            for k, stop in enumerate(ends.tolist()):
+                at, kept = start, []
+                for run in range(cuts[k], cuts[k + 1]):
+                    kept.append(view[at : start + begin[run]])
+                    at = start + end[run]
+                kept.append(view[at:stop])
+                rest = b"".join(kept) if len(kept) > 1 or keep_text else kept[0]
+                numbers.append((stop - start, stop - start - len(rest), cuts[k + 1] - cuts[k]))
                 digests.append(hashlib.sha256(rest).hexdigest())
                 if keep_text:
                     texts.append(rest)
+                start = stop
             n = np.array(numbers, dtype=np.int64).reshape(-1, 3)
             columns = [batch.column("doc_id"), *(pa.array(n[:, k]) for k in range(3)), pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
