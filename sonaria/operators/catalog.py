@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +77,79 @@ def plan_requests(requests: DataFrame, voices: DataFrame) -> DataFrame:
     )
 
 
+def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one key and block whose orders follow each other as a run: its first order, the lengths of its
+    pieces (four bytes each), their text, and how many were null. Orders that are no whole numbers are runs of
+    their own."""
+    for batch in batches:
+        key, block, order, piece = batch.columns
+        n = len(batch)
+        if not n:
+            continue
+        new = np.ones(n, dtype=bool)
+        if pa.types.is_integer(order.type):
+            codes = [pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy() for c in (key, block)]
+            whole = order.cast(pa.int64())
+            number = pc.fill_null(whole, 0).to_numpy()
+            new[1:] = number[1:] != number[:-1] + 1
+            for code in codes:
+                new[1:] |= code[1:] != code[:-1]
+            null = order.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= null[1:] | null[:-1]
+        first = np.flatnonzero(new)
+        missing = np.add.reduceat(piece.is_null().to_numpy(zero_copy_only=False).astype(np.int64), first)
+        piece = pc.fill_null(piece, "")
+        # The texts of a run lie side by side, so a run is a stretch of the same bytes.
+        large = piece.cast(pa.large_string())
+        ends = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset :][: n + 1]
+        edges = np.append(first, n)
+        text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends[edges].copy()), large.buffers()[2])
+        each = pa.py_buffer(pc.utf8_length(piece).to_numpy().astype(">i4"))
+        at = pa.py_buffer((4 * edges).astype(np.int32))
+        lengths = pa.Array.from_buffers(pa.binary(), len(first), [None, at, each])
+        rows = pa.array(first)
+        yield pa.RecordBatch.from_arrays(
+            [key.take(rows), block.take(rows), order.take(rows), lengths, text.cast(pa.string()), pa.array(missing)],
+            [*batch.schema.names[:3], "_lengths", "_text", "_missing"],
+        )
+
+
+def _in_order(runs: Column) -> Column:
+    """The text of a group's runs. Runs that overlap, as those of repeated keys, are taken apart first."""
+
+    def by_order(left: Column, right: Column) -> Column:
+        a, b = left["_order"], right["_order"]
+        return F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1)
+
+    def count(run: Column) -> Column:
+        return (F.octet_length(run["_lengths"]) / 4).cast("int")
+
+    def pieces(run: Column) -> Column:
+        lengths = F.transform(
+            F.sequence(F.lit(0), count(run) - 1),
+            lambda i: F.conv(F.hex(F.substring(run["_lengths"], 4 * i + 1, F.lit(4))), 16, 10).cast("int"),
+        )
+        ends = F.aggregate(
+            lengths, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
+        )
+        return F.transform(
+            lengths,
+            lambda n, i: F.struct(
+                (run["_order"] + i).alias("_order"), F.substring(run["_text"], F.get(ends, i) + 1, n).alias("_text")
+            ),
+        )
+
+    ordered = F.array_sort(runs, by_order)
+    others = F.greatest(F.size(ordered) - 1, F.lit(0))
+    follows = F.zip_with(
+        F.slice(ordered, 1, others), F.slice(ordered, 2, others), lambda a, b: a["_order"] + count(a) <= b["_order"]
+    )
+    loose = F.array_sort(F.flatten(F.transform(runs, pieces)), by_order)
+    apart = F.forall(follows, lambda x: F.coalesce(x, F.lit(True)))
+    texts = [F.array_join(F.transform(parts, lambda part: part["_text"]), "") for parts in (ordered, loose)]
+    return F.when(apart, texts[0]).otherwise(texts[1])
+
+
 def ordered_text(
     rows: DataFrame,
     key: str,
@@ -83,8 +159,9 @@ def ordered_text(
     block: int = 4096,
     complete: bool = False,
 ) -> DataFrame:
-    """Ordered concatenation per key. Blocks of rows are joined first, so no task holds more than
-    one block of loose pieces and only joined blocks are shuffled to the key.
+    """Ordered concatenation per key. Rows that already follow each other are joined to runs before
+    anything is grouped, so what is sorted and shuffled are texts and not their pieces; then runs to blocks, so that
+    no group holds more than one block of loose pieces, and blocks to the text.
 
     Null pieces are skipped; with ``complete`` a key that has one is left out.
     """
@@ -94,9 +171,15 @@ def ordered_text(
         F.col(order).alias("_order"),
         F.concat(F.lit(lead), value).alias("_piece"),
     )
-    joined = pieces.groupBy(key, "_block").agg(
-        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _order)").alias("_piece"),
-        F.count_if(F.col("_piece").isNull()).alias("_missing"),
+    kinds = {field.name: field.dataType.simpleString() for field in pieces.schema}
+    runs = pieces.mapInArrow(
+        _join_runs,
+        f"`{key}` {kinds[key]}, _block {kinds['_block']}, _order {kinds['_order']}, "
+        "_lengths binary, _text string, _missing long",
+    ).repartition(key)
+    joined = runs.groupBy(key, "_block").agg(
+        _in_order(F.collect_list(F.struct("_order", "_lengths", "_text"))).alias("_piece"),
+        F.sum("_missing").alias("_missing"),
     )
     texts = joined.groupBy(key).agg(
         F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _block)").alias("text"),
