@@ -78,8 +78,8 @@ def plan_requests(requests: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one key and block whose orders follow each other as a run: its first order, the lengths of its
-    pieces (four bytes each), their text, and how many were null. Orders that are no whole numbers are runs of
+    """Rows of one key and block whose orders follow each other as a run: its first order, where its pieces
+    end (in bytes, four bytes each), their text, and how many were null. Orders that are no whole numbers are runs of
     their own."""
     for batch in batches:
         key, block, order, piece = batch.columns
@@ -104,13 +104,13 @@ def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset :][: n + 1]
         edges = np.append(first, n)
         text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends[edges].copy()), large.buffers()[2])
-        each = pa.py_buffer(pc.utf8_length(piece).to_numpy().astype(">i4"))
+        stops = ends[1:] - np.repeat(ends[first], np.diff(edges))
         at = pa.py_buffer((4 * edges).astype(np.int32))
-        lengths = pa.Array.from_buffers(pa.binary(), len(first), [None, at, each])
+        stops = pa.Array.from_buffers(pa.binary(), len(first), [None, at, pa.py_buffer(stops.astype(">i4"))])
         rows = pa.array(first)
         yield pa.RecordBatch.from_arrays(
-            [key.take(rows), block.take(rows), order.take(rows), lengths, text.cast(pa.string()), pa.array(missing)],
-            [*batch.schema.names[:3], "_lengths", "_text", "_missing"],
+            [key.take(rows), block.take(rows), order.take(rows), stops, text.cast(pa.string()), pa.array(missing)],
+            [*batch.schema.names[:3], "_ends", "_text", "_missing"],
         )
 
 
@@ -122,21 +122,20 @@ def _in_order(runs: Column) -> Column:
         return F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1)
 
     def count(run: Column) -> Column:
-        return (F.octet_length(run["_lengths"]) / 4).cast("int")
+        return (F.octet_length(run["_ends"]) / 4).cast("int")
 
     def pieces(run: Column) -> Column:
-        lengths = F.transform(
-            F.sequence(F.lit(0), count(run) - 1),
-            lambda i: F.conv(F.hex(F.substring(run["_lengths"], 4 * i + 1, F.lit(4))), 16, 10).cast("int"),
-        )
-        ends = F.aggregate(
-            lengths, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
-        )
+        def end(i: Column) -> Column:
+            return F.conv(F.hex(F.substring(run["_ends"], 4 * i + 1, F.lit(4))), 16, 10).cast("int")
+
+        def piece(i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(end(i - 1))
+            # Places of bytes, unlike those of characters, are found without a look at all before them.
+            return F.substring(run["_text"].cast("binary"), begin + 1, end(i) - begin).cast("string")
+
         return F.transform(
-            lengths,
-            lambda n, i: F.struct(
-                (run["_order"] + i).alias("_order"), F.substring(run["_text"], F.get(ends, i) + 1, n).alias("_text")
-            ),
+            F.sequence(F.lit(0), count(run) - 1),
+            lambda i: F.struct((run["_order"] + i).alias("_order"), piece(i).alias("_text")),
         )
 
     ordered = F.array_sort(runs, by_order)
@@ -175,10 +174,10 @@ def ordered_text(
     runs = pieces.mapInArrow(
         _join_runs,
         f"`{key}` {kinds[key]}, _block {kinds['_block']}, _order {kinds['_order']}, "
-        "_lengths binary, _text string, _missing long",
+        "_ends binary, _text string, _missing long",
     ).repartition(key)
     joined = runs.groupBy(key, "_block").agg(
-        _in_order(F.collect_list(F.struct("_order", "_lengths", "_text"))).alias("_piece"),
+        _in_order(F.collect_list(F.struct("_order", "_ends", "_text"))).alias("_piece"),
         F.sum("_missing").alias("_missing"),
     )
     texts = joined.groupBy(key).agg(
