@@ -11,7 +11,7 @@ suffixes smaller than their successors are sorted directly, all others are induc
 one scan over the buckets of first bytes. Neighbours in the array with a common prefix of ``SPAN`` bytes are
 repeats if they start at different places. A gram that has more different contexts than a bucket should
 hold is compared by 128-bit hashes of its windows instead, which is a plain aggregate without hot
-groups.
+groups. Windows are many times the size of their contexts, so this is done in turns, each with its part of the grams.
 
 Texts are known by 128 bits of hash, so copies share their marks and no row ids are needed.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaria.session import materialise
+from sonaria.llm.common import written
 
 SPAN = 200
 GRAM = 32
@@ -43,6 +43,8 @@ HOT = 256
 BUCKET = 2_000
 #: Hot contexts whose windows are hashed at once.
 TOGETHER = 256
+#: Turns in which hot contexts are compared. Results do not depend on them.
+TURNS = 4
 
 _BASES = {"gram": 0x9E3779B97F4A7C15, "context": 0xD6E8FEB86659FD93}
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -340,8 +342,8 @@ def _sort_bucket(rows: pa.Table) -> pa.Table:
     )
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
-    """All entries of a column of lists of structs, with the row of each; null lists have none."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All entries of a column of lists, with the row of each; null lists have none."""
     sizes = np.diff(column.offsets.to_numpy())
     sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
     return np.repeat(np.arange(len(column)), sizes), column.flatten()
@@ -425,11 +427,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # Anchors are found again rather than written: the table of all of them is as large as the texts.
     every = texts.mapInArrow(_emit_anchors(False), "g long, c long, k1 long, k2 long, place long")
     # Grams that come again are distinct, so their side of the join is even and small enough to hash.
-    common = materialise(every.join(again.hint("shuffle_hash"), "g", "left_semi"), "common-anchors")
+    common = written(every.join(again.hint("shuffle_hash"), "g", "left_semi"), "common-anchors")
     # One place of each context; numbers, unlike structs, are aggregated without a sort.
     turn = F.xxhash64("k1", "k2", "place")
     one_of = [F.min_by(name, turn).alias(name) for name in ("k1", "k2", "place")]
-    contexts = materialise(
+    contexts = written(
         common.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *one_of), "contexts"
     )
     at = F.shiftright("place", 16)
@@ -451,30 +453,58 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = wanted.join(one, ["k1", "k2"])
     same_id = keyed["doc_id"].eqNullSafe(asked["doc_id"])
     same_text = (keyed["k1"] == asked["k1"]) & (keyed["k2"] == asked["k2"])
-    cut = materialise(
+    cut = written(
         keyed.join(asked, same_text & same_id)
         .select(keyed["k1"], keyed["k2"], "wanted", "text")
         .mapInArrow(_contexts, "g long, hot boolean, k1 long, k2 long, first int, context binary"),
         "cut-contexts",
     )
-    calm = cut.where("not hot")
-    buckets = max(16, math.ceil(calm.count() / BUCKET))
+    few, many = cut.agg(F.count_if(~F.col("hot")), F.count_if("hot")).first()
+    buckets = max(16, math.ceil(few / BUCKET))
     sorted_ = (
-        calm.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+        cut.where("not hot")
+        .withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets)))
         .groupBy("b")
         .applyInArrow(_sort_bucket, "k1 long, k2 long, from_ int, to_ int")
     )
-    hot = cut.where("hot").select("k1", "k2", "first", "context")
-    windows = hot.mapInArrow(_window_hashes, "w1 long, w2 long, k1 long, k2 long, from_ int")
+    # One after the other, so that the shuffles of each are gone before the next.
+    spans = written(whole, "whole-spans").unionByName(written(sorted_, "sorted-spans"))
+    for k in range(TURNS if many else 0):
+        own = cut.where(F.col("hot") & (F.pmod(F.xxhash64("g"), F.lit(TURNS)) == k))
+        spans = spans.unionByName(written(_hashed_spans(own), "hashed-spans"))
+    return spans
+
+
+def _hashed_spans(hot: DataFrame) -> DataFrame:
+    """Runs of repeated windows of each text among hot contexts, by hashes of all windows."""
+    contexts = hot.select("k1", "k2", "first", "context")
+    windows = contexts.mapInArrow(_window_hashes, "w1 long, w2 long, k1 long, k2 long, from_ int")
     # Windows start at several places if any of the three numbers of a place differs; numbers need no sort.
     places = ("k1", "k2", "from_")
     ends = [f(name).alias(f"{f.__name__}_{name}") for name in places for f in (F.min, F.max)]
     several = " or ".join(f"min_{name} != max_{name}" for name in places)
     repeats = windows.groupBy("w1", "w2").agg(*ends).where(several)
-    hashed = windows.join(repeats.select("w1", "w2"), ["w1", "w2"], "left_semi").select(
-        "k1", "k2", "from_", (F.col("from_") + SPAN).alias("to_")
-    )
-    return whole.unionByName(sorted_).unionByName(hashed)
+    found = windows.join(repeats.select("w1", "w2"), ["w1", "w2"], "left_semi")
+    listed = found.groupBy("k1", "k2").agg(F.collect_set("from_").alias("from_"))
+    return listed.mapInArrow(_window_runs, "k1 long, k2 long, from_ int, to_ int")
+
+
+def _window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each text as the runs that they cover."""
+    for batch in batches:
+        owner, begin = _lists(batch.column("from_"))
+        begin = begin.to_numpy()
+        row, begin, end = merged(owner, begin, begin + SPAN)
+        rows = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("k1").take(rows),
+                batch.column("k2").take(rows),
+                pa.array(begin.astype(np.int32)),
+                pa.array(end.astype(np.int32)),
+            ],
+            ["k1", "k2", "from_", "to_"],
+        )
 
 
 def merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -527,7 +557,7 @@ def _remove(keep_text: bool):
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if asked for)."""
     spans = repeated_spans(docs.select("doc_id", "text"))
-    listed = materialise(
+    listed = written(
         spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from_", "to_")).alias("spans")), "spans"
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
