@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonaria.constants import TARGET_DBFS
 from sonaria.functions import audio, codec, text, vectors
+from sonaria.functions.pieces import bounded_batches
 from sonaria.slots import base, builtin
 from sonaria.slots.base import Slot
 
@@ -38,6 +39,7 @@ def embed(clips: DataFrame, slot: Slot = builtin.EMBED) -> DataFrame:
 
 def denoise(clips: DataFrame, slot: Slot = builtin.DENOISE, target_dbfs: float = TARGET_DBFS) -> DataFrame:
     """Pads short signals, runs the model and sets the level."""
+    bounded_batches(clips.sparkSession)
     padded = clips.withColumn("samples", audio.pad_to_model_minimum(F.col("samples")))
     ran = base.apply(padded, slot, [F.col("samples")], "_clean")
     level = codec.normalise_level(F.col("_clean"), target_dbfs)
